@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-# Sub-buckets per power of two. A bucket spans 0.017 % of its value, so it can
-# hold at most about 2 900 distinct float32 values.
-STEPS_PER_OCTAVE = 4096
+# Sub-buckets per power of two. A bucket spans 0.27 % of its value, so it can
+# hold at most about 46 000 distinct float32 values.
+STEPS_PER_OCTAVE = 256
 # Shifts every bucket of a positive double above zero (2^-1074 is the smallest).
 BUCKET_SHIFT = 1080 * STEPS_PER_OCTAVE
 
@@ -19,9 +19,12 @@ def hash_order(salt: Column | str | int, *keys: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *[c if isinstance(c, Column) else F.col(c) for c in keys], salt.cast("string")))
 
 
-def hash_bucket(order: Column | str) -> Column:
-    """Leading 16 bits of a hash order: 65 536 evenly filled buckets."""
-    return F.substring(order, 1, 4)
+def hash_bucket(order: Column | str, cores: int) -> Column:
+    """Leading hex digits of a hash order: 4 096 or, on a large cluster, 65 536 even buckets.
+
+    The number of buckets only balances work; results do not depend on it.
+    """
+    return F.substring(order, 1, 3 if cores < 256 else 4)
 
 
 def value_bucket(value: Column | str) -> Column:

@@ -251,8 +251,8 @@ def roc_curve(predictions: DataFrame, by: list[str]) -> DataFrame:
     points = curve.where(corner).select(
         *by,
         F.col("score").cast("double").alias("threshold"),
-        ratio(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),
-        ratio(F.col("cum_pos"), F.col("all_pos")).alias("tpr"),
+        F.round(ratio(F.col("cum_neg"), F.col("all_neg")), 9).alias("fpr"),
+        F.round(ratio(F.col("cum_pos"), F.col("all_pos")), 9).alias("tpr"),
     )
     start = predictions.select(*by).distinct() if by else predictions.sparkSession.range(1).select()
     origin = start.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
@@ -275,8 +275,8 @@ def pr_curve(predictions: DataFrame, by: list[str]) -> DataFrame:
     points = _curve(predictions, by).select(
         *by,
         F.col("score").cast("double").alias("threshold"),
-        ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
-        ratio(F.col("cum_pos"), F.col("all_pos")).alias("recall"),
+        F.round(ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")), 9).alias("precision"),
+        F.round(ratio(F.col("cum_pos"), F.col("all_pos")), 9).alias("recall"),
     )
     start = predictions.select(*by).distinct() if by else predictions.sparkSession.range(1).select()
     end = start.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))

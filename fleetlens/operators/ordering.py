@@ -45,10 +45,11 @@ def prefix_cuts(
     """
     measures = measures or {}
     names = ["n", *measures]
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     keyed = rows.select(
         *group,
         F.col(order).alias("h"),
-        hash_bucket(order).alias("bucket"),
+        hash_bucket(order, cores).alias("bucket"),
         F.lit(1).cast("long").alias("n"),
         *[c.cast("long").alias(m) for m, c in measures.items()],
     )

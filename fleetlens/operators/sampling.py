@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.expressions import hash_order, ratio
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import bounded_local, lookup_join
 from fleetlens.operators.ordering import prefix_cuts, ranked_values
+from fleetlens.session import staged
 
 
 def _wide_cuts(cuts: DataFrame, group: list[str], labels: list[str]) -> DataFrame:
@@ -104,14 +105,21 @@ def prevalence_counts(
     """
     benign = predictions.where("y_true = 0").agg(F.count("*"), F.count_if(F.col("y_pred") == 1)).first()
     n_benign, fp = benign[0], benign[1]
-    attacks = predictions.where("y_true = 1").select(
-        F.col(key), "y_pred", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
-    )
-    attacks = attacks.select("repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred")
+    attacks = predictions.where("y_true = 1")
     needs = {str(p): attack_need(p, n_benign, rounding=rounding) for p in prevalences}
-    _checked(needs, predictions.where("y_true = 1").count())
+    available = attacks.count()
+    _checked(needs, available)
+    ordered = attacks.select(F.col(key), "y_pred", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    ordered = ordered.select("repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred")
     sizes = {label: (lambda n, k=need: F.lit(k)) for label, need in needs.items()}
-    drawn = prefix_cuts(attacks, ["repeat"], "order", sizes, {"tp": F.col("y_pred")})
+    wanted = sum(need > 0 for need in needs.values()) * repeats
+    # A draw is a short prefix of its order, so the rows beyond a generous hash
+    # bound are left out; should the bound ever be too tight, all rows are used.
+    share = 1.25 * max(needs.values()) / max(available, 1) + 64 / max(available, 1)
+    near = staged(ordered.where(F.col("order") < F.lit(f"{int(share * 2**32):08x}")), "draws") if share < 1 else ordered
+    drawn = bounded_local(prefix_cuts(near, ["repeat"], "order", sizes, {"tp": F.col("y_pred")}), wanted)
+    if drawn.count() < wanted:
+        drawn = prefix_cuts(ordered, ["repeat"], "order", sizes, {"tp": F.col("y_pred")})
     # Empty draws have no cut: the grid of (prevalence, repeat) keeps them.
     grid = predictions.sparkSession.createDataFrame(
         [(r, label, float(label), need) for label, need in needs.items() for r in range(repeats)],
@@ -203,6 +211,7 @@ def bootstrap_quantiles(
         sizes.withColumn("probs", F.array(*[F.struct(F.lit(i).alias("prob_id"), F.lit(float(p)).alias("prob")) for i, p in enumerate(probs)]))
         .select(*group, "total", F.inline("probs"))
         .select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat"))
+        .repartition(scores.sparkSession.sparkContext.defaultParallelism, *group, "repeat")
         .withColumn("low", low.cast("long"))
         .withColumn("g1", _gamma(F.col("low").cast("double"), named("x")))
         .withColumn("g2", _gamma(n - F.col("low").cast("double") + 1.0, named("y")))
@@ -227,6 +236,7 @@ def bootstrap_quantiles(
             F.greatest(F.lit(1), F.ceil(F.col("u_high") * n)).cast("long").alias("rank_high"),
         )
     )
+    draws = staged(draws, "bootstrap-draws")
     wanted = draws.select(*group, F.explode(F.array("rank_low", "rank_high")).alias("rank")).distinct()
     values = ranked_values(scores, group, value, wanted=wanted)
     low_v = values.select(*group, F.col("rank").alias("rank_low"), F.col("v").alias("v_low"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from fleetlens.session import spread
+
 FEATURES = ["quantity", "extendedprice", "discount", "tax"]
 STRATEGIES = ["LOF", "AE per device", "AE global"]
 FAMILIES = ["benign", "gafgyt", "mirai"]
@@ -40,7 +42,8 @@ def _traffic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long"),
         F.date_format("l_shipdate", "yyyy-MM-dd"),
     )
-    rows = table(spark, sf_dir, "lineitem").withColumn("device_id", (F.col("l_suppkey") % 9 + 1).cast("int"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    rows = lines.withColumn("device_id", (F.col("l_suppkey") % 9 + 1).cast("int"))
     rows = rows.where(~((F.col("l_returnflag") == "R") & F.col("device_id").isin(3, 7)))
     return rows.select(
         "*",

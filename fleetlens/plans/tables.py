@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.operators import comparison, evaluation, profiling, records, sampling, scaling, thresholds as th
 from fleetlens.plans import bindings as b
-from fleetlens.session import scratch_path
+from fleetlens.session import scratch_path, staged
 from fleetlens.sources import traffic as src
 
 DUP_FEATURES = ["quantity", "discount", "tax"]
@@ -34,9 +34,8 @@ def _raw_csv(spark: SparkSession, sf_dir: str) -> str:
 
 def scan_csv(spark, sf_dir):
     scanned = src.scan_csv(spark, _raw_csv(spark, sf_dir), b.FEATURES)
-    return stable(
-        scanned.groupBy("file_name").agg(F.count("*").alias("n"), *[F.sum(f).alias(f"sum_{f}") for f in b.FEATURES])
-    )
+    sums = [F.round(F.sum(f), 2).alias(f"sum_{f}") for f in b.FEATURES]
+    return scanned.groupBy("file_name").agg(F.count("*").alias("n"), *sums)
 
 
 def label_from_filename(spark, sf_dir):
@@ -48,11 +47,9 @@ def label_from_filename(spark, sf_dir):
 def ingest_by_device(spark, sf_dir):
     path = scratch_path(spark, "ingest")
     src.write_traffic(src.label_rows(src.scan_csv(spark, _raw_csv(spark, sf_dir), b.FEATURES)), path)
-    sums = [F.sum(F.col(f).cast("double")).alias(f"sum_{f}") for f in b.FEATURES]
+    sums = [F.round(F.sum(F.col(f).cast("double")), 2).alias(f"sum_{f}") for f in b.FEATURES]
     stored = spark.read.parquet(path)
-    return stable(
-        stored.groupBy("device_id", "is_attack", "attack_family", "attack_type").agg(F.count("*").alias("n"), *sums)
-    )
+    return stored.groupBy("device_id", "is_attack", "attack_family", "attack_type").agg(F.count("*").alias("n"), *sums)
 
 
 def _summary_csv(spark, sf_dir) -> str:
@@ -222,7 +219,7 @@ def sample_stratified(spark, sf_dir):
 
 
 def prevalence_resample(spark, sf_dir):
-    counts = sampling.prevalence_counts(b.predictions(spark, sf_dir), "row_key", b.PREVALENCES, repeats=30)
+    counts = sampling.prevalence_counts(_stored_predictions(spark, sf_dir), "row_key", b.PREVALENCES, repeats=30)
     return counts.select("prevalence", "repeat", "n_attack", "tp", "fp", "tn", "fn")
 
 
@@ -232,7 +229,7 @@ def prevalence_sample(spark, sf_dir):
 
 
 def _split_scores(spark, sf_dir, strategy: str = "LOF") -> DataFrame:
-    return sampling.split_benign(b.scored(spark, sf_dir, strategy), "row_key")
+    return staged(sampling.split_benign(b.scored(spark, sf_dir, strategy), "row_key"), "split-scores", ["split"])
 
 
 def _val_scores(spark, sf_dir, strategy: str = "LOF") -> DataFrame:
@@ -426,39 +423,42 @@ def extreme_recall_pivot(spark, sf_dir):
     return evaluation.extreme_recall_pivot(extreme_type_metrics(spark, sf_dir), EXTREME_DEVICES)
 
 
-def _optimal(spark, sf_dir) -> DataFrame:
-    return evaluation.mcc_threshold(b.predictions(spark, sf_dir), ["device_id"], **MCC_GRID)
+def _stored_predictions(spark, sf_dir, strategy: str = "LOF") -> DataFrame:
+    return staged(b.predictions(spark, sf_dir, strategy), "predictions")
+
+
+def _optimal(rows: DataFrame) -> DataFrame:
+    return evaluation.mcc_threshold(rows, ["device_id"], **MCC_GRID)
 
 
 def mcc_threshold(spark, sf_dir):
-    return stable(_optimal(spark, sf_dir))
+    return stable(_optimal(_stored_predictions(spark, sf_dir)))
 
 
 def mcc_threshold_global(spark, sf_dir):
-    rows = b.predictions(spark, sf_dir, "AE global")
+    rows = _stored_predictions(spark, sf_dir, "AE global")
     return stable(evaluation.mcc_threshold(rows, [], n_candidates=100, min_quantile=0.0, max_quantile=0.5))
 
 
 def threshold_comparison(spark, sf_dir):
-    return evaluation.threshold_comparison(
-        b.predictions(spark, sf_dir), b.thresholds(spark), _optimal(spark, sf_dir)
-    )
+    rows = _stored_predictions(spark, sf_dir)
+    return evaluation.threshold_comparison(rows, b.thresholds(spark), _optimal(rows))
 
 
 def score_histogram(spark, sf_dir):
-    rows = b.predictions(spark, sf_dir)
-    limits = evaluation.histogram_limits(rows, b.thresholds(spark), _optimal(spark, sf_dir))
+    rows = _stored_predictions(spark, sf_dir)
+    limits = evaluation.histogram_limits(rows, b.thresholds(spark), _optimal(rows))
     return evaluation.score_histogram(rows, limits)
 
 
 def score_histogram_zoom(spark, sf_dir):
-    rows = b.predictions(spark, sf_dir)
-    limits = evaluation.histogram_limits(rows, b.thresholds(spark), _optimal(spark, sf_dir), zoom=True)
+    rows = _stored_predictions(spark, sf_dir)
+    limits = evaluation.histogram_limits(rows, b.thresholds(spark), _optimal(rows), zoom=True)
     return evaluation.score_histogram(rows, limits)
 
 
 def roc_curve(spark, sf_dir):
-    return stable(evaluation.roc_curve(_strategies(spark, sf_dir), ["strategy"]))
+    return evaluation.roc_curve(_strategies(spark, sf_dir), ["strategy"])
 
 
 def roc_auc(spark, sf_dir):
@@ -466,11 +466,12 @@ def roc_auc(spark, sf_dir):
 
 
 def _samples(spark, sf_dir) -> DataFrame:
-    return comparison.sampled_strategies(_strategies(spark, sf_dir), "row_key", b.STRATEGIES, PR_PREVALENCES)
+    rows = staged(_strategies(spark, sf_dir), "strategies", ["strategy"])
+    return comparison.sampled_strategies(rows, "row_key", b.STRATEGIES, PR_PREVALENCES)
 
 
 def pr_curve(spark, sf_dir):
-    return stable(comparison.strategy_pr_curve(_samples(spark, sf_dir)))
+    return comparison.strategy_pr_curve(_samples(spark, sf_dir))
 
 
 def average_precision(spark, sf_dir):
@@ -478,17 +479,17 @@ def average_precision(spark, sf_dir):
 
 
 def prevalence_sensitivity(spark, sf_dir):
-    return evaluation.prevalence_sensitivity(b.predictions(spark, sf_dir), "row_key", b.PREVALENCES)
+    return evaluation.prevalence_sensitivity(_stored_predictions(spark, sf_dir), "row_key", b.PREVALENCES)
 
 
 def recalibrated_prevalence(spark, sf_dir):
-    return evaluation.recalibrated_prevalence(
-        b.predictions(spark, sf_dir), "row_key", _optimal(spark, sf_dir), b.PREVALENCES
-    )
+    rows = _stored_predictions(spark, sf_dir)
+    return evaluation.recalibrated_prevalence(rows, "row_key", _optimal(rows), b.PREVALENCES)
 
 
 def operational_metrics(spark, sf_dir):
-    return comparison.operational_metrics(_strategies(spark, sf_dir), "row_key", b.STRATEGIES, b.PREVALENCES)
+    rows = staged(_strategies(spark, sf_dir), "strategies", ["strategy"])
+    return comparison.operational_metrics(rows, "row_key", b.STRATEGIES, b.PREVALENCES)
 
 
 def strategy_global(spark, sf_dir):
@@ -543,10 +544,15 @@ def _rounded_features(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.round(F.col(c).cast("double"), 5).alias(c) if c in b.FEATURES else F.col(c) for c in rows.columns])
 
 
+def unsigned_zero(c):
+    """Zero without a sign."""
+    return F.when(c == 0, F.lit(0.0)).otherwise(c)
+
+
 def _scaled_moments(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"),
-        *[F.round(F.avg(F.col(f).cast("double")), 6).alias(f"mean_{f}") for f in b.FEATURES],
+        *[unsigned_zero(F.round(F.avg(F.col(f).cast("double")), 6)).alias(f"mean_{f}") for f in b.FEATURES],
         *[F.round(F.stddev_pop(F.col(f).cast("double")), 6).alias(f"std_{f}") for f in b.FEATURES],
     )
 
@@ -565,9 +571,11 @@ def scale_splits_global(spark, sf_dir):
 
 def fleet_report(spark, sf_dir):
     """Flagship: split, scale per device, score, threshold at benign p99, predict, evaluate."""
-    rows, _ = scaling.scale_splits(_splits(spark, sf_dir), b.FEATURES)
+    splits = staged(_splits(spark, sf_dir), "splits", ["split"])
+    rows, _ = scaling.scale_splits(splits, b.FEATURES)
     squares = sum((F.col(f).cast("double") * F.col(f).cast("double") for f in b.FEATURES[1:]), F.col(b.FEATURES[0]).cast("double") * F.col(b.FEATURES[0]).cast("double"))
-    scored = rows.withColumn("score", F.round(squares / len(b.FEATURES), 5).cast("float"))
+    scored = rows.withColumn("score", F.round(squares / len(b.FEATURES), 5).cast("float")).drop(*b.FEATURES)
+    scored = staged(scored, "scored", ["split"])
     criteria = th.threshold_criteria(scored.where("split = 'val'"), ["device_id"])
     limits = criteria.where("criterion = 'p99'").select("device_id", "threshold")
     tested = scored.where("split like 'test_%'").withColumn("y_true", F.col("is_attack").cast("byte"))
@@ -579,5 +587,5 @@ QUERIES = {
     for name, fn in list(globals().items())
     if callable(fn)
     and not name.startswith("_")
-    and name not in ("stable", "scratch_path", "DataFrame", "SparkSession")
+    and name not in ("stable", "unsigned_zero", "staged", "scratch_path", "DataFrame", "SparkSession")
 }

@@ -46,6 +46,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write a stage's result to the shared folder and go on from the written table.
+
+    Later passes then read the stored columns they need instead of repeating
+    the stage, and a lost executor costs one file read.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-repartition a scan that has fewer splits than the cluster has cores.
+
+    A table of normal size has more splits than cores and passes unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
