@@ -34,6 +34,7 @@ HISTORY_SCHEMA = "device_id int, config_id string, epoch int, loss double, val_l
 # Parameter values the driver and a task may hold at once (a wave of models).
 WAVE_VALUES = 16_000_000
 CHUNK = 1024
+ROWS_PER_TASK = 4096
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -59,8 +60,11 @@ def training_table(rows: DataFrame, *, fleet: bool = False, seed: int = 42) -> D
     """
     spark = rows.sparkSession
     device = F.lit(FLEET) if fleet else F.col("device_id")
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = rows.where("split in ('train', 'val')").select(
+    known = rows.where("split in ('train', 'val')")
+    # Averaging over tasks with few steps each learns slowly, so tasks get a fair share of rows.
+    most = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(most, -(-known.count() // ROWS_PER_TASK) or 1)
+    table = known.select(
         device.cast("int").alias("device_id"),
         "features",
         (F.col("split") == "val").alias("is_val"),
@@ -280,8 +284,9 @@ def _close_epoch(r: dict, got: dict, patience: int | None, min_delta: float, pla
             r["low"], r["cool"] = loss, 0
         else:
             r["cool"] += 1
-            if r["cool"] >= plateau.get("patience", 5):
-                r["lr"], r["cool"] = max(r["lr"] * plateau.get("factor", 0.5), plateau.get("min_lr", 1e-6)), 0
+            floor = plateau.get("min_lr", 1e-6)
+            if r["cool"] >= plateau.get("patience", 5) and r["lr"] > floor:
+                r["lr"], r["cool"] = max(r["lr"] * plateau.get("factor", 0.5), floor), 0
 
 
 # ---- use of models -------------------------------------------------------

@@ -50,14 +50,15 @@ def split_benign(
             "val_end": lambda n: F.floor(n.cast("double") * F.lit(train_size + val_size)),
         },
     )
-    marked = lookup_join(df, _wide_cuts(cuts, [group], ["train_end", "val_end"]), [group], "left")
+    ends = _wide_cuts(cuts, [group], ["train_end", "val_end"])
+    marked = lookup_join(df.withColumn("_order", order), ends, [group], "left")
     split = (
         F.when(F.col("is_attack"), "test_attack")
-        .when(_inside(order, "train_end"), "train")
-        .when(_inside(order, "val_end"), "val")
+        .when(_inside(F.col("_order"), "train_end"), "train")
+        .when(_inside(F.col("_order"), "val_end"), "val")
         .otherwise("test_benign")
     )
-    return marked.withColumn("split", split).drop("train_end", "val_end")
+    return marked.withColumn("split", split).drop("_order", "train_end", "val_end")
 
 
 def sample_exact(df: DataFrame, key: str, fraction: float, *, seed: int = 42, group: list[str] | None = None) -> DataFrame:
