@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.expressions import metric_columns, ratio
 from fleetlens.operators.evaluation import average_precision, metric_table, pr_curve
-from fleetlens.operators.sampling import prevalence_counts, prevalence_sample
+from fleetlens.operators.sampling import prevalence_counts, prevalence_samples
 
 
 def unify(tables: dict[str, DataFrame]) -> DataFrame:
@@ -58,13 +58,7 @@ def operational_metrics(
     Each (strategy, prevalence) is judged on all benign rows and one exact
     draw of attacks; too small an attack pool is an error.
     """
-    parts = [
-        prevalence_counts(
-            predictions.where(F.col("strategy") == s), key, prevalences, repeats=1, seed=seed, rounding="round"
-        ).withColumn("strategy", F.lit(s))
-        for s in order
-    ]
-    counts = reduce(DataFrame.unionByName, parts)
+    counts = prevalence_counts(predictions, key, prevalences, by=["strategy"], seed=seed, rounding="round")
     return (
         counts.select("strategy", "prevalence", *metric_columns(["precision", "recall", "mcc", "fpr"]), "fp", "tn")
         .withColumn("fp_per_100k_benign", F.round(ratio(F.col("fp"), F.col("fp") + F.col("tn")) * 100000, 6))
@@ -73,16 +67,9 @@ def operational_metrics(
     )
 
 
-def sampled_strategies(
-    predictions: DataFrame, key: str, order: list[str], prevalences: list[float], *, seed: int = 42
-) -> DataFrame:
+def sampled_strategies(predictions: DataFrame, key: str, prevalences: list[float], *, seed: int = 42) -> DataFrame:
     """The prevalence samples of all strategies, tagged with strategy and prevalence."""
-    parts = [
-        prevalence_sample(predictions.where(F.col("strategy") == s), key, p, seed=seed).withColumn("prevalence", F.lit(p))
-        for s in order
-        for p in prevalences
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return prevalence_samples(predictions, key, prevalences, by=["strategy"], seed=seed)
 
 
 def strategy_pr_curve(samples: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import hash_order
-from fleetlens.operators.joins import lookup_join, skew_join
+from fleetlens.operators.joins import checked, lookup_checked, skew_join
 from fleetlens.session import staged
 
 # Fixed sizes: rows of a block side, wanted rows per cell, pivots over all devices.
@@ -153,11 +153,16 @@ def _block_top_k(k: int, metric: str):
     return nearest
 
 
-def _blocks(rows: DataFrame, key: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Cuts each cell into blocks of about BLOCK_ROWS; returns rows with a block number and (cell, blocks)."""
-    sizes = rows.groupBy("device_id", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}_blocks"))
+def _block_counts(rows: DataFrame, name: str) -> DataFrame:
+    """Blocks of about BLOCK_ROWS per cell."""
+    return rows.groupBy("device_id", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}_blocks"))
+
+
+def _in_blocks(rows: DataFrame, sizes: DataFrame, local: bool, key: str, name: str, other: str) -> DataFrame:
+    """Each row in its own block, repeated once per block of the other side."""
     cut = F.pmod(F.xxhash64(key), F.col(f"{name}_blocks").cast("long")).cast("int")
-    return lookup_join(rows, sizes, ["device_id", "cell"]).withColumn(name, cut), sizes
+    placed = lookup_checked(rows, sizes, local, ["device_id", "cell"]).withColumn(name, cut)
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
 
 
 def knn_join(queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
@@ -178,21 +183,25 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euc
         train.select(*columns).withColumn("_copy", copies).where(F.col("_copy") <= need).drop("_copy"), "knn-train"
     )
     counts = {r[0]: r[1] for r in train.groupBy("device_id").count().limit(MAX_PIVOTS).collect()}
-    pivots = spark.sparkContext.broadcast(_pivots(train, counts))
-    celled = staged(_assign_cells(train, pivots, metric), "knn-cells")
-    # At most one row per pivot.
-    summary = celled.where(~F.isnan("pivot_dist")).groupBy("device_id", "cell").agg(
-        F.min("pivot_dist").alias("low"), F.max("pivot_dist").alias("high"), F.count("*").alias("n")
-    )
-    cells = spark.sparkContext.broadcast(_cell_table(summary))
     distinct = queries.select("device_id", "features").distinct().withColumn("qid", F.md5(F.to_json(F.struct("features"))))
-    routed = staged(_route(distinct, pivots, cells, need, metric), "knn-routed")
-    q_blocks, q_sizes = _blocks(routed, "qid", "qb")
-    t_blocks, t_sizes = _blocks(celled.drop("pivot_dist"), "id", "tb")
+    if max(counts.values(), default=0) <= CELL_ROWS and len(counts) < MAX_PIVOTS:
+        # Every device is a single cell: there is nothing to rule out.
+        celled, routed = train.withColumn("cell", F.lit(0)), staged(distinct.withColumn("cell", F.lit(0)), "knn-queries")
+    else:
+        pivots = spark.sparkContext.broadcast(_pivots(train, counts))
+        celled = staged(_assign_cells(train, pivots, metric), "knn-cells")
+        # At most one row per pivot.
+        summary = celled.where(~F.isnan("pivot_dist")).groupBy("device_id", "cell").agg(
+            F.min("pivot_dist").alias("low"), F.max("pivot_dist").alias("high"), F.count("*").alias("n")
+        )
+        cells = spark.sparkContext.broadcast(_cell_table(summary))
+        routed = staged(_route(distinct, pivots, cells, need, metric), "knn-routed")
     # Block pairs of a cell: each side is repeated once per block of the other.
     on = ["device_id", "cell"]
-    q_side = lookup_join(q_blocks, t_sizes, on).withColumn("tb", F.explode(F.sequence(F.lit(0), F.col("tb_blocks") - 1)))
-    t_side = lookup_join(t_blocks, q_sizes, on).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qb_blocks") - 1)))
+    sizes = _block_counts(routed, "qb").join(_block_counts(celled, "tb"), on)
+    sizes, local = checked(sizes)
+    q_side = _in_blocks(routed, sizes, local, "qid", "qb", "tb")
+    t_side = _in_blocks(celled, sizes, local, "id", "tb", "qb")
     pair = ["device_id", "cell", "qb", "tb"]
     found = (
         q_side.select(*pair, "qid", "features")

@@ -89,11 +89,65 @@ def _checked(cuts: dict[str, int], available: int) -> None:
             raise ValueError(f"not enough attack rows for {label}: {need} needed, {available} available")
 
 
+def _by_group(by: list[str], values: dict[tuple, int]) -> Column:
+    """Looks up an integer by the values of the group columns (a handful of groups)."""
+    if not by:
+        return F.lit(values[()])
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit("|".join(map(str, k))), F.lit(v))]), key)
+
+
+def _class_counts(predictions: DataFrame, by: list[str]) -> dict[tuple, dict]:
+    """Benign rows, false alarms and attack rows per group; groups are few (strategies)."""
+    table = predictions.groupBy(*by).agg(
+        F.count_if(F.col("y_true") == 0).alias("n_benign"),
+        F.count_if((F.col("y_true") == 0) & (F.col("y_pred") == 1)).alias("fp"),
+        F.count_if(F.col("y_true") == 1).alias("n_attack"),
+    )
+    local = bounded_local(table, 1000)
+    if local is None:
+        raise ValueError("prevalence draws are made for at most 1000 groups")
+    return {tuple(r[c] for c in by): r.asDict() for r in local.collect()}
+
+
+def _needs(counts: dict[tuple, dict], prevalences: list[float], rounding: str) -> dict[str, dict[tuple, int]]:
+    needs = {str(p): {g: attack_need(p, c["n_benign"], rounding=rounding) for g, c in counts.items()} for p in prevalences}
+    for label, per_group in needs.items():
+        for g, need in per_group.items():
+            if need > counts[g]["n_attack"]:
+                raise ValueError(
+                    f"not enough attack rows for prevalence {label} {g}: {need} needed, {counts[g]['n_attack']} available"
+                )
+    return needs
+
+
+def _draws(
+    predictions: DataFrame, key: str, by: list[str], counts: dict, needs: dict, repeats: int, seed: int
+) -> DataFrame:
+    """(by, repeat, cut, cutoff, tp): where each draw ends in its seeded order."""
+    attacks = predictions.where("y_true = 1")
+    ordered = attacks.select(*by, F.col(key), "y_pred", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    ordered = ordered.select(*by, "repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred")
+    sizes = {label: (lambda n, m=per_group: _by_group(by, m)) for label, per_group in needs.items()}
+    wanted = sum(need > 0 for per_group in needs.values() for need in per_group.values()) * repeats
+    # A draw is a short prefix of its order, so the rows beyond a generous hash
+    # bound are left out; should the bound ever be too tight, all rows are used.
+    share = max((1.25 * m[g] + 64) / max(c["n_attack"], 1) for m in needs.values() for g, c in counts.items())
+    near = staged(ordered.where(F.col("order") < F.lit(f"{int(share * 2**32):08x}")), "draws") if share < 1 else ordered
+    group = [*by, "repeat"]
+    drawn = prefix_cuts(near, group, "order", sizes, {"tp": F.col("y_pred")})
+    found = drawn.toArrow()  # at most groups x prevalences x repeats rows
+    if found.num_rows < wanted:
+        found = prefix_cuts(ordered, group, "order", sizes, {"tp": F.col("y_pred")}).toArrow()
+    return predictions.sparkSession.createDataFrame(found, drawn.schema)
+
+
 def prevalence_counts(
     predictions: DataFrame,
     key: str,
     prevalences: list[float],
     *,
+    by: list[str] | None = None,
     repeats: int = 1,
     seed: int = 42,
     rounding: str = "floor",
@@ -103,52 +157,78 @@ def prevalence_counts(
     Benign counts never change and are taken once. Repeat r draws attacks in
     the order md5(key, seed + r); its samples for the several prevalences are
     prefixes of that one order. Only counts leave the job; no sample is built.
+    Too small an attack pool is an error.
     """
-    benign = predictions.where("y_true = 0").agg(F.count("*"), F.count_if(F.col("y_pred") == 1)).first()
-    n_benign, fp = benign[0], benign[1]
-    attacks = predictions.where("y_true = 1")
-    needs = {str(p): attack_need(p, n_benign, rounding=rounding) for p in prevalences}
-    available = attacks.count()
-    _checked(needs, available)
-    ordered = attacks.select(F.col(key), "y_pred", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    ordered = ordered.select("repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred")
-    sizes = {label: (lambda n, k=need: F.lit(k)) for label, need in needs.items()}
-    wanted = sum(need > 0 for need in needs.values()) * repeats
-    # A draw is a short prefix of its order, so the rows beyond a generous hash
-    # bound are left out; should the bound ever be too tight, all rows are used.
-    share = 1.25 * max(needs.values()) / max(available, 1) + 64 / max(available, 1)
-    near = staged(ordered.where(F.col("order") < F.lit(f"{int(share * 2**32):08x}")), "draws") if share < 1 else ordered
-    drawn = bounded_local(prefix_cuts(near, ["repeat"], "order", sizes, {"tp": F.col("y_pred")}), wanted)
-    if drawn.count() < wanted:
-        drawn = prefix_cuts(ordered, ["repeat"], "order", sizes, {"tp": F.col("y_pred")})
-    # Empty draws have no cut: the grid of (prevalence, repeat) keeps them.
+    by = by or []
+    counts = _class_counts(predictions, by)
+    needs = _needs(counts, prevalences, rounding)
+    drawn = _draws(predictions, key, by, counts, needs, repeats, seed)
+    # Empty draws have no cut: the grid of (group, prevalence, repeat) keeps them.
+    kinds = ", ".join(f"`{c}` {predictions.schema[c].dataType.simpleString()}" for c in by)
+    rows = [
+        (*g, r, label, float(label), need, counts[g]["fp"], counts[g]["n_benign"])
+        for label, per_group in needs.items()
+        for g, need in per_group.items()
+        for r in range(repeats)
+    ]
     grid = predictions.sparkSession.createDataFrame(
-        [(r, label, float(label), need) for label, need in needs.items() for r in range(repeats)],
-        "repeat int, cut string, prevalence double, n_attack long",
+        rows, f"{kinds}{', ' if by else ''}repeat int, cut string, prevalence double, n_attack long, fp long, n_benign long"
     )
-    return grid.join(drawn.select("repeat", "cut", "tp"), ["repeat", "cut"], "left").select(
+    tp = F.coalesce("tp", F.lit(0))
+    return grid.join(drawn.select(*by, "repeat", "cut", "tp"), [*by, "repeat", "cut"], "left").select(
+        *by,
         "prevalence",
         "repeat",
         "n_attack",
-        F.coalesce("tp", F.lit(0)).alias("tp"),
-        F.lit(fp).cast("long").alias("fp"),
-        F.lit(n_benign - fp).cast("long").alias("tn"),
-        (F.col("n_attack") - F.coalesce("tp", F.lit(0))).alias("fn"),
+        tp.alias("tp"),
+        "fp",
+        (F.col("n_benign") - F.col("fp")).alias("tn"),
+        (F.col("n_attack") - tp).alias("fn"),
+    )
+
+
+def prevalence_samples(
+    predictions: DataFrame,
+    key: str,
+    prevalences: list[float],
+    *,
+    by: list[str] | None = None,
+    seed: int = 42,
+    rounding: str = "round",
+) -> DataFrame:
+    """Per group and prevalence: all benign rows and exactly the attacks asked for.
+
+    Adds ``prevalence``. Rows are picked by one comparison with the end of
+    each draw; nothing is sorted.
+    """
+    by = by or []
+    counts = _class_counts(predictions, by)
+    needs = _needs(counts, prevalences, rounding)
+    ends = {
+        (tuple(r[c] for c in by), r["cut"]): r["cutoff"]
+        for r in _draws(predictions, key, by, counts, needs, 1, seed).collect()
+    }
+    order = hash_order(seed, key)
+    limits = [
+        F.struct(
+            F.lit(p).alias("prevalence"),
+            _by_group(by, {g: ends.get((g, str(p)), "") for g in counts}).alias("cutoff"),
+        )
+        for p in prevalences
+    ]
+    chosen = F.filter(F.array(*limits), lambda x: (F.col("y_true") == 0) | (F.col("_order") <= x["cutoff"]))
+    return (
+        predictions.withColumn("_order", order)
+        .select(*predictions.columns, F.explode(chosen).alias("_p"))
+        .select(*predictions.columns, "_p.prevalence")
     )
 
 
 def prevalence_sample(
     predictions: DataFrame, key: str, prevalence: float, *, seed: int = 42, rounding: str = "round"
 ) -> DataFrame:
-    """All benign rows and exactly as many attacks as the prevalence asks for."""
-    attacks = predictions.where("y_true = 1")
-    n_benign = predictions.where("y_true = 0").count()
-    need = attack_need(prevalence, n_benign, rounding=rounding)
-    _checked({f"prevalence {prevalence}": need}, attacks.count())
-    order = hash_order(seed, key)
-    cut = prefix_cuts(attacks.select(order.alias("order")), [], "order", {"take": lambda n: F.lit(need)}).first()
-    last = F.lit(cut["cutoff"] if cut else "")
-    return predictions.where((F.col("y_true") == 0) | (order <= last))
+    """A single prevalence sample of the whole table."""
+    return prevalence_samples(predictions, key, [prevalence], seed=seed, rounding=rounding).drop("prevalence")
 
 
 UNIFORM_DIGITS = 10  # hex digits, 40 bits

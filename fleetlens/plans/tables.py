@@ -186,6 +186,10 @@ def _strategies(spark, sf_dir) -> DataFrame:
     return comparison.unify(tables)
 
 
+def _stored_strategies(spark, sf_dir) -> DataFrame:
+    return staged(_strategies(spark, sf_dir), "strategies")
+
+
 def strategy_union(spark, sf_dir):
     return _strategies(spark, sf_dir).select("strategy", "row_key", "device_id", "score", "y_true", "y_pred")
 
@@ -193,8 +197,13 @@ def strategy_union(spark, sf_dir):
 # ---- splits and samples --------------------------------------------------
 
 
+def _stored_traffic(spark, sf_dir) -> DataFrame:
+    """The ingested table that later stages read several times."""
+    return staged(b.traffic(spark, sf_dir), "traffic")
+
+
 def _splits(spark, sf_dir) -> DataFrame:
-    return sampling.split_benign(b.traffic(spark, sf_dir), "row_key")
+    return sampling.split_benign(_stored_traffic(spark, sf_dir), "row_key")
 
 
 def split_benign(spark, sf_dir):
@@ -210,11 +219,11 @@ def global_splits(spark, sf_dir):
 
 
 def sample_exact(spark, sf_dir):
-    return sampling.sample_exact(b.traffic(spark, sf_dir), "row_key", 0.05).select("row_key", "device_id")
+    return sampling.sample_exact(_stored_traffic(spark, sf_dir), "row_key", 0.05).select("row_key", "device_id")
 
 
 def sample_stratified(spark, sf_dir):
-    picked = sampling.sample_exact(b.traffic(spark, sf_dir), "row_key", 0.005, group=["device_id"])
+    picked = sampling.sample_exact(_stored_traffic(spark, sf_dir), "row_key", 0.005, group=["device_id"])
     return picked.select("row_key", F.col("device_id").alias("device"))
 
 
@@ -224,12 +233,13 @@ def prevalence_resample(spark, sf_dir):
 
 
 def prevalence_sample(spark, sf_dir):
-    picked = sampling.prevalence_sample(b.predictions(spark, sf_dir), "row_key", 0.05)
+    picked = sampling.prevalence_sample(_stored_predictions(spark, sf_dir), "row_key", 0.05)
     return picked.select("row_key", "y_true", "y_pred", "score")
 
 
 def _split_scores(spark, sf_dir, strategy: str = "LOF") -> DataFrame:
-    return staged(sampling.split_benign(b.scored(spark, sf_dir, strategy), "row_key"), "split-scores", ["split"])
+    scores = staged(b.scored(spark, sf_dir, strategy), "scores")
+    return staged(sampling.split_benign(scores, "row_key"), "split-scores", ["split"])
 
 
 def _val_scores(spark, sf_dir, strategy: str = "LOF") -> DataFrame:
@@ -277,7 +287,7 @@ def missing_profile(spark, sf_dir):
 
 def _dup_query(keys):
     def query(spark, sf_dir):
-        return profiling.duplicate_mask(b.traffic(spark, sf_dir), keys).select("row_key", "is_duplicate")
+        return profiling.duplicate_mask(_stored_traffic(spark, sf_dir), keys).select("row_key", "is_duplicate")
 
     return query
 
@@ -303,19 +313,17 @@ def duplicate_pivot(spark, sf_dir):
     return profiling.duplicate_pivot(duplicate_summary_device(spark, sf_dir), b.FAMILIES)
 
 
-PROFILED = b.FEATURES + b.WINDOW_FEATURES
-
-
 def _profiled(spark, sf_dir) -> DataFrame:
-    return b.windowed(spark, sf_dir)
+    return staged(b.windowed(spark, sf_dir), "windowed")
 
 
 def feature_variance(spark, sf_dir):
-    return stable(profiling.both_ends(profiling.feature_variance(_profiled(spark, sf_dir), b.WINDOW_FEATURES), "variance", 5))
+    rows = profiling.feature_variance(b.windowed(spark, sf_dir), b.WINDOW_FEATURES)
+    return stable(profiling.both_ends(rows, "variance", 5))
 
 
 def constant_features(spark, sf_dir):
-    return profiling.constant_features(_profiled(spark, sf_dir), b.WINDOW_FEATURES)
+    return profiling.constant_features(b.windowed(spark, sf_dir), b.WINDOW_FEATURES)
 
 
 def low_variance_profile(spark, sf_dir):
@@ -328,7 +336,7 @@ def scale_profile(spark, sf_dir):
 
 def range_topk(spark, sf_dir):
     rows = profiling._per_column(
-        _profiled(spark, sf_dir), b.WINDOW_FEATURES, {"min": F.min, "max": F.max}
+        b.windowed(spark, sf_dir), b.WINDOW_FEATURES, {"min": F.min, "max": F.max}
     ).withColumn("range", F.col("max") - F.col("min"))
     return stable(profiling.both_ends(rows, "range", 5))
 
@@ -458,16 +466,16 @@ def score_histogram_zoom(spark, sf_dir):
 
 
 def roc_curve(spark, sf_dir):
-    return evaluation.roc_curve(_strategies(spark, sf_dir), ["strategy"])
+    return evaluation.roc_curve(_stored_strategies(spark, sf_dir), ["strategy"])
 
 
 def roc_auc(spark, sf_dir):
-    return evaluation.roc_auc(_strategies(spark, sf_dir), ["strategy"])
+    return evaluation.roc_auc(_stored_strategies(spark, sf_dir), ["strategy"])
 
 
 def _samples(spark, sf_dir) -> DataFrame:
-    rows = staged(_strategies(spark, sf_dir), "strategies", ["strategy"])
-    return comparison.sampled_strategies(rows, "row_key", b.STRATEGIES, PR_PREVALENCES)
+    rows = _stored_strategies(spark, sf_dir)
+    return comparison.sampled_strategies(rows, "row_key", PR_PREVALENCES)
 
 
 def pr_curve(spark, sf_dir):
@@ -488,7 +496,7 @@ def recalibrated_prevalence(spark, sf_dir):
 
 
 def operational_metrics(spark, sf_dir):
-    rows = staged(_strategies(spark, sf_dir), "strategies", ["strategy"])
+    rows = _stored_strategies(spark, sf_dir)
     return comparison.operational_metrics(rows, "row_key", b.STRATEGIES, b.PREVALENCES)
 
 

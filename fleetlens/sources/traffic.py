@@ -58,9 +58,13 @@ def label_rows(scanned: DataFrame, *, as_float: bool = True) -> DataFrame:
 
 
 def write_traffic(traffic: DataFrame, path: str, *, compression: str = "snappy") -> None:
-    """One partitioned table; only the devices at hand are replaced."""
+    """One partitioned table; only the devices at hand are replaced.
+
+    Rebalancing keeps files few and still splits a device too large for one task.
+    """
     (
-        traffic.write.mode("overwrite")
+        traffic.hint("rebalance", "device_id")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", compression)
         .partitionBy("device_id")
@@ -70,11 +74,13 @@ def write_traffic(traffic: DataFrame, path: str, *, compression: str = "snappy")
 
 def write_raw_csv(rows: DataFrame, path: str) -> None:
     """Raw copy: one folder per source file, named after it."""
-    rows.write.mode("overwrite").option("header", True).partitionBy("file_name").csv(path)
+    balanced = rows.hint("rebalance", "file_name")
+    balanced.write.mode("overwrite").option("header", True).partitionBy("file_name").csv(path)
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
-    splits.write.mode("overwrite").partitionBy("device_id", "split").parquet(path)
+    balanced = splits.hint("rebalance", "device_id", "split")
+    balanced.write.mode("overwrite").partitionBy("device_id", "split").parquet(path)
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
