@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import confusion_cells, mcc, metric_columns, nine_metrics, ratio
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, with_scalars
 from fleetlens.operators.ordering import cumulative, quantile_grid, quantiles
 from fleetlens.operators.sampling import prevalence_counts
 from fleetlens.operators.thresholds import score_group
@@ -58,9 +58,7 @@ def global_metrics(predictions: DataFrame) -> DataFrame:
 def device_metrics(predictions: DataFrame) -> DataFrame:
     """Metrics per device with the mean recall over devices alongside."""
     table = metric_table(predictions, ["device_id"])
-    mean = table.agg(F.avg("recall").alias("mean_recall"))
-    # One row.
-    return table.join(F.broadcast(mean)).withColumn("mean_recall", F.round("mean_recall", 9))
+    return with_scalars(table, table.agg(F.round(F.avg("recall"), 9).alias("mean_recall")))
 
 
 def attack_detection(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -124,7 +122,7 @@ def _counts_above(predictions: DataFrame, points: DataFrame, by: list[str]) -> D
     curve = cumulative(rows.unionByName(marks), by, "score", {m: F.col(m) for m in ("pos", "neg", "mark")})
     totals = rows.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     marked = curve.where("mark > 0")
-    marked = lookup_join(marked, totals, by) if by else marked.join(F.broadcast(totals))
+    marked = lookup_join(marked, totals, by) if by else with_scalars(marked, totals)
     return marked.select(
         *by,
         F.col("score").alias("threshold"),
@@ -232,7 +230,7 @@ def _curve(predictions: DataFrame, by: list[str], lead: bool = False) -> DataFra
     y = F.col("y_true").cast("long")
     curve = cumulative(predictions, by, "score", {"pos": y, "neg": 1 - y}, descending=True, lead=lead)
     totals = predictions.groupBy(*by).agg(F.sum(y).alias("all_pos"), F.sum(1 - y).alias("all_neg"))
-    return lookup_join(curve, totals, by) if by else curve.join(F.broadcast(totals))
+    return lookup_join(curve, totals, by) if by else with_scalars(curve, totals)
 
 
 def roc_curve(predictions: DataFrame, by: list[str]) -> DataFrame:

@@ -39,6 +39,12 @@ def lookup_checked(big: DataFrame, small: DataFrame, local: bool, on: list[str],
     return big.join(F.broadcast(small), on, how) if local else skew_join(big, small, on, how)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Adds the values of a one-row aggregate to every row, as literals."""
+    row = one_row.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema})
+
+
 def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Shuffle join in which hot keys of ``big`` never meet in one task.
 

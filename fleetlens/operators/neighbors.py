@@ -25,7 +25,7 @@ from fleetlens.session import staged
 BLOCK_ROWS = 2048
 CELL_ROWS = 4096
 MAX_PIVOTS = 8192
-MAX_PIVOTS_PER_DEVICE = 256
+MAX_PIVOTS_PER_DEVICE = 1000
 METRICS = ("euclidean", "manhattan")
 
 

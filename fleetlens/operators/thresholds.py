@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.expressions import ratio
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, with_scalars
 from fleetlens.operators.ordering import cumulative, quantiles
 
 # The quantiles of the score summaries and of the criteria.
@@ -41,7 +41,7 @@ def score_group() -> Column:
 
 def _joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """Per-group results side by side (both sides have one row per group)."""
-    return left.join(right, by) if by else left.join(F.broadcast(right))
+    return left.join(right, by) if by else with_scalars(left, right)
 
 
 def score_summary(scores: DataFrame, by: list[str], value: str = "score") -> DataFrame:
@@ -81,7 +81,7 @@ def ks_statistic(scores: DataFrame, by: list[str], value: str = "score") -> Data
     both = scores.where("split in ('train', 'val')")
     curve = cumulative(both, by, value, {"train": is_train, "val": is_val})
     sizes = both.groupBy(*by).agg(F.sum(is_train).alias("n_train"), F.sum(is_val).alias("n_val"))
-    gaps = curve.join(F.broadcast(sizes)) if not by else lookup_join(curve, sizes, by)
+    gaps = lookup_join(curve, sizes, by) if by else with_scalars(curve, sizes)
     gap = F.abs(ratio(F.col("cum_train"), F.col("n_train")) - ratio(F.col("cum_val"), F.col("n_val")))
     return gaps.groupBy(*by).agg(F.max(gap).alias("ks_statistic"))
 
@@ -135,7 +135,7 @@ def threshold_fpr(val_scores: DataFrame, criteria: DataFrame, by: list[str], val
         *[F.max(F.when(F.col("criterion") == n, F.col("threshold"))).alias(f"t_{n}") for n in names]
     )
     v = F.col(value).cast("double")
-    tagged = lookup_join(val_scores, wide, by) if by else val_scores.join(F.broadcast(wide))
+    tagged = lookup_join(val_scores, wide, by) if by else with_scalars(val_scores, wide)
     above = tagged.groupBy(*by).agg(
         *[F.max(f"t_{n}").alias(f"t_{n}") for n in names],
         *[F.avg((v > F.col(f"t_{n}")).cast("double")).alias(f"f_{n}") for n in names],
