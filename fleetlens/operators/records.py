@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import time
+
+from pyspark.sql import DataFrame, Observation, functions as F
+
+
+def write_and_record(predictions: DataFrame, path: str, **tags: str) -> DataFrame:
+    """Writes a scored table and returns its record: rows, seconds and rows per second.
+
+    The row count is observed by the writing job itself.
+    """
+    seen = Observation()
+    start = time.perf_counter()
+    predictions.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    seconds, n = time.perf_counter() - start, seen.get["n"]
+    row = (*tags.values(), n, round(seconds, 6), round(n / seconds, 4) if seconds > 0 else None)
+    kinds = "".join(f"`{t}` string, " for t in tags)
+    return predictions.sparkSession.createDataFrame([row], f"{kinds}n_scored long, seconds double, rows_per_second double")
 
 
 def size_regression(records: DataFrame) -> DataFrame:

@@ -25,8 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _traffic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem with labels; devices 3 and 7 have no mirai rows."""
-    family = F.when(F.col("l_returnflag") == "N", "benign").when(F.col("l_returnflag") == "A", "gafgyt").otherwise("mirai")
+    """Every lineitem row with labels; devices 3 and 7 know no mirai attacks."""
+    family = (
+        F.when(F.col("l_returnflag") == "N", "benign")
+        .when((F.col("l_returnflag") == "A") | F.col("device_id").isin(3, 7), "gafgyt")
+        .otherwise("mirai")
+    )
     kind = (
         F.when(F.col("l_returnflag") == "N", "benign")
         .when(F.col("l_linestatus") == "F", "tcp")
@@ -44,7 +48,6 @@ def _traffic_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     rows = lines.withColumn("device_id", (F.col("l_suppkey") % 9 + 1).cast("int"))
-    rows = rows.where(~((F.col("l_returnflag") == "R") & F.col("device_id").isin(3, 7)))
     return rows.select(
         "*",
         key.alias("row_key"),
@@ -142,11 +145,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device dimension: the suppliers numbered 1 to 8, so device 9 has no name."""
-    return (
-        table(spark, sf_dir, "supplier")
-        .where(F.col("s_suppkey").between(1, 8))
-        .select(F.col("s_suppkey").cast("int").alias("device"), F.col("s_name").alias("device_name"))
+    """Device dimension: a device is named after the supplier of its number."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").cast("int").alias("device"), F.col("s_name").alias("device_name")
     )
 
 

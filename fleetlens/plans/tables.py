@@ -13,13 +13,17 @@ DUP_FEATURES = ["quantity", "discount", "tax"]
 EXTREME_DEVICES = [2, 3, 7]
 MCC_GRID = {"n_candidates": 1000, "min_quantile": 0.0, "max_quantile": 0.3}
 PR_PREVALENCES = [0.10, 0.001]
+HALF_UP = 1.00000000003
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Doubles to nine significant digits, so that summation order does not show."""
+    """Doubles to nine significant digits, so that summation order does not show.
+
+    The factor lifts exact halves, which printing routines round differently.
+    """
     doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"}
     return df.select(
-        *[F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.8e", F.col(f"`{c}`")).cast("double")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
+        *[F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.8e", F.col(f"`{c}`") * HALF_UP).cast("double")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
     )
 
 

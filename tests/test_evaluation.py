@@ -134,6 +134,12 @@ def test_missing_and_constant_columns(spark):
     assert profiling.constant_features(df, ["a"]).first()["n_constant"] == 1
 
 
+def test_scoring_record(spark, tmp_path):
+    record = records.write_and_record(spark.range(50), str(tmp_path / "p"), strategy="LOF").first()
+    assert (record["strategy"], record["n_scored"]) == ("LOF", 50) and record["rows_per_second"] > 0
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 50
+
+
 def test_union_of_strategies_and_records(spark):
     a = spark.createDataFrame([(1, 0.5)], "device_id int, score float")
     b = spark.createDataFrame([("2", 0.25, True)], "device_id string, reconstruction_error float, is_attack boolean")
