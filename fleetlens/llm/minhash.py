@@ -7,11 +7,13 @@ coordinates put documents into buckets; every link is confirmed on the full
 shingle sets.
 
 Documents with equal sets form one class, found by a fingerprint of the set.
-Inside a bucket each class is first checked against the bucket's smallest
-class, which joins large groups of copies in a number of checks that is linear
-in their size. Only classes of one bucket that are then still in different
-components are compared with each other: signatures in blocks of bounded size,
-and full sets for the pairs whose signatures allow the similarity.
+Inside a bucket each class is first checked against the bucket's hub, the class
+that meets most others over all its buckets: the original of a group of copies
+is in more buckets with each copy than the copies are with each other, so large
+groups join in a number of checks that is linear in their size. Only classes of
+one bucket that are then still in different components are compared with each
+other: sketches of the longer signature in blocks of bounded size, once per
+pair, and full sets for the pairs whose sketches allow the similarity.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a row without key is measured but linked with nothing; rows that
@@ -33,7 +35,8 @@ from fleetlens.llm.text import mix, shingle_sets
 from fleetlens.session import staged
 
 BANDS, BAND_ROWS = 32, 4
-COORDINATES = BANDS * BAND_ROWS
+COORDINATES = 512  # the first BANDS * BAND_ROWS make the bands, the low bytes of all make the sketch
+SHIFTS = 128  # coordinates worked on at once
 SLICE = 4096  # elements of a set worked on at once
 BLOCK = 256  # classes of a bucket compared with each other at once
 TASK_SHINGLES = 4_000_000  # shingles checked against one class before the work is split
@@ -42,26 +45,33 @@ TASK_SHINGLES = 4_000_000  # shingles checked against one class before the work
 def signature(values: np.ndarray) -> np.ndarray:
     """Circulant MinHash of a set of 64-bit shingle hashes, COORDINATES 32-bit numbers."""
     scattered = (mix(values) >> np.uint64(32)).astype(np.uint32)
-    shifts = np.arange(COORDINATES, dtype=np.uint32)[:, None]
     least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(scattered), SLICE):
-        x = scattered[None, i : i + SLICE] + shifts
-        x *= np.uint32(0x9E3779B1)
-        x ^= x >> np.uint32(15)
-        x *= np.uint32(0x85EBCA77)
-        x ^= x >> np.uint32(13)
-        np.minimum(least, x.min(axis=1), out=least)
+    for first in range(0, COORDINATES, SHIFTS):
+        shifts = np.arange(first, first + SHIFTS, dtype=np.uint32)[:, None]
+        best = least[first : first + SHIFTS]
+        for i in range(0, len(scattered), SLICE):
+            x = scattered[None, i : i + SLICE] + shifts
+            x *= np.uint32(0x9E3779B1)
+            x ^= x >> np.uint32(15)
+            x *= np.uint32(0x85EBCA77)
+            x ^= x >> np.uint32(13)
+            np.minimum(best, x.min(axis=1), out=best)
     return least
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+    rows = sig[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     for j in range(BAND_ROWS):
         key = mix(key ^ rows[:, j]) + np.uint64(j)
     return key.view(np.int64)
 
 
+def _sketch(sig: np.ndarray, bands: np.ndarray) -> bytes:
+    """Low halves of the band keys, then the low bytes of all coordinates."""
+    return bands.astype(np.uint32).tobytes() + sig.astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(id, n_shingles, node, sig, bands) of every row; node is the fingerprint of the set, null if it is empty."""
 
@@ -75,8 +85,8 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     if len(own):
                         sig = signature(own)
                         nodes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                        sigs.append(sig.tobytes())
                         bands.append(_band_keys(sig))
+                        sigs.append(_sketch(sig, bands[-1]))
                     else:
                         nodes.append(None), sigs.append(None), bands.append(None)
                 full = [b for b in bands if b is not None]
@@ -135,14 +145,15 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
 
 
 def _across(members: DataFrame, share: int) -> DataFrame:
-    """Pairs of classes of one bucket and different components whose signatures allow the similarity.
+    """Pairs of classes of one bucket and different components whose sketches allow the similarity.
 
     ``members`` has (key, node, comp, n_shingles, sig, n): n is the bucket's size. Buckets are cut into blocks, and
-    every two blocks meet once.
+    every two blocks meet once. A pair comes from the first band that it shares, and from no other.
     """
     t = share / 100
-    # 4.5 standard deviations below the expected number of equal coordinates.
-    least = math.floor(COORDINATES * (t - 4.5 * math.sqrt(t * (1 - t) / COORDINATES)))
+    # Four standard deviations below the expected number of equal coordinates.
+    least = math.floor(COORDINATES * (t - 4 * math.sqrt(t * (1 - t) / COORDINATES)))
+    heads = BANDS * 4
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
     placed = members.withColumn("blocks", blocks).withColumn("own", own)
@@ -151,9 +162,11 @@ def _across(members: DataFrame, share: int) -> DataFrame:
     )
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(group: list[tuple], i: int, j: int) -> tuple[list, list]:
+    def pairs(group: list[tuple], key: int, i: int, j: int) -> tuple[list, list]:
         left, right = [], []
-        sigs = np.frombuffer(b"".join(g[3] for g in group), np.uint32).reshape(len(group), -1)
+        sigs = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
+        bands, sigs = np.ascontiguousarray(sigs[:, :heads]).view(np.uint32), sigs[:, heads:]
+        band = int(np.flatnonzero(bands[0] == np.int64(key).astype(np.uint32))[0])
         sizes = np.array([g[2] for g in group], float)
         comps = np.unique([g[1] for g in group], return_inverse=True)[1]
         side = np.array([g[4] for g in group])
@@ -164,6 +177,7 @@ def _across(members: DataFrame, share: int) -> DataFrame:
                 fit &= side[rest] != side[x]
             near = np.flatnonzero(fit) + x + 1
             if len(near):
+                near = near[~(bands[near, :band] == bands[x, :band]).any(axis=1)]
                 near = near[np.count_nonzero(sigs[near] == sigs[x], axis=1) >= least]
             for y in near:
                 a, b = sorted((group[x][0], group[y][0]))
@@ -173,7 +187,7 @@ def _across(members: DataFrame, share: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
         out = lambda: pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.binary()) for c in (pairs(group, now[1], now[2]) if group else ([], []))], names=["a", "b"]
+            [pa.array(c, pa.binary()) for c in (pairs(group, *now) if group else ([], []))], names=["a", "b"]
         )
         for batch in batches:
             c = [x.to_pylist() for x in batch.columns]
@@ -184,7 +198,7 @@ def _across(members: DataFrame, share: int) -> DataFrame:
                 group.append((node, comp, n, sig, own))
         yield out()
 
-    return dealt.mapInArrow(compare, "a binary, b binary").distinct()
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80) -> DataFrame:
@@ -200,17 +214,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     lead = usable.join(classes.select("node", F.col("id").alias("lead")), "node").where(F.col("id") == F.col("lead"))
     lead = lead.dropDuplicates(["node"])
     members = lead.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("a")).where(F.col("n") > 1)
-    shared = staged(members.join(buckets, "key").select("key", "n", "a", "node"), "buckets")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    full = staged(members.join(counts, "key").select("key", "n", "node"), "buckets")
+    weights = full.groupBy("node").agg(F.sum("n").alias("weight"))
+    hubs = full.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    shared = full.join(hubs, "key").select("key", "n", "a", "node")
     stars = staged(shared.where(F.col("a") != F.col("node")).select("a", F.col("node").alias("b")).distinct(), "stars")
     links = staged(_confirmed(stars, classes, rows, size, share), "confirmed")
     root = components(links)
 
-    open_ = shared.where(F.col("n") > 2).join(root, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    open_ = full.where(F.col("n") > 2).join(root, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
     mixed = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     compared = open_.join(mixed, "key").join(lead.select("node", "n_shingles", "sig"), "node")
     cross = _across(compared.select("key", "node", "comp", "n_shingles", "sig", "n"), share)
-    cross = staged(cross.join(stars, ["a", "b"], "left_anti"), "across")
+    cross = staged(cross.join(tested, ["a", "b"], "left_anti"), "across")
     more = staged(_confirmed(cross, classes, rows, size, share), "confirmed")
     if not more.isEmpty():
         root = components(links.unionByName(more))

@@ -38,4 +38,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op9_quality_rules": OP9}
+OP7 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), w AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS winner FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN winner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN winner <> page_id THEN winner END AS refers_to
+FROM w
+"""
+
+ORACLES: dict[str, str] = {"op7_warc": OP7, "op9_quality_rules": OP9}
