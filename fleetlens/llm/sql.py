@@ -38,6 +38,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
+_REACH = """
+reach AS (
+  SELECT id, id AS other FROM ids
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.other = l.a
+)"""
+
+OP1 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[64]) AS e FROM embeddings
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id < y.vec_id AND array_cosine_similarity(x.e, y.e) >= 0.95
+), ids AS (SELECT vec_id AS id FROM v), {_REACH}
+SELECT id AS vec_id, CAST((SELECT count(*) FROM links WHERE a = id OR b = id) AS BIGINT) AS n_links,
+       min(other) AS component_id, min(other) = id AS kept
+FROM reach GROUP BY id
+"""
+
 OP7 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
@@ -50,4 +68,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
 FROM w
 """
 
-ORACLES: dict[str, str] = {"op7_warc": OP7, "op9_quality_rules": OP9}
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op7_warc": OP7, "op9_quality_rules": OP9}
