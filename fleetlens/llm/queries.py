@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import embeddings, extraction, minhash, mixing, pieces, quality, sharding, substring, warc
+from fleetlens.llm import embeddings, extraction, minhash, mixing, pieces, quality, sharding, substring, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages fetched over the month of the events; an event dates an entry for the page its user stands for."""
+    pages, events = _read(spark, sf_dir, "pages"), _read(spark, sf_dir, "events")
+    minute = F.pmod(F.col("page_id") * 7919, F.lit(43200))
+    fetched = F.timestamp_seconds(F.lit(1704067200) + minute * 60)
+    captures = pages.select("page_id", "url", fetched.alias("fetched"))
+    kind, host = F.col("event_type"), url_filter.host_of(F.col("url"))
+    section = F.concat(host, F.lit("/"), F.regexp_extract("url", "^[a-z]+://[^/]+/([^/]+)/", 1), F.lit("/"))
+    entry = events.join(pages.select(F.col("page_id").alias("user_id"), "url"), "user_id")
+    log = entry.select(
+        F.when(kind.isin("signup", "purchase"), "allow").otherwise("block").alias("list"),
+        F.when(kind == "error", section).when(kind == "view", F.regexp_replace(host, r"^(m|blog)\.", "")).otherwise(host).alias("pattern"),
+        F.when(kind.isin("click", "purchase"), "remove").otherwise("add").alias("action"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    out = url_filter.judge(captures, log)
+    return out.select("page_id", "url", "n_block", "n_allow", F.unix_micros("since").alias("since_us"), "verdict")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.apply_policy(quality.ledger(_read(spark, sf_dir, "documents")))
     return rows.select(
@@ -82,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_warc": op7_warc,
+    "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }

@@ -68,4 +68,35 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
 FROM w
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op7_warc": OP7, "op9_quality_rules": OP9}
+_HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1))"
+
+OP8 = rf"""
+WITH p AS (
+  SELECT page_id, url, {_HOST} AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path,
+         make_timestamp((1704067200 + (page_id * 7919) % 43200 * 60) * 1000000) AS moment FROM pages
+), log AS (
+  SELECT CASE WHEN event_type IN ('signup', 'purchase') THEN 'allow' ELSE 'block' END AS list,
+         CASE WHEN event_type = 'error' THEN host || '/' || regexp_extract(url, '^[a-z]+://[^/]+/([^/]+)/', 1) || '/'
+              WHEN event_type = 'view' THEN regexp_replace(host, '^(m|blog)\.', '') ELSE host END AS pattern,
+         ts, bool_or(event_type NOT IN ('click', 'purchase')) AS opened
+  FROM events JOIN p ON page_id = user_id GROUP BY ALL
+), states AS (
+  SELECT list, pattern, ts, opened, lag(opened, 1, false) OVER (PARTITION BY list, pattern ORDER BY ts) AS was FROM log
+), spans AS (
+  SELECT list, pattern, ts AS lo, lead(ts) OVER (PARTITION BY list, pattern ORDER BY ts) AS hi, opened FROM states WHERE opened <> was
+), asked AS (
+  SELECT page_id, moment, unnest(list_distinct(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.'))
+    || list_transform(range(1, len(string_split(path, '/'))), lambda i: host || array_to_string(string_split(path, '/')[1:i], '/') || '/'))) AS pattern
+  FROM p WHERE host <> ''
+), met AS (
+  SELECT page_id, list, lo FROM asked JOIN spans USING (pattern) WHERE opened AND lo <= moment AND (hi IS NULL OR moment < hi)
+), f AS (
+  SELECT page_id, count(*) FILTER (list = 'block') AS b, count(*) FILTER (list = 'allow') AS a, min(lo) AS since FROM met GROUP BY page_id
+)
+SELECT page_id, url, CAST(coalesce(b, 0) AS BIGINT) AS n_block, CAST(coalesce(a, 0) AS BIGINT) AS n_allow,
+       epoch_us(since) AS since_us, CASE WHEN a > 0 THEN 'allowed' WHEN b > 0 THEN 'blocked' ELSE 'open' END AS verdict
+FROM p LEFT JOIN f USING (page_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op7_warc": OP7, "op8_url_filters": OP8, "op9_quality_rules": OP9}
