@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import quality
+from fleetlens.llm import minhash, mixing, pieces, quality, substring
+from fleetlens.llm.queries import piece_model_path
 from fleetlens.session import staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the current policy keeps."""
+    """Documents that the current policy of the rule ledger keeps."""
     return quality.quality_stage(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
-# Token ids are beyond SQL; the stages are tested against brute force.
+def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked at 0.8 over five-word shingles."""
+    return minhash.dedup_stage(docs, size=5, share=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words and more that a document of smaller id has."""
+    return substring.substring_stage(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the Pfair schedule; sources weigh as the square root of their size."""
+    return mixing.mixed(docs, mixing.tempered_weights(docs))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their token ids, and whether the ids decode to the text."""
+    out = pieces.encode_decode(docs, piece_model_path())
+    return out.withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit(""))).drop("decoded")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("minhash_dedup", minhash_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("sentencepiece", sentencepiece),
+]
+# Token ids are beyond SQL; tests/llm holds the rows against a brute-force run.
 ORACLE_SQL = None
 
 

@@ -74,7 +74,7 @@ def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5
     if len(counts) > MAX_FRAME:
         raise ValueError(f"more than {MAX_FRAME} sources")
     whole = sum(r["n"] ** power for r in counts)
-    return {r[source]: max(1, round(resolution * r["n"] ** power / whole)) for r in counts}
+    return {r[source]: max(1, round(resolution * r["n"] ** power / whole)) for r in counts} or {None: 1}  # any weights do for no rows
 
 
 def schedule(spark: SparkSession, weights: dict[str | None, int]) -> DataFrame:

@@ -28,7 +28,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F, types as T
 
 MARK = "▁"  # stands for a space inside pieces
-REMEMBERED_PARTS = 300_000
+REMEMBERED_PARTS = 600_000
 REMEMBERED_LENGTH = 48
 ROWS = 256
 _PROBE = "①Ａ é 　x  y​z  \tq"
@@ -54,11 +54,17 @@ class PieceModel:
         self.plain = lib.normalize(_PROBE) == MARK + _PROBE.replace(" ", MARK)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in joined)
+        # Letters for this purpose: what the pattern class takes for one, without numbers like a raised two.
+        numbers = re.escape("".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()})))
+        letter = rf"[^\W\d_{numbers}]"
+        kinds = [{bool(re.match(letter, c)) for c in p.lstrip(MARK)} for p in self.ids]
+        cut, out = f"[{re.escape(alone)}]" if alone else r"(?!)", MARK + re.escape(alone)
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             self.parts = re.compile(r".+", re.DOTALL)
+        elif all(len(k) < 2 for k in kinds):  # no piece joins a letter with anything else
+            self.parts = re.compile(rf"{MARK}*(?:{letter}+|(?:(?!{letter})[^{out}])+)|{MARK}+|{cut}")
         else:
-            cut = f"[{re.escape(alone)}]" if alone else r"(?!)"
-            self.parts = re.compile(f"{MARK}*[^{MARK}{re.escape(alone)}]+|{MARK}+|{cut}")
+            self.parts = re.compile(f"{MARK}*[^{out}]+|{MARK}+|{cut}")
         self.known: dict[str, bytes] = {}
         self.marked = frozenset(i for p, i in self.ids.items() if p[0] == MARK)
 
