@@ -13,7 +13,9 @@ is in more buckets with each copy than the copies are with each other, so large
 groups join in a number of checks that is linear in their size. Only classes of
 one bucket that are then still in different components are compared with each
 other: sketches of the longer signature in blocks of bounded size, once per
-pair, and full sets for the pairs whose sketches allow the similarity.
+pair, and full sets for the pairs whose sketches allow the similarity. Of those
+pairs the closest of each class and other component are confirmed first, so
+that the rest only have to be where that did not join the two.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a row without key is measured but linked with nothing; rows that
@@ -145,7 +147,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
 
 
 def _across(members: DataFrame, share: int) -> DataFrame:
-    """Pairs of classes of one bucket and different components whose sketches allow the similarity.
+    """(a, b, comp_a, comp_b, equal): pairs of classes of one bucket and different components whose sketches allow the similarity.
 
     ``members`` has (key, node, comp, n_shingles, sig, n): n is the bucket's size. Buckets are cut into blocks, and
     every two blocks meet once. A pair comes from the first band that it shares, and from no other.
@@ -162,8 +164,8 @@ def _across(members: DataFrame, share: int) -> DataFrame:
     )
     dealt = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    def pairs(group: list[tuple], key: int, i: int, j: int) -> tuple[list, list]:
-        left, right = [], []
+    def pairs(group: list[tuple], key: int, i: int, j: int) -> list[tuple]:
+        out = []
         sigs = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(len(group), -1)
         bands, sigs = np.ascontiguousarray(sigs[:, :heads]).view(np.uint32), sigs[:, heads:]
         band = int(np.flatnonzero(bands[0] == np.int64(key).astype(np.uint32))[0])
@@ -178,17 +180,21 @@ def _across(members: DataFrame, share: int) -> DataFrame:
             near = np.flatnonzero(fit) + x + 1
             if len(near):
                 near = near[~(bands[near, :band] == bands[x, :band]).any(axis=1)]
-                near = near[np.count_nonzero(sigs[near] == sigs[x], axis=1) >= least]
-            for y in near:
-                a, b = sorted((group[x][0], group[y][0]))
-                left.append(a), right.append(b)
-        return left, right
+                equal = np.count_nonzero(sigs[near] == sigs[x], axis=1)
+                for y, n in zip(near[equal >= least].tolist(), equal[equal >= least].tolist(), strict=True):
+                    a, b = sorted((group[x], group[y]))
+                    out.append((a[0], b[0], a[1], b[1], n))
+        return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
-        out = lambda: pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.binary()) for c in (pairs(group, *now) if group else ([], []))], names=["a", "b"]
-        )
+        kinds = [pa.binary()] * 4 + [pa.int32()]
+
+        def out() -> pa.RecordBatch:
+            found = pairs(group, *now) if len(group) > 1 else []
+            columns = list(zip(*found, strict=True)) if found else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "comp_a", "comp_b", "equal"])
+
         for batch in batches:
             c = [x.to_pylist() for x in batch.columns]
             for key, i, j, own, node, comp, n, sig in zip(*c, strict=True):
@@ -198,7 +204,7 @@ def _across(members: DataFrame, share: int) -> DataFrame:
                 group.append((node, comp, n, sig, own))
         yield out()
 
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    return dealt.mapInArrow(compare, "a binary, b binary, comp_a binary, comp_b binary, equal int")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80) -> DataFrame:
@@ -229,9 +235,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     compared = open_.join(mixed, "key").join(lead.select("node", "n_shingles", "sig"), "node")
     cross = _across(compared.select("key", "node", "comp", "n_shingles", "sig", "n"), share)
     cross = staged(cross.join(tested, ["a", "b"], "left_anti"), "across")
-    more = staged(_confirmed(cross, classes, rows, size, share), "confirmed")
+    best = cross.groupBy("a", "comp_b").agg(F.max_by("b", "equal").alias("b")).select("a", "b").unionByName(
+        cross.groupBy("b", "comp_a").agg(F.max_by("a", "equal").alias("a")).select("a", "b")
+    )
+    best = staged(best.distinct(), "closest")
+    more = staged(_confirmed(best, classes, rows, size, share), "confirmed")
     if not more.isEmpty():
-        root = components(links.unionByName(more))
+        links = links.unionByName(more)
+        root = components(links)
+    rest = cross.select("a", "b").join(best, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        rest = rest.join(root.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    last = staged(_confirmed(staged(rest, "rest"), classes, rows, size, share), "confirmed")
+    if not last.isEmpty():
+        root = components(links.unionByName(last))
 
     rooted = classes.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
