@@ -7,7 +7,8 @@ digest is not the announced one; the reader streams an archive file and gives
 every chunk with the byte count and SHA-1 of the payload up to its end, so the
 last chunk carries the digest of the whole.
 
-Archives go to the shared folder. A task names its files after its own
+Archives go to the shared folder, one gzip member per record unless told
+otherwise. A task names its files after its own
 attempt, and only files in the written manifest count, so retried tasks leave
 nothing that is read. Equal payloads from a size on are stored once: the
 record with the largest key is the response, the others are revisits of it.
@@ -110,7 +111,7 @@ def write_archives(rows: DataFrame, folder: str, compress: bool = False, file_by
                 if chunk == 0:
                     if out is None:
                         open_next()
-                    sink = gzip.GzipFile(fileobj=out, mode="wb", mtime=0) if compress else out
+                    sink = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6, mtime=0) if compress else out
                     sink.write(_head(key, url, announced, refers_to, total))
                     digest, sha, left = announced, hashlib.sha1(), total if refers_to is None else 0
                 if data is not None:
@@ -239,7 +240,7 @@ def records(chunks: DataFrame) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", compress: bool = False) -> DataFrame:
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", compress: bool = True) -> DataFrame:
     """Writes the pages as archives in the shared folder; returns the manifest."""
     folder = scratch_path(pages.sparkSession, "warc")
     return write_archives(chunk_rows(pages, key, url, payload), folder, compress)
