@@ -56,6 +56,45 @@ SELECT id AS vec_id, CAST((SELECT count(*) FROM links WHERE a = id OR b = id) AS
 FROM reach GROUP BY id
 """
 
+_WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP4 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS.format(text=_LOWER)} AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 85 * (x.n + y.n - c)
+), ids AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT id AS doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id, min(other) = id AS kept
+FROM reach LEFT JOIN sizes ON doc_id = id GROUP BY id
+"""
+
+OP5 = f"""
+WITH d AS (
+  SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i
+  FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM windows) WHERE first < doc_id
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+), lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
 OP7 = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
@@ -99,4 +138,11 @@ SELECT page_id, url, CAST(coalesce(b, 0) AS BIGINT) AS n_block, CAST(coalesce(a,
 FROM p LEFT JOIN f USING (page_id)
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1, "op7_warc": OP7, "op8_url_filters": OP8, "op9_quality_rules": OP9}
+ORACLES: dict[str, str] = {
+    "op1_embedding_dedup": OP1,
+    "op4_minhash_dedup": OP4,
+    "op5_substring_dedup": OP5,
+    "op7_warc": OP7,
+    "op8_url_filters": OP8,
+    "op9_quality_rules": OP9,
+}
