@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 # Sub-buckets per power of two. A bucket spans 0.27 % of its value, so it can
@@ -32,10 +30,19 @@ def value_bucket(value: Column | str) -> Column:
 
     It depends on the value alone, so recomputed tasks agree without any
     sampling, and ordering by (bucket, value) equals ordering by value.
+    Infinities have buckets of their own, and NaN comes last, as Spark sorts it.
     """
     value = F.col(value) if isinstance(value, str) else value
     size = F.floor(F.log2(F.abs(value)) * F.lit(float(STEPS_PER_OCTAVE))) + F.lit(BUCKET_SHIFT)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    endless = F.lit(2 * BUCKET_SHIFT)
+    return (
+        F.when(F.isnan(value), endless + 1)
+        .when(F.abs(value) == float("inf"), F.signum(value) * endless)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
 
 
 def ratio(top: Column, bottom: Column, default: float | None = 0.0) -> Column:
@@ -91,6 +98,3 @@ def metric_columns(names: list[str] | None = None, digits: int | None = 9) -> li
     picked = names or list(metrics)
     return [(metrics[n] if digits is None else F.round(metrics[n], digits)).alias(n) for n in picked]
 
-
-def any_null_or_nan(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in columns])

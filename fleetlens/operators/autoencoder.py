@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import dense
 from fleetlens.functions.expressions import hash_order
+from fleetlens.operators.joins import lookup_join, required
 from fleetlens.operators.ordering import quantiles
 from fleetlens.operators.records import best_epoch, best_trial
 from fleetlens.operators.thresholds import score_summary
@@ -326,6 +327,7 @@ def _apply(rows: DataFrame, models: DataFrame, output: str, schema: str, fn) ->
 
     A model of device 0 is the fleet's and serves all rows.
     """
+    rows = _with_model(rows, models)
     kept = [f for f in rows.schema.fields if f.name != "features"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     outputs = []
@@ -357,6 +359,15 @@ def _apply(rows: DataFrame, models: DataFrame, output: str, schema: str, fn) ->
     return reduce(DataFrame.unionByName, outputs)
 
 
+def _with_model(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``rows``; a row whose device no model serves is an error."""
+    served = models.select("device_id").distinct()
+    if not served.where(F.col("device_id") == FLEET).isEmpty():
+        return rows
+    found = lookup_join(rows, served.withColumn("_served", F.lit(True)), ["device_id"], "left")
+    return found.where(required("_served", "model", "device_id")).drop("_served").select(*rows.columns)
+
+
 def ae_reconstruct(rows: DataFrame, models: DataFrame) -> DataFrame:
     return _apply(rows, models, "reconstruction", "array<float>", lambda s, p, x: dense.forward(s, p, x)[0])
 

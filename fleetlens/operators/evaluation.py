@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import confusion_cells, mcc, metric_columns, nine_metrics, ratio
-from fleetlens.operators.joins import lookup_join, with_scalars
+from fleetlens.operators.joins import lookup_join, required, with_scalars
 from fleetlens.operators.ordering import cumulative, quantile_grid, quantiles
 from fleetlens.operators.sampling import prevalence_counts
-from fleetlens.operators.thresholds import score_group
+from fleetlens.operators.thresholds import score_group, with_threshold
 
 ATTACK_LABEL = "concat(attack_family, ' - ', attack_type)"
 
@@ -58,7 +58,8 @@ def global_metrics(predictions: DataFrame) -> DataFrame:
 def device_metrics(predictions: DataFrame) -> DataFrame:
     """Metrics per device with the mean recall over devices alongside."""
     table = metric_table(predictions, ["device_id"])
-    return with_scalars(table, table.agg(F.round(F.avg("recall"), 9).alias("mean_recall")))
+    # One row per device is left: the window holds the aggregate, not the predictions.
+    return table.withColumn("mean_recall", F.round(F.avg("recall").over(Window.partitionBy(F.lit(0))), 9))
 
 
 def attack_detection(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -157,10 +158,10 @@ def threshold_comparison(predictions: DataFrame, current: DataFrame, optimal: Da
 
     Both comparisons use the score in double, as the search does.
     """
-    pair = current.select(by, F.col("threshold").alias("current_threshold")).join(
-        optimal.select(by, F.col("threshold").alias("optimal_threshold")), by
-    )
-    rows = lookup_join(predictions, pair, [by])
+    names = ("current_threshold", "optimal_threshold")
+    pair = current.select(by, F.col("threshold").alias(names[0])).join(optimal.select(by, F.col("threshold").alias(names[1])), by, "full")
+    rows = lookup_join(predictions, pair, [by], "left")
+    rows = rows.withColumns({n: required(n, n.replace("_", " "), by) for n in names})
     s, y = F.col("score").cast("double"), F.col("y_true")
     cells = []
     for which in ("current", "optimal"):
@@ -186,10 +187,11 @@ def threshold_comparison(predictions: DataFrame, current: DataFrame, optimal: Da
 
 def histogram_limits(predictions: DataFrame, current: DataFrame, optimal: DataFrame, *, zoom: bool = False, by: str = "device_id") -> DataFrame:
     """Upper plot limit per device: max of q99.5 and both thresholds, or twice the larger threshold."""
-    pair = current.select(by, F.col("threshold").alias("c")).join(optimal.select(by, F.col("threshold").alias("o")), by)
-    if zoom:
-        return pair.select(by, (F.greatest("c", "o") * 2.0).alias("hi"))
-    return pair.join(quantiles(predictions, [by], "score", {"q": 0.995}), by).select(by, F.greatest("q", "c", "o").alias("hi"))
+    pair = current.select(by, F.col("threshold").alias("c")).join(optimal.select(by, F.col("threshold").alias("o")), by, "full")
+    if not zoom:
+        pair = quantiles(predictions, [by], "score", {"q": 0.995}).join(pair, by, "left")
+    pair = pair.withColumns({"c": required("c", "current threshold", by), "o": required("o", "optimal threshold", by)})
+    return pair.select(by, (F.greatest("c", "o") * 2.0 if zoom else F.greatest("q", "c", "o")).alias("hi"))
 
 
 def score_histogram(predictions: DataFrame, limits: DataFrame, *, bins: int = 79, by: str = "device_id") -> DataFrame:
@@ -207,7 +209,7 @@ def score_histogram(predictions: DataFrame, limits: DataFrame, *, bins: int = 79
         .otherwise(guess)
         .cast("int")
     )
-    rows = lookup_join(predictions, limits, [by]).where((v >= 0) & (v <= hi))
+    rows = lookup_join(predictions, limits, [by], "left").withColumn("hi", required("hi", "histogram limit", by)).where((v >= 0) & (v <= hi))
     counts = rows.groupBy(by, score_group().alias("score_group"), bin_no.alias("bin")).agg(
         F.count("*").alias("n"), F.max("hi").alias("hi")
     )
@@ -315,5 +317,5 @@ def recalibrated_prevalence(
 ) -> DataFrame:
     """Prevalence sensitivity after re-predicting with other thresholds (in double)."""
     over = F.col("score").cast("double") > F.col("threshold")
-    again = lookup_join(predictions.drop("threshold"), thresholds.select("device_id", "threshold"), ["device_id"])
+    again = with_threshold(predictions.drop("threshold"), thresholds)
     return prevalence_sensitivity(again.withColumn("y_pred", over.cast("byte")), key, prevalences, **options)

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import json
 
-# A lookup side is broadcast only when it is shown to have at most this many rows.
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, MapType
+
+# A lookup side is broadcast only when it is shown to have at most this many rows and bytes.
 LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 64 << 20
 # A key is hot when it owns more than 1/1000 of the rows: fewer than 1000 exist.
 HOT_SHARE = 1000
 
 
 def bounded_local(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame | None:
-    """``df`` as a local relation when it has at most ``limit`` rows, else None."""
+    """``df`` as a local relation when it has at most ``limit`` rows and LOOKUP_BYTES, else None."""
     rows = df.limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
+    if rows.num_rows > limit or rows.nbytes > LOOKUP_BYTES:
         return None
     return df.sparkSession.createDataFrame(rows, df.schema)
 
@@ -23,7 +27,11 @@ def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inn
 
     The size of ``small`` is checked first. Within the bound it is broadcast
     and ``big`` is not shuffled; beyond it the skew-safe shuffle join is used.
+    A stream is joined with the table as it is: Spark reads it anew in every
+    batch and picks the strategy by its size.
     """
+    if big.isStreaming:
+        return big.join(small, on, how)
     small, local = checked(small)
     return lookup_checked(big, small, local, on, how)
 
@@ -42,7 +50,19 @@ def lookup_checked(big: DataFrame, small: DataFrame, local: bool, on: list[str],
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Adds the values of a one-row aggregate to every row, as literals."""
     row = one_row.first()
-    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema})
+    plain = {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema if not isinstance(f.dataType, (ArrayType, MapType))}
+    nested = {
+        f.name: F.from_json(F.lit(json.dumps(row.asDict(True)[f.name])), f.dataType)
+        for f in one_row.schema
+        if isinstance(f.dataType, (ArrayType, MapType))
+    }
+    return df.withColumns({**plain, **nested})
+
+
+def required(value: str, what: str, key: str) -> Column:
+    """``value``, or an error that names the key where a left join found nothing."""
+    complain = F.raise_error(F.concat(F.lit(f"no {what} for "), F.lit(key), F.lit(" "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return F.when(F.col(value).isNull(), complain).otherwise(F.col(value))
 
 
 def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

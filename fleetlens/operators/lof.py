@@ -31,7 +31,10 @@ def _density() -> Column:
 
 
 def _edges(neighbors: DataFrame, by: list[str]) -> DataFrame:
-    found = neighbors.select(*by, "id", F.posexplode("neighbors").alias("pos", "nb"))
+    """One row per neighbour; a point without any is an error, as its device has no other train rows."""
+    nobody = F.raise_error(F.concat(F.lit("no neighbours for device "), F.col("device_id").cast("string")))
+    answered = F.when(F.size("neighbors") > 0, F.col("neighbors")).otherwise(nobody)
+    found = neighbors.withColumn("neighbors", answered).select(*by, "id", F.posexplode("neighbors").alias("pos", "nb"))
     return found.select(*by, "id", "pos", F.col("nb.dist").alias("dist"), F.col("nb.id").alias("nid"))
 
 

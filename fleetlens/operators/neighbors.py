@@ -177,6 +177,9 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euc
     need = k + 1 if exclude_self else k
     spark = train.sparkSession
     columns = ["device_id", "id", "features"]
+    # -0.0 and 0.0 are one value here: grouping joins them, so their text form must agree too.
+    plain = F.transform("features", lambda x: x + F.lit(0.0).cast("float"))
+    train, queries = train.withColumn("features", plain), queries.withColumn("features", plain)
     copies = F.row_number().over(Window.partitionBy("device_id", "features").orderBy("id"))
     # A rank limit on a window is applied before the shuffle too, so copies stay where they are.
     train = staged(
@@ -209,9 +212,10 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euc
         .cogroup(t_side.select(*pair, "id", "features").groupBy(*pair))
         .applyInPandas(_block_top_k(need, metric), "device_id int, qid string, dist double, id long")
     )
-    # At most k candidates per visited block of a query.
-    best = found.groupBy("device_id", "qid").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("dist", "id"))), 1, need).alias("nn")
+    # The rank limit is applied before the shuffle too; a list holds ``need`` candidates at most.
+    nearest = F.row_number().over(Window.partitionBy("device_id", "qid").orderBy("dist", "id"))
+    best = found.withColumn("_r", nearest).where(F.col("_r") <= need).groupBy("device_id", "qid").agg(
+        F.array_sort(F.collect_list(F.struct("dist", "id"))).alias("nn")
     )
     asked = queries.select("device_id", "id", F.md5(F.to_json(F.struct("features"))).alias("qid"))
     # A device without train rows leaves its queries with no neighbours.

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import hash_bucket, value_bucket
-from fleetlens.operators.joins import checked, lookup_checked, lookup_join
+from fleetlens.operators.joins import checked, lookup_checked, lookup_join, with_scalars
 
 
 def _running(coarse: DataFrame, group: list[str], measures: list[str]) -> DataFrame:
@@ -32,14 +32,15 @@ def prefix_cuts(
     rows: DataFrame,
     group: list[str],
     order: str,
-    cuts: dict[str, Callable[[Column], Column]],
+    cuts: dict[str, Callable[[Column], Column]] | DataFrame,
     measures: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Where the first ``need`` rows of each group end, in hash order.
 
     ``order`` names an md5 text that is unique in its group. ``cuts`` maps a
-    label to the wanted size as a function of the group's row count. The
-    result has one row per (group, cut): ``need``, ``cutoff`` (the last hash
+    label to the wanted size as a function of the group's row count, or is a
+    table with some of the group's columns and ``wanted``, an array of
+    (cut, need). The result has one row per (group, cut): ``need``, ``cutoff`` (the last hash
     inside) and the sum of every measure over the prefix. A cut of size zero
     or beyond the group has no row.
     """
@@ -54,15 +55,18 @@ def prefix_cuts(
         *[c.cast("long").alias(m) for m, c in measures.items()],
     )
     coarse = keyed.groupBy(*group, "bucket").agg(*[F.sum(m).alias(m) for m in names])
-    wanted = F.array(
-        *[F.struct(F.lit(k).alias("cut"), size(F.col("total")).cast("long").alias("need")) for k, size in cuts.items()]
-    )
+    running = _running(coarse, group, names)
+    if isinstance(cuts, DataFrame):
+        shared = [c for c in cuts.columns if c != "wanted"]
+        running = lookup_join(running, cuts, shared) if shared else with_scalars(running, cuts)
+    else:
+        sizes = [F.struct(F.lit(k).alias("cut"), size(F.col("total")).cast("long").alias("need")) for k, size in cuts.items()]
+        running = running.withColumn("wanted", F.array(*sizes))
     inside = F.filter(
-        wanted, lambda w: (w["need"] > F.col("n_before")) & (w["need"] <= F.col("n_before") + F.col("n"))
+        "wanted", lambda w: (w["need"] > F.col("n_before")) & (w["need"] <= F.col("n_before") + F.col("n"))
     )
     hits = (
-        _running(coarse, group, names)
-        .select(*group, "bucket", *[f"{m}_before" for m in names], F.explode(inside).alias("w"))
+        running.select(*group, "bucket", *[f"{m}_before" for m in names], F.explode(inside).alias("w"))
         .select(*group, "bucket", *[f"{m}_before" for m in names], "w.cut", "w.need")
     )
     position = Window.partitionBy(*group, "cut").orderBy("h")

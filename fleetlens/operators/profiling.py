@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import ratio
 from fleetlens.operators.joins import skew_join
@@ -66,8 +66,9 @@ def device_class_pivot(catalog: DataFrame) -> DataFrame:
 
 def family_share(catalog: DataFrame) -> DataFrame:
     families = catalog.where("is_attack").groupBy("diagnostic").agg(F.sum("n_samples").alias("n_samples"))
-    total = families.agg(F.sum("n_samples")).first()[0] or 0
-    return families.withColumn("percent", ratio(F.col("n_samples"), F.lit(total)) * 100)
+    # One row per family is left for the window.
+    total = F.sum("n_samples").over(Window.partitionBy(F.lit(0)))
+    return families.withColumn("percent", ratio(F.col("n_samples"), total) * 100)
 
 
 def attack_type_totals(catalog: DataFrame) -> DataFrame:

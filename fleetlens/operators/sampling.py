@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.expressions import hash_order, ratio
-from fleetlens.operators.joins import bounded_local, lookup_join
+from fleetlens.operators.joins import lookup_join, with_scalars
 from fleetlens.operators.ordering import prefix_cuts, ranked_values
 from fleetlens.session import staged
 
@@ -83,63 +83,50 @@ def attack_need(prevalence: float, n_benign: int, *, rounding: str = "floor") ->
     return round(exact) if rounding == "round" else int(exact)
 
 
-def _checked(cuts: dict[str, int], available: int) -> None:
-    for label, need in cuts.items():
-        if need > available:
-            raise ValueError(f"not enough attack rows for {label}: {need} needed, {available} available")
+def _needs(predictions: DataFrame, by: list[str], prevalences: list[float], rounding: str) -> DataFrame:
+    """(by, n_benign, fp, n_attack, wanted): counts per group, and the attack rows of each prevalence as (cut, need).
 
-
-def _by_group(by: list[str], values: dict[tuple, int]) -> Column:
-    """Looks up an integer by the values of the group columns (a handful of groups)."""
-    if not by:
-        return F.lit(values[()])
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
-    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit("|".join(map(str, k))), F.lit(v))]), key)
-
-
-def _class_counts(predictions: DataFrame, by: list[str]) -> dict[tuple, dict]:
-    """Benign rows, false alarms and attack rows per group; groups are few (strategies)."""
-    table = predictions.groupBy(*by).agg(
+    Too small an attack pool is an error.
+    """
+    counts = predictions.groupBy(*by).agg(
         F.count_if(F.col("y_true") == 0).alias("n_benign"),
         F.count_if((F.col("y_true") == 0) & (F.col("y_pred") == 1)).alias("fp"),
         F.count_if(F.col("y_true") == 1).alias("n_attack"),
     )
-    local = bounded_local(table, 1000)
-    if local is None:
-        raise ValueError("prevalence draws are made for at most 1000 groups")
-    return {tuple(r[c] for c in by): r.asDict() for r in local.collect()}
-
-
-def _needs(counts: dict[tuple, dict], prevalences: list[float], rounding: str) -> dict[str, dict[tuple, int]]:
-    needs = {str(p): {g: attack_need(p, c["n_benign"], rounding=rounding) for g, c in counts.items()} for p in prevalences}
-    for label, per_group in needs.items():
-        for g, need in per_group.items():
-            if need > counts[g]["n_attack"]:
-                raise ValueError(
-                    f"not enough attack rows for prevalence {label} {g}: {need} needed, {counts[g]['n_attack']} available"
-                )
-    return needs
+    sizes = []
+    for p in prevalences:
+        exact = F.lit(p / (1 - p)) * F.col("n_benign").cast("double")
+        need = F.rint(exact) if rounding == "round" else F.floor(exact)
+        sizes.append(F.struct(F.lit(str(p)).alias("cut"), need.cast("long").alias("need")))
+    table = staged(counts.withColumn("wanted", F.array(*sizes)), "needs")
+    short = table.select("*", F.inline("wanted")).where(F.col("need") > F.col("n_attack")).limit(1).collect()
+    if short:
+        group = tuple(short[0][c] for c in by)
+        raise ValueError(
+            f"not enough attack rows for prevalence {short[0]['cut']} {group}: {short[0]['need']} needed, {short[0]['n_attack']} available"
+        )
+    return table
 
 
-def _draws(
-    predictions: DataFrame, key: str, by: list[str], counts: dict, needs: dict, repeats: int, seed: int
-) -> DataFrame:
+def _draws(predictions: DataFrame, key: str, by: list[str], needs: DataFrame, repeats: int, seed: int) -> DataFrame:
     """(by, repeat, cut, cutoff, tp): where each draw ends in its seeded order."""
-    attacks = predictions.where("y_true = 1")
-    ordered = attacks.select(*by, F.col(key), "y_pred", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    ordered = ordered.select(*by, "repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred")
-    sizes = {label: (lambda n, m=per_group: _by_group(by, m)) for label, per_group in needs.items()}
-    wanted = sum(need > 0 for per_group in needs.values() for need in per_group.values()) * repeats
+    largest = F.array_max(F.transform("wanted", lambda w: w["need"]))
     # A draw is a short prefix of its order, so the rows beyond a generous hash
     # bound are left out; should the bound ever be too tight, all rows are used.
-    share = max((1.25 * m[g] + 64) / max(c["n_attack"], 1) for m in needs.values() for g, c in counts.items())
-    near = staged(ordered.where(F.col("order") < F.lit(f"{int(share * 2**32):08x}")), "draws") if share < 1 else ordered
-    group = [*by, "repeat"]
-    drawn = prefix_cuts(near, group, "order", sizes, {"tp": F.col("y_pred")})
-    found = drawn.toArrow()  # at most groups x prevalences x repeats rows
-    if found.num_rows < wanted:
-        found = prefix_cuts(ordered, group, "order", sizes, {"tp": F.col("y_pred")}).toArrow()
-    return predictions.sparkSession.createDataFrame(found, drawn.schema)
+    share = F.least((largest * 1.25 + 64) / F.greatest("n_attack", F.lit(1)), F.lit(1.0))
+    bound = F.lpad(F.lower(F.hex(F.floor(share * float(2**32)).cast("long"))), 9, "0")
+    bounds = needs.select(*by, bound.alias("_bound"))
+    attacks = predictions.where("y_true = 1").select(*by, key, "y_pred")
+    ordered = lookup_join(attacks, bounds, by) if by else with_scalars(attacks, bounds)
+    ordered = ordered.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    ordered = ordered.select(*by, "repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred", "_bound")
+    near = staged(ordered.where(F.concat(F.lit("0"), "order") < F.col("_bound")).drop("_bound"), "draws")
+    cuts, group = needs.select(*by, "wanted"), [*by, "repeat"]
+    drawn = staged(prefix_cuts(near, group, "order", cuts, {"tp": F.col("y_pred")}), "drawn")
+    wanted = needs.agg(F.sum(F.size(F.filter("wanted", lambda w: w["need"] > 0)))).first()[0] or 0
+    if drawn.count() < wanted * repeats:
+        drawn = staged(prefix_cuts(ordered.drop("_bound"), group, "order", cuts, {"tp": F.col("y_pred")}), "drawn")
+    return drawn
 
 
 def prevalence_counts(
@@ -160,30 +147,20 @@ def prevalence_counts(
     Too small an attack pool is an error.
     """
     by = by or []
-    counts = _class_counts(predictions, by)
-    needs = _needs(counts, prevalences, rounding)
-    drawn = _draws(predictions, key, by, counts, needs, repeats, seed)
+    needs = _needs(predictions, by, prevalences, rounding)
+    drawn = _draws(predictions, key, by, needs, repeats, seed)
     # Empty draws have no cut: the grid of (group, prevalence, repeat) keeps them.
-    kinds = ", ".join(f"`{c}` {predictions.schema[c].dataType.simpleString()}" for c in by)
-    rows = [
-        (*g, r, label, float(label), need, counts[g]["fp"], counts[g]["n_benign"])
-        for label, per_group in needs.items()
-        for g, need in per_group.items()
-        for r in range(repeats)
-    ]
-    grid = predictions.sparkSession.createDataFrame(
-        rows, f"{kinds}{', ' if by else ''}repeat int, cut string, prevalence double, n_attack long, fp long, n_benign long"
-    )
+    grid = needs.select(*by, "fp", "n_benign", F.inline("wanted")).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     tp = F.coalesce("tp", F.lit(0))
     return grid.join(drawn.select(*by, "repeat", "cut", "tp"), [*by, "repeat", "cut"], "left").select(
         *by,
-        "prevalence",
+        F.col("cut").cast("double").alias("prevalence"),
         "repeat",
-        "n_attack",
+        F.col("need").alias("n_attack"),
         tp.alias("tp"),
         "fp",
         (F.col("n_benign") - F.col("fp")).alias("tn"),
-        (F.col("n_attack") - tp).alias("fn"),
+        (F.col("need") - tp).alias("fn"),
     )
 
 
@@ -202,26 +179,14 @@ def prevalence_samples(
     each draw; nothing is sorted.
     """
     by = by or []
-    counts = _class_counts(predictions, by)
-    needs = _needs(counts, prevalences, rounding)
-    ends = {
-        (tuple(r[c] for c in by), r["cut"]): r["cutoff"]
-        for r in _draws(predictions, key, by, counts, needs, 1, seed).collect()
-    }
-    order = hash_order(seed, key)
-    limits = [
-        F.struct(
-            F.lit(p).alias("prevalence"),
-            _by_group(by, {g: ends.get((g, str(p)), "") for g in counts}).alias("cutoff"),
-        )
-        for p in prevalences
-    ]
+    needs = _needs(predictions, by, prevalences, rounding)
+    drawn = _draws(predictions, key, by, needs, 1, seed)
+    ends = drawn.groupBy(*by).agg(*[F.max(F.when(F.col("cut") == str(p), F.col("cutoff"))).alias(f"_end{i}") for i, p in enumerate(prevalences)])
+    marked = predictions.withColumn("_order", hash_order(seed, key))
+    marked = lookup_join(marked, ends, by, "left") if by else with_scalars(marked, ends)
+    limits = [F.struct(F.lit(p).alias("prevalence"), F.coalesce(f"_end{i}", F.lit("")).alias("cutoff")) for i, p in enumerate(prevalences)]
     chosen = F.filter(F.array(*limits), lambda x: (F.col("y_true") == 0) | (F.col("_order") <= x["cutoff"]))
-    return (
-        predictions.withColumn("_order", order)
-        .select(*predictions.columns, F.explode(chosen).alias("_p"))
-        .select(*predictions.columns, "_p.prevalence")
-    )
+    return marked.select(*predictions.columns, F.explode(chosen).alias("_p")).select(*predictions.columns, "_p.prevalence")
 
 
 def prevalence_sample(

@@ -6,7 +6,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from fleetlens.operators.joins import lookup_join
+from fleetlens.operators.joins import lookup_join, required
 
 
 def fit_scaler(train: DataFrame, columns: list[str], by: str | None = "device_id") -> DataFrame:
@@ -47,6 +47,7 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str], by: str |
     """(x - mean) / scale as float32 in place; other columns pass through."""
     if by:
         joined = lookup_join(df, scaler, [by], "left")
+        joined = joined.withColumns({f"{n}_{c}": required(f"{n}_{c}", "scaler", by) for n in ("mean", "scale") for c in columns})
         mean, scale = (lambda c: F.col(f"mean_{c}")), (lambda c: F.col(f"scale_{c}"))
     else:
         row, joined = scaler.first(), df

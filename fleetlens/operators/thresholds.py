@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens.functions.expressions import ratio
-from fleetlens.operators.joins import lookup_join, with_scalars
+from fleetlens.operators.joins import lookup_join, required, with_scalars
 from fleetlens.operators.ordering import cumulative, quantiles
 
 # The quantiles of the score summaries and of the criteria.
@@ -21,8 +21,7 @@ def predict(score: Column, threshold: Column) -> Column:
 def with_threshold(scored: DataFrame, thresholds: DataFrame, by: str = "device_id") -> DataFrame:
     """Adds the device's threshold; a missing or null one is an error."""
     found = lookup_join(scored, thresholds.select(by, "threshold"), [by], "left")
-    complain = F.raise_error(F.concat(F.lit("no threshold for device "), F.col(by).cast("string"))).cast("double")
-    return found.withColumn("threshold", F.when(F.col("threshold").isNull(), complain).otherwise(F.col("threshold")))
+    return found.withColumn("threshold", required("threshold", "threshold", by))
 
 
 def apply_thresholds(scored: DataFrame, thresholds: DataFrame, by: str = "device_id") -> DataFrame:
@@ -128,29 +127,20 @@ def threshold_criteria(val_scores: DataFrame, by: list[str], value: str = "score
 def threshold_fpr(val_scores: DataFrame, criteria: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     """Adds to each criterion the share of benign validation scores above it.
 
-    The few thresholds of a group travel as one array, so rows are not multiplied.
+    The thresholds join the cumulative counts as rows of weight zero, so any
+    number of criteria takes one pass and no score row is multiplied.
     """
-    names = sorted(r[0] for r in criteria.select("criterion").distinct().limit(1000).collect())
-    wide = criteria.groupBy(*by).agg(
-        *[F.max(F.when(F.col("criterion") == n, F.col("threshold"))).alias(f"t_{n}") for n in names]
+    one = lambda n: F.lit(n).cast("long")
+    scores = val_scores.select(*by, F.col(value).cast("double").alias("score"), one(1).alias("n"), one(0).alias("mark"))
+    points = criteria.select(*by, F.col("threshold").cast("double").alias("score"), one(0).alias("n"), one(1).alias("mark"))
+    curve = cumulative(scores.unionByName(points), by, "score", {m: F.col(m) for m in ("n", "mark")})
+    below = curve.where("mark > 0").select(*by, F.col("score").alias("threshold"), "cum_n")
+    totals = scores.groupBy(*by).agg(F.sum("n").alias("total"))
+    known = _joined(below, totals, by).select(*by, "threshold", ratio(F.col("total") - F.col("cum_n"), F.col("total"), None).alias("fpr"))
+    table = criteria.select(*by, "criterion", F.col("threshold").cast("double").alias("threshold"))
+    return table.join(known, [*by, "threshold"], "left").select(*by, "criterion", "threshold", "fpr").withColumn(
+        "fpr_percent", F.col("fpr") * 100
     )
-    v = F.col(value).cast("double")
-    tagged = lookup_join(val_scores, wide, by) if by else with_scalars(val_scores, wide)
-    above = tagged.groupBy(*by).agg(
-        *[F.max(f"t_{n}").alias(f"t_{n}") for n in names],
-        *[F.avg((v > F.col(f"t_{n}")).cast("double")).alias(f"f_{n}") for n in names],
-    )
-    return above.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("criterion"), F.col(f"t_{n}").alias("threshold"), F.col(f"f_{n}").alias("fpr"))
-                    for n in names
-                ]
-            )
-        ),
-    ).withColumn("fpr_percent", F.col("fpr") * 100)
 
 
 def criteria_pivot(table: DataFrame, criteria: list[str], value: str, by: str = "device_id") -> DataFrame:

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from fleetlens.plans import bindings as b
-from fleetlens.plans.tables import DUP_FEATURES, EXTREME_DEVICES, HALF_UP, MCC_GRID, PR_PREVALENCES
+from fleetlens.plans.tables import DUP_FEATURES, EXTREME_DEVICES, MCC_GRID, PR_PREVALENCES
 from fleetlens.operators.evaluation import linspace
 from fleetlens.operators.sampling import GAMMA_TRIES, UNIFORM_DIGITS
 
 
 def st(expr: str, name: str | None = None) -> str:
-    """Nine significant digits, as ``stable`` does."""
-    return f"cast(printf('%.8e', cast({expr} as double) * {HALF_UP!r}::DOUBLE) as double) AS {name or expr}"
+    """Nine significant digits, half up."""
+    digits = "8 - floor(log10(abs(x)))"
+    up, down = f"pow(10.0::DOUBLE, greatest({digits}, 0))", f"pow(10.0::DOUBLE, greatest(-({digits}), 0))"
+    near = f"floor(abs(x) * {up} / {down} + 0.5) * {down} / {up} * sign(x)"
+    lam = f"lambda x: CASE WHEN x <> 0 AND isfinite(x) THEN {near} ELSE x END"
+    return f"list_transform([cast({expr} as double)], {lam})[1] AS {name or expr}"
 
 
 def case_map(column: str, values: dict) -> str:
@@ -471,7 +475,7 @@ ORACLES = {
     "strategy_attack_recall": f"WITH {strategies()}, c AS (SELECT attack_family || ' - ' || attack_type AS attack, strategy, {cells()} FROM strat WHERE y_true = 1 GROUP BY 1, 2), m AS (SELECT attack, strategy, {metrics(['recall'])} FROM c) SELECT attack, {', '.join(f'max(recall) FILTER (strategy = {chr(39)}{s}{chr(39)}) AS {chr(34)}{s}{chr(34)}' for s in b.STRATEGIES)} FROM m GROUP BY 1",
     # run records
     "size_regression": f"WITH {RECORDS} SELECT {st('regr_slope(model_size_mb, n_train::DOUBLE)', 'slope')}, {st('regr_intercept(model_size_mb, n_train::DOUBLE)', 'intercept')}, {st('corr(model_size_mb, n_train::DOUBLE)', 'r')}, {st('regr_r2(model_size_mb, n_train::DOUBLE)', 'r2')} FROM records WHERE strategy = 'LOF'",
-    "scalability_table": f"WITH {RECORDS}, s AS (SELECT strategy, sum(model_size_mb) AS mb, count(*) AS n_models, CAST(sum(n_scored) AS BIGINT) AS n_scored, sum(seconds) AS sec FROM records GROUP BY 1) SELECT strategy, {st('mb', 'model_size_mb')}, n_models, n_scored, {st('sec', 'seconds')}, CASE WHEN sec <> 0 THEN cast(printf('%.8e', n_scored / sec * {HALF_UP!r}::DOUBLE) as double) END AS rows_per_second FROM s",
+    "scalability_table": f"WITH {RECORDS}, s AS (SELECT strategy, sum(model_size_mb) AS mb, count(*) AS n_models, CAST(sum(n_scored) AS BIGINT) AS n_scored, sum(seconds) AS sec FROM records GROUP BY 1) SELECT strategy, {st('mb', 'model_size_mb')}, n_models, n_scored, {st('sec', 'seconds')}, {st('CASE WHEN sec <> 0 THEN n_scored / sec END', 'rows_per_second')} FROM s",
     "training_curves": f"WITH {HISTORY} SELECT model_id, epoch, {st('avg(loss)', 'loss_mean')}, {st('stddev_samp(loss)', 'loss_std')}, {st('avg(val_loss)', 'val_loss_mean')}, {st('stddev_samp(val_loss)', 'val_loss_std')}, count(DISTINCT device_id) AS n_devices FROM history WHERE model_id IN ('click', 'view', 'error') GROUP BY 1, 2",
     "best_epoch": f"WITH {HISTORY} SELECT device_id, model_id, epoch AS best_epoch, val_loss AS best_val_loss FROM (SELECT *, row_number() OVER (PARTITION BY device_id, model_id ORDER BY val_loss, epoch) AS rn FROM history) WHERE rn = 1",
     "best_trial": "WITH trials AS (SELECT CAST(user_id % 9 + 1 AS INTEGER) AS device_id, CAST(event_id % 10 AS INTEGER) AS number, round(max(value), 4) AS value, count(*) AS n_neighbors, max(event_type) AS metric FROM events GROUP BY 1, 2) SELECT device_id, number, value, n_neighbors, metric FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY value, number) AS rn FROM trials) WHERE rn = 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fleetlens.operators import comparison, evaluation, profiling, records, sampling, scaling, thresholds as th
 from fleetlens.plans import bindings as b
@@ -13,18 +13,21 @@ DUP_FEATURES = ["quantity", "discount", "tax"]
 EXTREME_DEVICES = [2, 3, 7]
 MCC_GRID = {"n_candidates": 1000, "min_quantile": 0.0, "max_quantile": 0.3}
 PR_PREVALENCES = [0.10, 0.001]
-HALF_UP = 1.00000000003
 
 
 def stable(df: DataFrame) -> DataFrame:
-    """Doubles to nine significant digits, so that summation order does not show.
+    """Doubles rounded half up to nine significant digits, so that summation order does not show."""
+
+    def rounded(x: Column) -> Column:
+        size = F.abs(x)
+        digits = F.lit(8) - F.floor(F.log10(size))
+        # Powers of ten with whole, positive exponents are exact.
+        up, down = F.pow(F.lit(10.0), F.greatest(digits, F.lit(0))), F.pow(F.lit(10.0), F.greatest(-digits, F.lit(0)))
+        near = F.floor(size * up / down + 0.5).cast("double") * down / up * F.signum(x)
+        return F.when((size > 0) & (size < float("inf")), near).otherwise(x)
 
-    The factor lifts exact halves, which printing routines round differently.
-    """
     doubles = {f.name for f in df.schema if f.dataType.typeName() == "double"}
-    return df.select(
-        *[F.when(F.col(f"`{c}`").isNotNull(), F.format_string("%.8e", F.col(f"`{c}`") * HALF_UP).cast("double")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns]
-    )
+    return df.select(*[rounded(F.col(f"`{c}`")).alias(c) if c in doubles else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---- sources -------------------------------------------------------------
@@ -131,8 +134,7 @@ def union_devices(spark, sf_dir):
     path = scratch_path(spark, "per-device")
     base = b.predictions(spark, sf_dir)
     base.write.partitionBy("device_id").parquet(path)
-    tables = {d: spark.read.parquet(f"{path}/device_id={d}") for d in range(1, 10)}
-    return src.union_devices(tables).select("row_key", "score", "y_true", "y_pred", "device")
+    return src.read_devices(spark, path).select("row_key", "score", "y_true", "y_pred", "device")
 
 
 def history_scan(spark, sf_dir):

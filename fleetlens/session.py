@@ -29,12 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
     ``spark.checkpoint.dir`` wins; a local folder is made only where the
-    setting is absent, which is the case in single-machine tests.
+    setting is absent and the master is this machine alone, as in tests.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not configured:
         current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="fleetlens-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(configured)

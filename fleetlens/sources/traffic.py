@@ -149,6 +149,11 @@ def union_devices(tables: dict[int, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [t.withColumn("device", F.lit(d)) for d, t in tables.items()])
 
 
+def read_devices(spark: SparkSession, path: str) -> DataFrame:
+    """All per-device tables below a folder partitioned by device, tagged with their device."""
+    return spark.read.parquet(path).withColumn("device", F.col("device_id").cast("int")).drop("device_id")
+
+
 def write_run_summaries(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
