@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import dense
@@ -80,7 +81,8 @@ def _epoch_task(models, epoch: int, batch_size: int, seed: int, shuffle: bool, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local: dict[tuple[int, str], dict] = {}
-        rng = np.random.default_rng([seed, epoch])
+        # Tasks draw their own masks and orders; a retried task draws the same again.
+        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
         for batch in batches:
             flags = batch.column("is_val").to_numpy(zero_copy_only=False)
             features = _matrix(batch.column("features"))
