@@ -43,10 +43,12 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 NEVER = {"nav", "footer", "aside", "form", "menu", "button", "select", "datalist", "dialog", "object", "embed", "svg", "math", "canvas", "audio", "video", "map", "head", "search"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "form"}
 NAMES = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment",
-    "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav",
-    "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted", "related",
-    "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "alerts", "banner", "breadcrumb",
+    "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "discussion", "disqus",
+    "footer", "gdpr", "hidden", "invisible", "legal", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+    "newsletter", "notice", "notices", "offscreen", "overlay", "pager", "pagination", "popup", "promo", "promoted", "reactions",
+    "recommended", "related", "replies", "respond", "responses", "share", "sharing", "sidebar", "signup", "skiplink", "social",
+    "sponsor", "sponsored", "subscribe", "toolbar", "trending", "widget",
 }
 PAGE_HEADS = {"header", "topbar"}
 PLAIN = {"has", "with", "no", "without"}  # "has-sidebar" names the page, not a sidebar
