@@ -113,7 +113,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
     used ``a`` in as many parts as its partners need, and stream past the set of ``a``.
     """
     weight = F.col("n_shingles")
-    sized = pairs.join(classes.select(F.col("node").alias("b"), "id", "n_shingles"), "b")
+    # Written once: the parts of every ``a`` and the members both come from it.
+    sized = staged(pairs.join(classes.select(F.col("node").alias("b"), "id", "n_shingles"), "b"), "sized")
     parts = sized.groupBy("a").agg(F.ceil(F.sum(weight) / TASK_SHINGLES).cast("int").alias("parts"))
     members = sized.join(parts, "a").select(
         "id", "a", "b", F.lit(1).alias("role"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
