@@ -137,3 +137,23 @@ def mixed(docs: DataFrame, weights: dict[str | None, int], block: int = BLOCK, k
     same = [packed[c].eqNullSafe(once[c]) for c in ("_key", "_source", "_hash")]
     joined = packed.join(once, same).select("_row", "_at")
     return joined.repartitionByRange("_at").sortWithinPartitions("_at").select("_row.*")
+
+
+def placed(docs: DataFrame, into: str = "mix_position") -> DataFrame:
+    """The rows of a stored table with their place in its order, from 0 and without gaps.
+
+    Part names follow the ranges that ``mixed`` wrote, rows of a part keep their index; what Spark reads first does
+    not matter. A table that is not stored is numbered in the order of its partitions.
+    """
+    carried = [c for c in docs.columns if c != into]
+    if docs.inputFiles():
+        part, index = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    else:
+        part = F.lpad(F.spark_partition_id().cast("string"), 10, "0")
+        index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = docs.select(*carried, part.alias("_part"), index.cast("long").alias("_index"))
+    # One row per part file.
+    sizes = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    starts = accumulate((n for _, n in sizes), initial=0)
+    offsets = docs.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(sizes, starts)], "_part string, _start long")
+    return rows.join(F.broadcast(offsets), "_part").select(*carried, (F.col("_start") + F.col("_index")).alias(into))

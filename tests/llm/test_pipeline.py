@@ -2,10 +2,11 @@ import corpus_pipeline
 import pytest
 import sentencepiece
 from test_minhash import brute as brute_minhash
+from test_mixing import brute as brute_mix
 from test_quality import by_sql
 from test_substring import brute as brute_substring
 
-from fleetlens.llm import queries
+from fleetlens.llm import mixing, queries
 
 SF = "/root/testdata/sf0.001"
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model_path())
@@ -44,3 +45,15 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, empty):
         assert name == "sentencepiece" or out.columns == docs.columns, name
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert docs.count() == (0 if empty else 3)
+
+
+def test_the_result_has_the_places_of_the_mix(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    rows = [(i, f"text {i}" + " more" * (i % 50), "big" if i % 8 else "mid" if i % 16 else "small") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    weights = mixing.tempered_weights(docs)
+    numbers = mixing.mix(docs, weights).select("doc_id", "source", "row_in_source").collect()
+    assert sorted((r.doc_id, r.source, r.mix_position) for r in got) == sorted(brute_mix(numbers, weights, mixing.BLOCK))
+    assert sorted(r.mix_position for r in got) == list(range(3000))
