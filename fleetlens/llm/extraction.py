@@ -5,11 +5,20 @@ menus, forms and the like are left out by element, role or the words of class
 and id. Every paragraph passes points (one, one per comma, up to three for
 length) to its container and, shrinking, to the containers around it; a
 container's points are discounted by the share of its text inside links. The
-best container is kept with those of its siblings that score well or read like
-prose, and its blocks are joined in page order.
+best container is kept with those of its siblings that score well, read like
+prose, or are headings, lists, quotes, code or tables with few links, and its
+blocks are joined in page order.
 
-Pages are independent, so the job is one pass without a shuffle; work and
-memory are linear in the page, whatever its nesting.
+A name is a hint only. An element left out by its name, or a form, is taken
+back and the page read again if it holds the main element or the article with
+the most prose, if it is a prose paragraph marked by a weak name like "notice",
+or if it (or all elements of that name) holds most of the page's prose and far
+more than was found. Names of other people's text, like "comments", are
+overruled by prose only where nothing else is found.
+
+Pages are independent, so the job is one pass without a shuffle; a page is read
+a bounded number of times, and work and memory are linear in the page, whatever
+its nesting. Annotations of formulas, which no browser shows, are left out.
 
 Defined results: a null, empty or textless page gives an empty text; repeated
 rows give equal results; an empty table gives no rows. Columns are carried; a
@@ -40,8 +49,8 @@ STOPS = {"ul", "ol", "menu", "dl", "table", "html", "body", "article", "section"
 LEAVES = {"p", "li", "dd", "dt", "pre", "blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "summary", "caption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # What is never part of an article.
-NEVER = {"nav", "footer", "aside", "form", "menu", "button", "select", "datalist", "dialog", "object", "embed", "svg", "math", "canvas", "audio", "video", "map", "head", "search"}
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "form"}
+NEVER = {"nav", "footer", "aside", "menu", "button", "select", "datalist", "dialog", "object", "embed", "svg", "annotation", "annotation-xml", "canvas", "audio", "video", "map", "head", "search"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar"}
 NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "alerts", "banner", "breadcrumb",
     "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "discussion", "disqus",
@@ -51,6 +60,15 @@ NAMES = {
     "sponsor", "sponsored", "subscribe", "toolbar", "trending", "widget",
 }
 PAGE_HEADS = {"header", "topbar"}
+# Names that authors also give to paragraphs of an article.
+WEAK = {"alert", "alerts", "disclaimer", "discussion", "legal", "notice", "notices", "share", "sharing"}
+# Names of text that is not the page's own, however long.
+OTHERS = {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "consent", "cookie", "cookies",
+    "disqus", "gdpr", "reactions", "recommended", "related", "replies", "respond", "responses", "sponsor", "sponsored", "trending",
+}
+# Kept beside the best container where links are few.
+BESIDE = {"ul", "ol", "dl", "pre", "blockquote", "table", "figure", "math"}
 PLAIN = {"has", "with", "no", "without"}  # "has-sidebar" names the page, not a sidebar
 
 _TAG = re.compile(
@@ -63,6 +81,8 @@ _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _COMMA = re.compile(r"[,،、，;；]")
 LEVELS = 5
 SHORT = 25
+FEW_LINKS = 0.25
+READINGS = 8  # of one page
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -70,29 +90,40 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _left_out(name: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if name in NEVER or name == "header" and not in_article:
+    if name in NEVER:
         return True
     if not attrs or name in ("html", "body", "article", "main"):
         return False
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    for text in (attrs.get("class", ""), attrs.get("id", "")):
-        for token in text.split():
-            words = set(_WORD.findall(_HUMP.sub("-", token).lower()))
-            if words & PLAIN:
-                continue
-            if words & NAMES or words & PAGE_HEADS and not in_article:
-                return True
-    return False
+    return "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _named(name: str, attrs: dict[str, str], in_article: bool) -> frozenset[str]:
+    """The words by which an element is left out as long as nothing speaks against it."""
+    found = {name} if name == "form" or name == "header" and not in_article else set()
+    if attrs.get("role", "").lower() == "form":
+        found.add("form")
+    if name not in ("html", "body", "article", "main"):
+        for text in (attrs.get("class", ""), attrs.get("id", "")):
+            for token in text.split():
+                words = set(_WORD.findall(_HUMP.sub("-", token).lower()))
+                if not words & PLAIN:
+                    found |= words & NAMES
+                    if not in_article:
+                        found |= words & PAGE_HEADS
+    return frozenset(found)
 
 
 class _Page:
     """Elements as parallel lists (a parent comes before its children), and blocks of text in page order."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, spared: frozenset[int] = frozenset()) -> None:
         self.name, self.parent, self.out, self.article = ["html"], [-1], [False], [False]
+        self.never = [False]  # out for another reason than a name
+        self.named: dict[int, frozenset[str]] = {}  # left out by these words
+        self.lost: dict[int, list] = {}  # characters left out by a name, those inside links, and the last one, by element
+        self._spared = spared
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
         self._pieces: list[str] = []
         self._linked = 0
@@ -134,6 +165,13 @@ class _Page:
                 self._pieces.append(piece)
                 if links:
                     self._linked += len(piece)
+            elif stop > at and not self.never[stack[-1]]:
+                piece = " ".join(html[at:stop].split())
+                if piece:
+                    lost = self.lost.setdefault(stack[-1], [0, 0, ""])
+                    lost[0] += len(piece)
+                    lost[1] += len(piece) if links else 0
+                    lost[2] = piece[-1]
             if not m:
                 break
             at = m.end()
@@ -187,8 +225,13 @@ class _Page:
             self.name.append(name)
             self.parent.append(up)
             self.article.append(self.article[up] or name in ("article", "main"))
-            self.out.append(self.out[up] or _left_out(name, _attributes(raw), self.article[up]))
+            attrs = _attributes(raw)
             i = len(self.name) - 1
+            self.never.append(self.never[up] or _left_out(name, attrs, self.article[up]))
+            words = frozenset() if self.never[i] or i in self._spared else _named(name, attrs, self.article[up])
+            if words:
+                self.named[i] = words
+            self.out.append(self.out[up] or self.never[i] or bool(words))
             stack.append(i)
             if name in BLOCK:
                 holders.append(i)
@@ -201,7 +244,66 @@ def main_text(html: str | None) -> str:
     """The blocks of the article, two line ends between them."""
     if not html:
         return ""
-    page = _Page(html)
+    spared: frozenset[int] = frozenset()
+    for left in range(READINGS - 1, -1, -1):
+        page = _Page(html, spared)
+        text = _article(page)
+        more = _taken_back(page, text) if left and page.lost else set()
+        if not more:
+            break
+        spared |= more
+    return text
+
+
+def _taken_back(page: _Page, text: str) -> set[int]:
+    """Elements that should not have been left out by their names."""
+    n, parent, name = len(page.name), page.parent, page.name
+    lost, linked, kept, last = [0] * n, [0] * n, [0] * n, [""] * n
+    for i, (size, inside, end) in page.lost.items():
+        lost[i], linked[i], last[i] = size, inside, end
+    for owner, block, inside in page.blocks:
+        kept[owner] += len(block) - inside
+    for i in range(n - 1, 0, -1):
+        lost[parent[i]] += lost[i]
+        linked[parent[i]] += linked[i]
+        kept[parent[i]] += kept[i]
+        last[parent[i]] = last[parent[i]] or last[i]
+    prose = [lost[i] - linked[i] for i in range(n)]
+    back: set[int] = set()
+    # The main element, and the article with the most prose.
+    holders = [i for i in range(n) if name[i] in ("article", "main") and not page.never[i]]
+    most = max((kept[i] + prose[i] for i in holders if name[i] == "article"), default=0)
+    if any(page.out[i] for i in holders):
+        for i in holders:
+            if page.out[i] and prose[i] and (name[i] == "main" or prose[i] >= most):
+                while i:
+                    i = parent[i]
+                    if i in page.named:
+                        back.add(i)
+    for i, words in page.named.items():
+        if words <= WEAK and not page.out[parent[i]] and (name[i] in LEAVES or page.article[i]) and linked[i] < FEW_LINKS * lost[i]:
+            if lost[i] > 80 or lost[i] >= SHORT and last[i] in ".!?…。！？":
+                back.add(i)
+    if back:
+        return back
+    # Most of the page's prose, in one element or in all of a name.
+    whole, outer, words_of = kept[0] + prose[0], {}, {}
+    for i, words in page.named.items():
+        if not page.out[parent[i]] and prose[i] and not (words & OTHERS and text):
+            outer[i] = prose[i]
+            for w in words:
+                words_of.setdefault(w, []).append(i)
+    groups = [[i] for i in outer] + list(words_of.values())
+    sizes = [sum(outer[i] for i in g) for g in groups]
+    for group, size in zip(groups, sizes, strict=True):
+        if 2 * size > whole and size > 3 * len(text):
+            return set(group)
+    if not text and groups:
+        return set(groups[max(range(len(groups)), key=sizes.__getitem__)])
+    return set()
+
+
+def _article(page: _Page) -> str:
     n, parent, name, blocks = len(page.name), page.parent, page.name, page.blocks
     length, linked = [0] * n, [0] * n
     for owner, text, inside in blocks:
@@ -240,15 +342,29 @@ def main_text(html: str | None) -> str:
     keep = [False] * n
     keep[top] = True
     if top:
-        least = max(10.0, 0.2 * final[best])
-        for i in range(1, n):
-            if parent[i] != parent[top] or i == top or page.out[i]:
+        heads = [0] * n
+        for owner, text, _ in blocks:
+            heads[owner] += len(text) if name[owner] in HEADINGS else 0
+        for i in range(n - 1, 0, -1):
+            heads[parent[i]] += heads[i]
+        follows = False  # whether the next sibling with text, headings aside, is kept
+        for i in range(n - 1, 0, -1):
+            if parent[i] != parent[top] or page.out[i] or not length[i]:
+                continue
+            few = density[i] < FEW_LINKS
+            if i == top:
+                pass
+            elif heads[i] == length[i]:  # a heading goes with what it heads
+                keep[i] = few and (follows or name[i] == "h1")
                 continue
-            if final[i] >= least:
+            elif final[i] >= 0.2 * final[best]:
                 keep[i] = True
-            elif name[i] == "p" and length[i]:
-                prose = length[i] > 80 and density[i] < 0.25
-                keep[i] = prose or density[i] == 0 and length[i] >= SHORT and _ends_sentence(blocks, i)
+            elif name[i] in BESIDE:
+                keep[i] = few
+            elif name[i] == "p" or name[i] in ("div", "section", "dd", "td", "center", "details"):
+                long = length[i] > 80 and few
+                keep[i] = long or density[i] == 0 and length[i] >= SHORT and name[i] == "p" and _ends_sentence(blocks, i)
+            follows = keep[i]
     for i in range(1, n):
         keep[i] = keep[i] or keep[parent[i]]
     return "\n\n".join(text for owner, text, _ in blocks if keep[owner])

@@ -72,3 +72,46 @@ def test_rows_with_nulls_clashing_names_and_none(spark):
     assert out.columns == ["page_id", "text"]
     assert sorted(((r.page_id, r.text) for r in out.collect()), key=repr) == [(1, ""), (1, PROSE), (None, "")]
     assert extraction.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main></div><div class='sidebar'><p>Short, aside.</p></div>",
+        "<div class='content-sidebar-wrap'><article>{}</article></div>",
+        "<div class='layout sidebar-right'><div>{}</div><div class='sidebar'><a href='/'>Link</a></div></div>",
+        "<form action='/'><input><div>{}</div></form>",
+        "<div><div class='elementor-widget-container'>{}</div></div>",
+        "<div class='promo'><p>Buy, now.</p></div><div class='widget'><div class='modal'>{}</div></div>",
+        "<main>{}</main><div class='comments'><article><p>Short, comment.</p></article></div>",
+    ],
+)
+def test_names_do_not_delete_an_article(page):
+    body = "<h1>Head</h1>" + f"<p>{PROSE}</p>" * 4
+    assert main_text(f"<body>{page.format(body)}</body>") == "\n\n".join(["Head"] + [PROSE] * 4)
+
+
+@pytest.mark.parametrize("word", ["legal", "notice", "alert", "discussion", "share"])
+def test_marked_paragraphs_of_an_article_stay(word):
+    page = f"<article><p>{PROSE}</p><p class='{word}'>{PROSE}</p><div class='share'><a href='/'>Send this page to your friends, all of them.</a></div></article>"
+    assert main_text(page) == f"{PROSE}\n\n{PROSE}"
+
+
+def test_formulas_stay():
+    assert main_text(f"<p>{PROSE} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p>") == f"{PROSE} x=1"
+
+
+def test_other_kinds_beside_the_best_container_stay():
+    prose = f"<p>{PROSE}</p>" * 6
+    beside = "<ul><li>One</li><li>Two</li></ul><pre>a = 1</pre><blockquote>Said so.</blockquote><table><tr><td>1</td></tr></table>"
+    links = "<ul><li><a href='/'>Home</a></li></ul>"
+    text = main_text(f"<body><div>{links}<h1>Head</h1><div>{prose}</div>{beside}<div><p>{PROSE}</p></div><h3>See also</h3>{links}</div></body>")
+    assert text == "\n\n".join(["Head"] + [PROSE] * 6 + ["One", "Two", "a = 1", "Said so.", "1", PROSE])
+
+
+def test_long_comments_and_side_texts_stay_out():
+    for word in ("comments", "sidebar", "related"):
+        page = f"<article><p>{PROSE}</p><p>{PROSE}</p></article><div class='{word}'><div><p>{PROSE}</p></div></div>"
+        assert main_text(page) == f"{PROSE}\n\n{PROSE}"
+    page = f"<div><p>{PROSE}</p></div><div class='comments'>" + f"<p>{PROSE}</p>" * 20 + "</div>"
+    assert main_text(page) == PROSE
