@@ -8,7 +8,7 @@ included, end excluded.
 
 A pattern is a domain, which covers its subdomains, or a domain and the first
 parts of a path, ended by a slash. A capture asks for every domain and path
-start of its url by equality, and time is cut into buckets that join the key,
+start of its url by equality, as deep as the deepest pattern of the log, and time is cut into buckets that join the key,
 so neither a busy host nor a pattern with a long history multiplies the other:
 per pattern there are at most as many rows as buckets and changes together.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_DAYS = 1
-MAX_PARTS = 8  # path parts that patterns may have
 ADDED = ("n_block", "n_allow", "since", "verdict")
 
 
@@ -31,13 +30,18 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
 
 
-def patterns_of(url: Column) -> Column:
-    """All patterns that cover a url: its domain, parent domains, and path starts of the full domain."""
+def patterns_of(url: Column, slashes: int | None = None) -> Column:
+    """All patterns that cover a url: its domain, parent domains, and path starts of the full domain.
+
+    ``slashes`` leaves out path starts with more slashes than any pattern in use has.
+    """
     host = host_of(url)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    parts = F.filter(F.slice(F.split(path, "/"), 1, MAX_PARTS + 1), lambda x, i: i < F.size(F.split(path, "/")) - 1)
+    pieces = F.split(path, "/")
+    most = F.size(pieces) - 1
+    parts = F.slice(pieces, F.lit(1), most if slashes is None else F.least(most, F.lit(slashes)))
     starts = F.transform(
         F.when(F.size(parts) > 0, F.sequence(F.lit(1), F.size(parts))).otherwise(F.array().cast("array<int>")),
         lambda i: F.concat(host, F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
@@ -74,7 +78,8 @@ def judge(captures: DataFrame, log: DataFrame, url: str = "url", fetched: str =
     since (start of the oldest of them) and verdict: allowed if any allows, else blocked if any blocks, else open.
     """
     asked = captures.where(F.col(url).isNotNull() & F.col(fetched).isNotNull()).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct()
-    asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("_url")))).withColumn("bucket", _bucket("_at", days))
+    slashes = log.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/")))).alias("n")).first()["n"] or 0  # one row
+    asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("_url"), slashes))).withColumn("bucket", _bucket("_at", days))
     # One row bounds the buckets that open intervals are laid out over.
     ends = asked.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
     if ends["lo"] is None:

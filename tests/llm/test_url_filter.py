@@ -62,3 +62,14 @@ def test_intervals_are_disjoint(spark):
     got = url_filter.validity(spark.createDataFrame(log, "list string, pattern string, action string, ts timestamp")).collect()
     assert sorted((r.valid_from, r.valid_to) for r in got if r.valid_to) == [(at(1), at(30))]
     assert [r.valid_from for r in got if not r.valid_to] == [at(90)]
+
+
+def test_patterns_of_any_depth_match(spark):
+    deep = "h.org/" + "".join(f"p{i}/" for i in range(30))
+    url = f"http://{deep}page"
+    assert deep in spark.createDataFrame([(url,)], "u string").select(url_filter.patterns_of(F.col("u")).alias("p")).first().p
+    log = [("block", deep, "add", at(0)), ("block", deep + "page/", "add", at(0)), ("allow", "h.org/p0/" + "x/" * 9, "add", at(0))]
+    captures = [(1, url, at(5)), (2, "http://h.org/p0/page", at(5)), (3, "http://h.org", at(5))]
+    df = spark.createDataFrame(captures, "id int, url string, fetched timestamp")
+    got = url_filter.judge(df, spark.createDataFrame(log, "list string, pattern string, action string, ts timestamp")).collect()
+    assert sorted((r.id, r.n_block, r.n_allow, r.verdict) for r in got) == brute(captures, log) == [(1, 1, 0, "blocked"), (2, 0, 0, "open"), (3, 0, 0, "open")]
