@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetlens.llm import embeddings, extraction, minhash, mixing, pieces, quality, sharding, substring, url_filter, warc
+from fleetlens.llm import (
+    conversation, embeddings, extraction, lexical, minhash, mixing, packing, pieces, quality, sharding, substring, url_filter, warc,
+)
+from fleetlens.session import staged
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,6 +96,35 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), top=50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def word_model_path() -> str:
+    """Where this machine keeps the public word vocabulary of the queries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(_read(spark, sf_dir, "documents"), word_model_path(), end_id=1, window=2048)
+    return packed.select(
+        F.col("doc").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _read(spark, sf_dir, "conversations")
+    rows = conversation.damaged(conversations)
+    audit = staged(conversation.audits(rows, conversations), "audits")
+    # One row per conversation on both sides.
+    digest = conversation.digests(rows, audit).withColumnRenamed("conv_id", "id")
+    found = audit.join(digest, F.col("conv_id").eqNullSafe(F.col("id")))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_sharding": op2_sharding,
@@ -104,4 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_quality_rules": op9_quality_rules,
     "op10_html_extraction": op10_html_extraction,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_packing": op12_packing,
+    "op13_conversation_repair": op13_conversation_repair,
 }

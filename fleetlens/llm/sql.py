@@ -138,6 +138,80 @@ SELECT page_id, url, CAST(coalesce(b, 0) AS BIGINT) AS n_block, CAST(coalesce(a,
 FROM p LEFT JOIN f USING (page_id)
 """
 
+_TERMS = r"list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))"
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents),
+whole AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY 1, 2),
+weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, whole GROUP BY t, docs),
+m AS (SELECT rid, doc_id, 100 - 50 + ((50 * len(w) * docs) // terms) AS m FROM d, whole),
+scored AS (SELECT item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN m USING (rid) GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
+
+def _edit(state: str, cost: str, letter: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 's': {state}.s || {letter}}} END"
+
+
+def _inserted(source: str) -> str:
+    """Best string of each state after the inserts that may come next."""
+    return f"""SELECT *, list_min([ui, {_edit('ai', '2', "'I'")}]) AS u1, list_min([ai, {_edit('ui', '2', "'I'")}]) AS a1 FROM
+  (SELECT *, a AS ai, list_min([u, {_edit('o', '2', "'I'")}, {_edit('s', '2', "'I'")}]) AS ui FROM {source})"""
+
+
+_STEP = f"""SELECT conv_id, i + 1 AS i,
+  {_edit('o', '3', "'D'")} AS o,
+  list_min([{_edit('s', '3', "'D'")}, CASE WHEN free AND ini = 's' THEN {_edit('o', 'extra', "'K'")} END]) AS s,
+  list_min([{_edit('u1', '3', "'D'")}, {', '.join("CASE WHEN free THEN " + _edit(q, "CASE WHEN ini = 'u' THEN 0 ELSE 2 END + extra", "CASE WHEN ini = 'u' THEN 'K' ELSE 'R' END") + " END" for q in ('o', 's', 'a1'))}]) AS u,
+  list_min([{_edit('a1', '3', "'D'")}, CASE WHEN free THEN {_edit('u1', "CASE WHEN ini = 'a' THEN 0 ELSE 2 END + extra", "CASE WHEN ini = 'a' THEN 'K' ELSE 'R' END")} END]) AS a
+  FROM ({_inserted('(SELECT dp.*, f.ini, f.free, f.extra FROM dp JOIN f ON f.conv_id = dp.conv_id AND f.i = dp.i + 1)')})"""
+OP13 = rf"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, role, text, {_CRC} % 20 AS kind
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations)
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM kinds WHERE kind <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged
+), fault AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, substr(role, 1, 1) AS ini, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM ordered
+), f AS (
+  SELECT *, NOT blank AND NOT again AS free, (NOT blank AND NOT again AND cut)::BIGINT AS extra FROM fault
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 's': ''}} AS o, NULL::STRUCT(c BIGINT, s VARCHAR) AS s, NULL::STRUCT(c BIGINT, s VARCHAR) AS u, NULL::STRUCT(c BIGINT, s VARCHAR) AS a
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL {_STEP}
+), done AS (
+  SELECT conv_id, list_min([o, a1]) AS best FROM ({_inserted('(SELECT * FROM dp QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)')})
+), letters AS (
+  SELECT conv_id, p, best.s[p] AS e FROM (SELECT *, unnest(range(1, length(best.s) + 1)) AS p FROM done)
+), counted AS (
+  SELECT *, sum((e <> 'I')::INT) OVER w AS i, sum((e <> 'D')::INT) OVER w AS j FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+), turns AS (
+  SELECT c.conv_id, p, j, e, f.role, f.text, max((j = 1 AND e = 'K' AND f.ini = 's')::INT) OVER (PARTITION BY c.conv_id) AS led
+  FROM counted c LEFT JOIN f ON f.conv_id = c.conv_id AND f.i = c.i AND c.e <> 'I' WHERE e <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS t
+  FROM turns GROUP BY conv_id
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate,
+    sum(extra)::BIGINT AS truncated, count(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, best.c AS cost, best.s AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM done LEFT JOIN counts USING (conv_id) LEFT JOIN repaired USING (conv_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_embedding_dedup": OP1,
     "op4_minhash_dedup": OP4,
@@ -145,4 +219,6 @@ ORACLES: dict[str, str] = {
     "op7_warc": OP7,
     "op8_url_filters": OP8,
     "op9_quality_rules": OP9,
+    "op11_lexical_search": OP11,
+    "op13_conversation_repair": OP13,
 }
