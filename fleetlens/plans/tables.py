@@ -597,9 +597,23 @@ def fleet_report(spark, sf_dir):
 
 
 QUERIES = {
-    name: fn
-    for name, fn in list(globals().items())
-    if callable(fn)
-    and not name.startswith("_")
-    and name not in ("stable", "unsigned_zero", "staged", "scratch_path", "DataFrame", "SparkSession")
-}
+    f.__name__: f
+    for f in (
+        scan_csv, label_from_filename, ingest_by_device, file_manifest, file_catalog, scan_projected,
+        scores_with_metadata, split_counts, artifact_sizes, run_summary_scan, union_devices, history_scan,
+        filter_benign, apply_threshold, threshold_lookup, repredict, score_group, parse_label, feature_grammar,
+        strategy_union, split_benign, device_splits, global_splits, sample_exact, sample_stratified,
+        prevalence_resample, prevalence_sample, bootstrap_threshold, structural_summary, class_distribution,
+        device_class_pivot, family_share, attack_type_totals, device_family_pivot, missing_profile, dup_public,
+        dup_device, dup_global, duplicate_summary, duplicate_summary_device, duplicate_summary_global,
+        duplicate_pivot, feature_variance, constant_features, low_variance_profile, scale_profile, range_topk,
+        iqr_topk, window_correlation, feature_correlation, score_summary, boxplot_stats, ks_train_val,
+        ks_train_val_global, threshold_criteria, threshold_fpr, threshold_criteria_reconstruction,
+        threshold_criteria_fleet, confusion_matrix, global_metrics, device_metrics, family_metrics, type_metrics,
+        extreme_type_metrics, extreme_recall_pivot, mcc_threshold, mcc_threshold_global, threshold_comparison,
+        score_histogram, score_histogram_zoom, roc_curve, roc_auc, pr_curve, average_precision,
+        prevalence_sensitivity, recalibrated_prevalence, operational_metrics, strategy_global, strategy_device_mcc,
+        strategy_attack_recall, size_regression, scalability_table, training_curves, best_epoch, best_trial,
+        scaler_fit, scaler_apply, scale_splits, scale_splits_global, fleet_report,
+    )
+}
