@@ -24,6 +24,8 @@ ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import re
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +39,11 @@ from fleetlens.session import staged
 WINDOW, OPEN_WINDOWS, MIN_PIECE = 2048, 32, 16
 PIECE_BYTES = 1 << 20
 # Words a worker remembers, in two generations.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 1_400_000
+# New words that go to the library together.
+JOINED_WORDS = 32
+# A full stop or comma behind an ASCII letter at the end of a word.
+_STOP = re.compile(rb"(?<=[A-Za-z])[.,](?=[ \t\n\r\x0b\x0c]|\Z)")
 # Sequences of one partition, of 2**32 at most, follow those of the one before; merged leftovers come first.
 PARTITION_STEP = 1 << 32
 ROWS = "doc long, start long, length long, doc_tokens long, sequence_id long, offset long, place long, ids binary"
@@ -53,29 +59,48 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.ends = {i for token, i in self.library.get_vocab().items() if token.endswith("</w>")}
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: list[bytes]) -> None:
-        fresh = []
+        """Ids of new words. A word of letters alone ends with its one id of the end-of-word kind, so such words go joined."""
+        plain: list[bytes] = []
+        other: list[bytes] = []
         for w in words:
             if (ids := self.older.get(w)) is not None:
                 self.known[w] = ids
             else:
-                fresh.append(w)
-        found = self.library.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        for w, e in zip(fresh, found, strict=True):
-            self.known[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+                (plain if w.decode().isalpha() else other).append(w)
+        groups = [plain[i : i + JOINED_WORDS] for i in range(0, len(plain), JOINED_WORDS)]
+        for group, ids in zip(groups, self._encode([b" ".join(g).decode() for g in groups]), strict=True):
+            ends = [i + 1 for i, number in enumerate(ids) if number in self.ends]
+            if len(ends) != len(group) or ends[-1] != len(ids):
+                other += group
+                continue
+            packed = array("I", ids).tobytes()
+            start = 0
+            for w, end in zip(group, ends, strict=True):
+                self.known[w] = packed[4 * start : 4 * end]
+                start = end
+        for w, ids in zip(other, self._encode([w.decode() for w in other]), strict=True):
+            self.known[w] = array("I", ids).tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text, 4 bytes each, little-endian."""
         if len(self.known) > REMEMBERED_WORDS // 2:
             self.known, self.older = {}, self.known
         cut = [split_words(t) for t in texts]
-        missing = list({w for words in cut for w in words if w not in self.known})
-        if missing:
-            self._learn(missing)
-        return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        found = [list(map(self.known.get, words)) for words in cut]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        self._learn(list({words[i] for words, at in zip(cut, gaps, strict=True) for i in at}))
+        for words, ids, at in zip(cut, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self.known[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -83,16 +108,7 @@ def split_words(text: bytes) -> list[bytes]:
     # Lower case can change what composes with a following mark and what is a special token: plain ASCII only.
     if text.isascii() and b"<|" not in text:
         text = text.lower()
-    words = text.split()
-    if b"." not in text and b"," not in text:
-        return words
-    out = []
-    for w in words:
-        if w[-1] in b".," and w[-2:-1].isalpha():
-            out += (w[:-1], w[-1:])
-        else:
-            out.append(w)
-    return out
+    return _STOP.sub(rb" \g<0>", text).split()
 
 
 @lru_cache(maxsize=1)
