@@ -7,6 +7,12 @@ rows. Rows of a device are spread over all tasks, so per-device and fleet-wide
 models (``device_id`` 0 for all rows) train through the same job and no device
 has to fit in one task. The driver holds only parameters, in waves of bounded
 total size, and the epoch losses.
+
+Mini-batches are cut from a shuffle buffer that fills across Arrow batches, so
+their size and order depend on a task's rows alone, not on how files or
+batches cut them. In the exact mode a step is the gradient over all rows: each
+task adds up the gradients of its rows, Spark adds up the tasks, and the
+optimiser moves once per pass, so the result is that of one machine.
 """
 
 from __future__ import annotations
@@ -37,6 +43,8 @@ HISTORY_SCHEMA = "device_id int, config_id string, epoch int, loss double, val_l
 WAVE_VALUES = 16_000_000
 CHUNK = 1024
 ROWS_PER_TASK = 4096
+# Fixed value: rows a shuffle buffer holds.
+BUFFER_ROWS = 50_000
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -76,32 +84,72 @@ def training_table(rows: DataFrame, *, fleet: bool = False, seed: int = 42) -> D
     return staged(spreadout, "ae-training")
 
 
-def _epoch_task(models, epoch: int, batch_size: int, seed: int, shuffle: bool, learn: bool):
-    """One epoch over a task's rows: local steps and validation at the start parameters."""
+class _Buffer:
+    """Rows of one device, handed on in shuffled mini-batches of one size whatever the batches they came in."""
+
+    def __init__(self, batch_size: int, rows: int):
+        self.batch_size, self.room = batch_size, max(rows, batch_size)
+        self.parts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """Fills up; yields the content each time the buffer is full."""
+        while len(rows):
+            take = rows[: self.room - self.held]
+            self.parts.append(take)
+            self.held += len(take)
+            rows = rows[len(take) :]
+            if self.held == self.room:
+                yield self.content()
+
+    def content(self) -> np.ndarray:
+        whole = np.concatenate(self.parts) if self.parts else np.zeros((0, 0))
+        self.parts, self.held = [], 0
+        return whole
+
+
+def _epoch_task(models, epoch: int, batch_size: int, seed: int, shuffle: bool, learn: bool, exact: bool, buffer_rows: int):
+    """One epoch over a task's rows: local steps (or their gradient) and validation at the start parameters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local: dict[tuple[int, str], dict] = {}
-        # Tasks draw their own masks and orders; a retried task draws the same again.
-        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+        buffers: dict[int, _Buffer] = {}
+        part = TaskContext.get().partitionId()
+
+        def feed(device: int, rows: np.ndarray) -> None:
+            for config, model in models.value.get(device, {}).items():
+                mine = local[device, config]
+                if exact:
+                    _add_gradient(model["spec"], mine, rows)
+                else:
+                    order = mine["rng"].permutation(len(rows)) if shuffle else np.arange(len(rows))
+                    _learn(model["spec"], mine, rows[order], batch_size)
+
         for batch in batches:
             flags = batch.column("is_val").to_numpy(zero_copy_only=False)
             features = _matrix(batch.column("features"))
             for device, rows in _by_device(batch):
                 val, train = features[rows[flags[rows]]], features[rows[~flags[rows]]]
-                for config, model in models.value.get(device, {}).items():
-                    mine = local.setdefault((device, config), _fresh(model))
+                for number, (config, model) in enumerate(sorted(models.value.get(device, {}).items())):
+                    # Tasks draw their own masks and orders; a retried task draws the same again.
+                    mine = local.setdefault((device, config), _fresh(model, [seed, epoch, part, device, number]))
                     _validate(model, mine, val)
-                    if learn and len(train):
-                        _learn(model["spec"], mine, rng.permutation(train) if shuffle else train, batch_size, rng)
+                if learn and len(train):
+                    for full in buffers.setdefault(device, _Buffer(batch_size, buffer_rows)).add(train):
+                        feed(device, full)
+        for device, buffer in buffers.items():
+            if buffer.held:
+                feed(device, buffer.content())
         for (device, config), mine in local.items():
-            yield from _parts(device, config, mine, learn)
+            yield from _parts(device, config, mine, learn, exact)
 
     return run
 
 
-def _fresh(model: dict) -> dict:
+def _fresh(model: dict, draw: list[int]) -> dict:
     state = {k: model[k].copy() for k in ("params", "m", "v")} | {"t": model["t"], "lr": model["lr"]}
-    return {"state": state, "n": 0, "loss": 0.0, "n_val": 0, "val": 0.0}
+    zero = np.zeros_like(model["params"])
+    return {"state": state, "gradient": zero, "rng": np.random.default_rng(draw), "n": 0, "loss": 0.0, "n_val": 0, "val": 0.0}
 
 
 def _validate(model: dict, mine: dict, val: np.ndarray) -> None:
@@ -112,19 +160,30 @@ def _validate(model: dict, mine: dict, val: np.ndarray) -> None:
         mine["n_val"] += len(val)
 
 
-def _learn(spec: dict, mine: dict, train: np.ndarray, batch_size: int, rng) -> None:
+def _learn(spec: dict, mine: dict, train: np.ndarray, batch_size: int) -> None:
     for start in range(0, len(train), batch_size):
         x = train[start : start + batch_size]
-        loss, grad = dense.gradients(spec, mine["state"]["params"], x, rng)
+        loss, grad = dense.gradients(spec, mine["state"]["params"], x, mine["rng"])
         dense.update(spec, mine["state"], grad)
         mine["loss"] += loss * len(x)
         mine["n"] += len(x)
 
 
-def _parts(device: int, config: str, mine: dict, learn: bool) -> Iterator[pa.RecordBatch]:
+def _add_gradient(spec: dict, mine: dict, train: np.ndarray) -> None:
+    for start in range(0, len(train), ROWS_PER_TASK):
+        x = train[start : start + ROWS_PER_TASK]
+        loss, grad = dense.gradients(spec, mine["state"]["params"], x, mine["rng"])
+        mine["gradient"] += grad * len(x)
+        mine["loss"] += loss * len(x)
+        mine["n"] += len(x)
+
+
+def _parts(device: int, config: str, mine: dict, learn: bool, exact: bool) -> Iterator[pa.RecordBatch]:
     """A task's result for one model, its vectors cut into chunks for the average."""
     s = mine["state"]
-    vector = np.concatenate([s["params"], s["m"], s["v"]]) * mine["n"] if learn and mine["n"] else np.zeros(0)
+    vector = np.zeros(0)
+    if learn and mine["n"]:
+        vector = mine["gradient"] if exact else np.concatenate([s["params"], s["m"], s["v"]]) * mine["n"]
     pieces = [vector[i : i + CHUNK] for i in range(0, len(vector), CHUNK)] or [vector]
     for no, piece in enumerate(pieces):
         head = no == 0
@@ -159,11 +218,11 @@ def _add_chunks(pdf):
     return first
 
 
-def _run_epoch(table: DataFrame, models: dict, epoch: int, batch_size: int, seed: int, shuffle: bool, learn: bool) -> dict:
-    """Losses and averaged vectors of a wave of models after one pass."""
+def _run_epoch(table: DataFrame, models: dict, epoch: int, *options) -> dict:
+    """Losses and summed vectors of a wave of models after one pass."""
     shared = table.sparkSession.sparkContext.broadcast(models)
     parts = table.where(F.col("device_id").isin(list(models))).mapInArrow(
-        _epoch_task(shared, epoch, batch_size, seed, shuffle, learn), PART_SCHEMA
+        _epoch_task(shared, epoch, *options), PART_SCHEMA
     )
     summed = parts.groupBy("device_id", "config_id", "chunk").applyInPandas(_add_chunks, PART_SCHEMA)
     found: dict[tuple[int, str], dict] = {}
@@ -188,10 +247,16 @@ def train(
     restore_best: bool = True,
     plateau: dict | None = None,
     shuffle: bool = True,
+    buffer_rows: int = BUFFER_ROWS,
+    exact: bool = False,
+    start: dict[tuple[int, str], np.ndarray] | None = None,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
     """Trains every (device, config id, config) of the plan; returns (models, history).
 
+    ``exact`` makes each epoch one full-batch step (without batch normalisation, whose moments are those of a
+    batch). ``start`` gives first parameters instead of drawn ones.
+
     Stops a model on NaN or after ``patience`` epochs without the validation
     loss falling by ``min_delta``. ``plateau`` (factor, patience, min_delta,
     min_lr) lowers the learning rate.
@@ -201,6 +266,8 @@ def train(
     waves, held = [[]], 0
     for device, config_id, config in plan:
         spec = dense.complete(config, input_dim)
+        if exact and spec["batch_norm"]:
+            raise ValueError("exact training does not know batch normalisation")
         size = 3 * dense.parameter_count(spec)
         if waves[-1] and held + size > WAVE_VALUES:
             waves.append([])
@@ -210,7 +277,7 @@ def train(
     path = scratch_path(spark, "ae-models")
     for wave in waves:
         models, history = _train_wave(
-            table, wave, epochs, batch_size, patience, min_delta, restore_best, plateau, shuffle, seed
+            table, wave, epochs, patience, min_delta, restore_best, plateau, start or {}, seed, (batch_size, seed, shuffle), (exact, buffer_rows)
         )
         # Finished waves leave the driver.
         spark.createDataFrame(models, MODEL_SCHEMA).write.mode("append").parquet(f"{path}/models")
@@ -221,11 +288,11 @@ def train(
     )
 
 
-def _train_wave(table, wave, epochs, batch_size, patience, min_delta, restore_best, plateau, shuffle, seed):
+def _train_wave(table, wave, epochs, patience, min_delta, restore_best, plateau, first, seed, drawing, mode):
     """Model and history rows of one wave."""
     runs, models, history = {}, [], []
     for device, config_id, spec in wave:
-        start = dense.initial(spec, seed)
+        start = np.array(first.get((device, config_id), dense.initial(spec, seed)), "float64")
         zero = np.zeros_like(start)
         runs[device, config_id] = {
             "spec": spec, "params": start, "m": zero, "v": zero.copy(), "t": 0, "lr": float(spec["learning_rate"]),
@@ -239,7 +306,7 @@ def _train_wave(table, wave, epochs, batch_size, patience, min_delta, restore_be
         shared: dict = {}
         for (device, config_id), r in live.items():
             shared.setdefault(device, {})[config_id] = {k: r[k] for k in ("spec", "params", "m", "v", "t", "lr")}
-        found = _run_epoch(table, shared, epoch, batch_size, seed, shuffle, learn=epoch <= epochs)
+        found = _run_epoch(table, shared, epoch, *drawing, epoch <= epochs, *mode)
         for key, r in live.items():
             got = found.get(key)
             if got is None:
@@ -248,7 +315,7 @@ def _train_wave(table, wave, epochs, batch_size, patience, min_delta, restore_be
             if epoch > 1:
                 _close_epoch(r, got, patience, min_delta, plateau)
             if r["open"] and epoch <= epochs and got["n"]:
-                _take_average(r, got, epoch)
+                (_take_step if mode[0] else _take_average)(r, got, epoch)
             elif epoch > epochs or not got["n"]:
                 r["open"] = False
     for (device, config_id), r in runs.items():
@@ -259,6 +326,16 @@ def _train_wave(table, wave, epochs, batch_size, patience, min_delta, restore_be
     return models, history
 
 
+def _take_step(r: dict, got: dict, epoch: int) -> None:
+    """One optimiser step by the gradient over all rows."""
+    state = {k: r[k] for k in ("params", "m", "v", "t", "lr")}
+    state["params"] = state["params"].copy()
+    dense.update(r["spec"], state, np.concatenate(got["vector"]) / got["n"])
+    r["params"], r["t"] = state["params"], state["t"]
+    r["rows"].append([epoch, got["loss"] / got["n"], None, r["lr"]])
+    r["open"] = bool(np.isfinite(r["rows"][-1][1]))
+
+
 def _take_average(r: dict, got: dict, epoch: int) -> None:
     vector = np.concatenate(got["vector"]) / got["n"]
     r["params"], r["m"], r["v"] = (x.copy() for x in np.split(vector, 3))
@@ -349,7 +426,7 @@ def _apply(rows: DataFrame, models: DataFrame, output: str, schema: str, fn) ->
                         column = (
                             pa.array(result.astype("float32"))
                             if result.ndim == 1
-                            else pa.array(list(result.astype("float32")), pa.list_(pa.float32()))
+                            else pa.FixedSizeListArray.from_arrays(pa.array(result.astype("float32").ravel()), result.shape[1]).cast(pa.list_(pa.float32()))
                         )
                         yield pa.RecordBatch.from_arrays(
                             [*part.columns, pa.array([config] * len(at)), column], names=[*names, "config_id", output]

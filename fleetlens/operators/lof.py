@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetlens.operators.joins import skew_join
+from fleetlens.operators.joins import lookup_join, required
 from fleetlens.operators.neighbors import knn_join
 from fleetlens.operators.ordering import quantiles
 from fleetlens.operators.records import best_trial
@@ -20,9 +20,9 @@ MODEL_COLUMNS = ["device_id", "id", "features", "kdist", "lrd", "n_neighbors"]
 def _reach(edges: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     """Neighbour edges with the neighbour's model values and reachability distance.
 
-    A point may be everyone's neighbour, hence the skew-safe join.
+    A point may be everyone's neighbour, hence the join that is safe for hot keys.
     """
-    joined = skew_join(edges, points.withColumnRenamed("id", "nid"), [*by, "nid"])
+    joined = lookup_join(edges, points.withColumnRenamed("id", "nid"), [*by, "nid"])
     return joined.withColumn("reach", F.greatest("dist", "nb_kdist"))
 
 
@@ -70,7 +70,9 @@ def lof_score(queries: DataFrame, model: DataFrame, n_neighbors: int = 20, metri
 
 
 def save_model(model: DataFrame, path: str) -> None:
-    model.select(*MODEL_COLUMNS).write.mode("overwrite").parquet(path)
+    """Writes a model table; what a refit adds is kept."""
+    extra = [c for c in ("metric", "k") if c in model.columns]
+    model.select(*MODEL_COLUMNS, *extra).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str) -> DataFrame:
@@ -79,7 +81,53 @@ def load_model(spark: SparkSession, path: str) -> DataFrame:
     missing = [c for c in MODEL_COLUMNS if c not in table.columns]
     if missing:
         raise TypeError(f"not a density model, missing columns {missing}")
-    return table.select(*MODEL_COLUMNS)
+    return table.select(*MODEL_COLUMNS, *[c for c in ("metric", "k") if c in table.columns])
+
+
+def _at_own_k(neighbors: DataFrame, chosen: DataFrame, by: list[str]) -> DataFrame:
+    """Lists cut to the k of their device (``chosen`` has by and n_neighbors)."""
+    found = lookup_join(neighbors, chosen.select(*by, "n_neighbors"), by)
+    return found.withColumn("neighbors", F.slice("neighbors", F.lit(1), F.col("n_neighbors"))).drop("n_neighbors")
+
+
+def _metrics(chosen: DataFrame) -> list[tuple[str, int]]:
+    """(metric, largest k) of a table of choices; the metrics are few by name."""
+    rows = chosen.groupBy("metric").agg(F.max("n_neighbors").alias("k")).orderBy("metric").collect()
+    return [(r["metric"], r["k"]) for r in rows]
+
+
+def lof_refit(train: DataFrame, best: DataFrame) -> DataFrame:
+    """One model table for all devices, each fitted with its own k and metric.
+
+    ``best`` has device_id, n_neighbors and metric (see ``lof_sweep``). The model table has ``metric`` and
+    ``k`` beside the usual columns. Each metric takes one neighbour join at its largest k over its devices;
+    a device's lists are prefixes. A device without a choice is an error.
+    """
+    by, models = ["device_id"], []
+    choice = lookup_join(train, best.select(*by, F.col("metric").alias("_metric")), by, "left")
+    checked_rows = choice.withColumn("_metric", required("_metric", "trial", "device_id"))
+    for metric, widest in _metrics(best):
+        rows = checked_rows.where(F.col("_metric") == metric).select(*by, "id", "features")
+        lists = staged(_at_own_k(knn_join(rows, rows, widest, metric=metric, exclude_self=True), best, by), "refit-neighbors")
+        fitted = densities(lists, by).join(rows, [*by, "id"]).select(*MODEL_COLUMNS, F.lit(metric).alias("metric"))
+        models.append(lookup_join(fitted, best.select(*by, F.col("n_neighbors").alias("k")), by))
+    if not models:
+        raise ValueError("no best trials to refit")
+    return reduce(DataFrame.unionByName, models)
+
+
+def lof_rescore(queries: DataFrame, model: DataFrame) -> DataFrame:
+    """(device_id, id, score) by the models of ``lof_refit``; each device by its own k and metric."""
+    by, scored = ["device_id"], []
+    chosen = staged(model.select(*by, "metric", F.col("k").alias("n_neighbors")).distinct(), "rescore-choices")
+    routed = lookup_join(queries, chosen.select(*by, "metric"), by, "left")
+    routed = routed.withColumn("metric", required("metric", "model", "device_id"))
+    for metric, widest in _metrics(chosen):
+        own = model.where(F.col("metric") == metric)
+        rows = routed.where(F.col("metric") == metric).select(*by, "id", "features")
+        lists = staged(_at_own_k(knn_join(rows, own.select(*by, "id", "features"), widest, metric=metric), chosen, by), "rescore-neighbors")
+        scored.append(outlier_factors(lists, own, by))
+    return reduce(DataFrame.unionByName, scored)
 
 
 def lof_sweep(
@@ -89,7 +137,7 @@ def lof_sweep(
 
     A candidate has number, n_neighbors and metric. Each metric needs a single
     neighbour join at its largest k; smaller k are prefixes of its lists. The
-    objective is a high quantile of the benign validation scores.
+    objective is a high quantile of the benign validation scores; values that agree to nine decimals are ties.
     """
     if not 0 < quantile < 1:
         raise ValueError("the objective quantile must lie between 0 and 1")
@@ -112,5 +160,6 @@ def lof_sweep(
         [(c["number"], c["n_neighbors"], c["metric"]) for c in candidates], "number int, n_neighbors int, metric string"
     )
     # The candidate list is an argument of the call.
-    trials = quantiles(scores, by, "score", {"value": quantile}).join(F.broadcast(params), "number")
+    values = quantiles(scores, by, "score", {"value": quantile}).withColumn("value", F.round("value", 9))
+    trials = values.join(F.broadcast(params), "number")
     return trials, best_trial(trials, ["device_id"], ["n_neighbors", "metric"])

@@ -1,32 +1,44 @@
 """Exact k-nearest-neighbour join inside devices.
 
-Train points are grouped around a bounded set of pivots per device. A query
-visits only the cells that the triangle inequality cannot rule out, so most
-distances are never computed, yet the answer is exact. Cells and the queries
-sent to them are cut into blocks of bounded size; a task sees one pair of
-blocks and keeps k candidates per query. Copies of a point beyond the k + 1
-lowest ids can never be chosen (ties go to the lower id) and are left out
-before the join, and equal queries are answered once.
+Train points are grouped into cells around pivots, whose number grows with the
+data: about one per CELL_ROWS rows. Up to FLAT_CELLS cells the pivots are
+broadcast. Beyond that they form a tree of two levels: the square root of
+their number is broadcast as top pivots, and the cells below a top pivot are a
+table that meets its rows in bounded blocks, so nothing that is broadcast or
+collected grows faster than that root.
+
+A query looks into its own cell first. The k-th distance found there bounds
+what it still needs, and the triangle inequality rules out all cells beyond
+that bound; the rest are visited and the lists merged. The answer is exact,
+and on data with any structure a query visits few cells, so the rows shuffled
+grow with the number of rows. Cells and the queries sent to them are cut into
+blocks of bounded size; a task compares one pair of blocks at a time. Copies
+of a point beyond the k + 1 lowest ids can never be chosen (ties go to the
+lower id) and are left out before the join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetlens.functions.expressions import hash_order
-from fleetlens.operators.joins import checked, lookup_checked, skew_join
+from fleetlens.operators.joins import bounded_local, lookup_checked
 from fleetlens.session import staged
 
-# Fixed sizes: rows of a block side, wanted rows per cell, pivots over all devices.
-BLOCK_ROWS = 2048
-CELL_ROWS = 4096
-MAX_PIVOTS = 8192
-MAX_PIVOTS_PER_DEVICE = 1000
+# Rows of a cell and of a block, queries of a block and of one matrix, cells up to which one level of pivots serves.
+CELL_ROWS, BLOCK_ROWS, QUERY_ROWS, STEP_ROWS = 4096, 8192, 4096, 512
+FLAT_CELLS = 4096
 METRICS = ("euclidean", "manhattan")
+NO_PIVOT = -1
+LISTS = "device_id int, rid long, id long, nn array<struct<dist:double,id:long>>"
+CELL = ["device_id", "top", "cell"]
+
+
+# ---- distances ------------------------------------------------------------------
 
 
 def pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -45,127 +57,331 @@ def distance_matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def _pivots(train: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarray]:
-    """The points of lowest hash of each device, about one per CELL_ROWS rows.
+def _slack(size: np.ndarray) -> np.ndarray:
+    """Covers the rounding of matrix distances of points with coordinate sums up to ``size``."""
+    return 1e-6 * (1.0 + size)
 
-    Their number is bounded whatever the data; a device without a pivot is a
-    single cell that every query of it visits.
-    """
-    share = max(1, MAX_PIVOTS // max(1, len(counts)))
-    want = {
-        d: min(MAX_PIVOTS_PER_DEVICE, share, max(1, -(-n // CELL_ROWS))) for d, n in sorted(counts.items())[:MAX_PIVOTS]
-    }
-    limits = train.sparkSession.createDataFrame(list(want.items()), "device_id int, pivots int")
-    order = F.row_number().over(Window.partitionBy("device_id").orderBy(hash_order("pivot", "id")))
-    # The rank filter is applied below the shuffle too: each task keeps its few lowest.
-    ranked = train.withColumn("_r", order).where(F.col("_r") <= MAX_PIVOTS_PER_DEVICE)
-    # ``limits`` has at most MAX_PIVOTS rows.
-    kept = ranked.join(F.broadcast(limits), "device_id").where(F.col("_r") <= F.col("pivots"))
-    rows = kept.select("device_id", "features").collect()
-    found: dict[int, list] = {}
-    for r in rows:
-        found.setdefault(r["device_id"], []).append(r["features"])
-    return {d: np.asarray(v, dtype="float64") for d, v in found.items()}
-
-
-def _assign_cells(train: DataFrame, pivots, metric: str) -> DataFrame:
-    """Adds the nearest pivot's number and distance to every train point."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cell, dist = np.zeros(len(batch), "int32"), np.full(len(batch), np.nan)
-            for device, rows in batch.groupby("device_id").indices.items():
-                if device in pivots.value:
-                    d = distance_matrix(_matrix(batch["features"].iloc[rows]), pivots.value[device], metric)
-                    cell[rows], dist[rows] = d.argmin(axis=1), d.min(axis=1)
-            yield batch.assign(cell=cell, pivot_dist=dist)
 
-    return train.mapInPandas(assign, "device_id int, id long, features array<float>, cell int, pivot_dist double")
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list<float> column as rows of doubles."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def _matrix(features: pd.Series) -> np.ndarray:
-    return np.stack(features.to_numpy()).astype("float64")
+def _numbers(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(zero_copy_only=False)
 
 
-def _route(queries: DataFrame, pivots, cells, k: int, metric: str) -> DataFrame:
-    """(device_id, cell, qid, features): every cell that may hold one of the k nearest."""
+def _steps(n: int) -> Iterator[slice]:
+    for start in range(0, n, STEP_ROWS):
+        yield slice(start, min(start + STEP_ROWS, n))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for device, rows in batch.groupby("device_id").indices.items():
-                part = batch.iloc[rows]
-                if device not in cells.value:
-                    # No pivots: the device is one cell.
-                    ids, hit_q, hit_c = np.zeros(1), np.arange(len(part)), np.zeros(len(part), "int64")
-                else:
-                    ids, low, high, sizes = cells.value[device]
-                    points, centres = _matrix(part["features"]), pivots.value[device][ids]
-                    d = distance_matrix(points, centres, metric)
-                    # k points lie within the bound: fill cells by nearness of their far edge.
-                    far = d + high[None, :]
-                    order = np.argsort(far, axis=1)
-                    filled = np.cumsum(sizes[order], axis=1) >= k
-                    enough = np.where(filled.any(axis=1), filled.argmax(axis=1), len(ids) - 1)
-                    bound = np.take_along_axis(np.take_along_axis(far, order, 1), enough[:, None], 1)
-                    nearest = np.maximum(np.maximum(d - high[None, :], low[None, :] - d), 0.0)
-                    # Covers the rounding of the distances above; only ever keeps more cells.
-                    slack = 1e-6 * (1.0 + bound + np.abs(points).sum(1)[:, None] + np.abs(centres).sum(1)[None, :])
-                    hit_q, hit_c = np.nonzero((nearest <= bound + slack) | ~filled.any(axis=1)[:, None])
-                yield pd.DataFrame(
-                    {
-                        "device_id": np.full(len(hit_q), device, "int32"),
-                        "cell": np.asarray(ids)[hit_c].astype("int32"),
-                        "qid": part["qid"].to_numpy()[hit_q],
-                        "features": part["features"].to_numpy()[hit_q],
-                    }
-                )
-
-    return queries.mapInPandas(route, "device_id int, cell int, qid string, features array<float>")
-
-
-def _block_top_k(k: int, metric: str):
-    """Top k of one query block against one train block."""
-
-    def nearest(queries: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or train.empty:
-            return pd.DataFrame({"device_id": [], "qid": [], "dist": [], "id": []})
+
+# ---- blocks ----------------------------------------------------------------------
+
+
+def _block_sizes(left: DataFrame, right: DataFrame, keys: list[str], left_rows: int, right_rows: int | None) -> DataFrame:
+    """(keys, _lb, _rb): how many blocks each side of a key is cut into."""
+    blocks = lambda rows: F.ceil(F.count("*") / rows).cast("int")
+    mine = left.groupBy(*keys).agg(blocks(left_rows).alias("_lb"))
+    if right_rows is None:
+        return mine.withColumn("_rb", F.lit(1))
+    return mine.join(right.groupBy(*keys).agg(blocks(right_rows).alias("_rb")), keys, "left").fillna(1, ["_rb"])
+
+
+def _in_pairs(
+    left: DataFrame, right: DataFrame, keys: list[str], left_key: str, right_key: str, left_rows: int, right_rows: int | None, work: Callable, schema: str
+) -> DataFrame:
+    """work(left block, right block) over all pairs of blocks of a key; a left block without right rows gets an empty one."""
+    sizes = _block_sizes(left, right, keys, left_rows, right_rows)
+    local = bounded_local(sizes)
+    sizes, small = (sizes, False) if local is None else (local, True)
+
+    def cut(rows: DataFrame, key: str, mine: str, other: str, here: str, there: str) -> DataFrame:
+        placed = lookup_checked(rows, sizes, small, keys)
+        placed = placed.withColumn(here, F.pmod(F.xxhash64(F.col(key)), F.col(mine)).cast("int"))
+        return placed.withColumn(there, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_lb", "_rb")
+
+    pair = [*keys, "_l", "_r"]
+    a = cut(left, left_key, "_lb", "_rb", "_l", "_r").groupBy(*pair)
+    z = cut(right, right_key, "_rb", "_lb", "_r", "_l").groupBy(*pair)
+    return a.cogroup(z).applyInArrow(work, schema)
+
+
+def _nearest(need: int, metric: str) -> Callable:
+    """The ``need`` nearest train rows of each query of a block, not farther than its bound."""
+
+    def work(queries: pa.Table, train: pa.Table) -> pa.Table:
         q, t = _matrix(queries["features"]), _matrix(train["features"])
-        ids = train["id"].to_numpy()
-        rough = distance_matrix(q, t, metric)
-        keep = min(k, len(t))
-        # Candidates by the fast matrix form, then exact distances and (distance, id) order.
-        bound = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-        near_q, near_t = np.nonzero(rough <= (bound * (1 + 1e-6) + 1e-5 * (1.0 + np.sqrt((q * q).sum(1))))[:, None])
-        dist = pair_distances(q[near_q], t[near_t], metric)
-        order = np.lexsort((ids[near_t], dist, near_q))
-        near_q, near_t, dist = near_q[order], near_t[order], dist[order]
-        starts = np.searchsorted(near_q, near_q)
-        chosen = np.arange(len(near_q)) - starts < keep
-        return pd.DataFrame(
-            {
-                "device_id": np.full(chosen.sum(), queries["device_id"].iloc[0], "int32"),
-                "qid": queries["qid"].to_numpy()[near_q[chosen]],
-                "dist": dist[chosen],
-                "id": ids[near_t[chosen]],
-            }
-        )
-
-    return nearest
-
-
-def _block_counts(rows: DataFrame, name: str) -> DataFrame:
-    """Blocks of about BLOCK_ROWS per cell."""
-    return rows.groupBy("device_id", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(f"{name}_blocks"))
-
-
-def _in_blocks(rows: DataFrame, sizes: DataFrame, local: bool, key: str, name: str, other: str) -> DataFrame:
-    """Each row in its own block, repeated once per block of the other side."""
-    cut = F.pmod(F.xxhash64(key), F.col(f"{name}_blocks").cast("long")).cast("int")
-    placed = lookup_checked(rows, sizes, local, ["device_id", "cell"]).withColumn(name, cut)
-    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)))
-
-
-def knn_join(queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False) -> DataFrame:
+        ids, keep = _numbers(train["id"]), min(need, len(t))
+        bound = _numbers(queries["bound"])
+        sizes, dists, found = [np.zeros(len(q), "int64")], [], []
+        for at in _steps(len(q)) if keep else ():
+            x = q[at]
+            rough = distance_matrix(x, t, metric)
+            # Candidates by the fast matrix form, then exact distances in (distance, id) order.
+            limit = np.minimum(np.partition(rough, keep - 1, axis=1)[:, keep - 1], bound[at])
+            slack = 1e-6 * limit + 1e-5 * (1.0 + np.sqrt((x * x).sum(1)))
+            row, col = np.nonzero(rough <= (limit + slack)[:, None])
+            dist = pair_distances(x[row], t[col], metric)
+            order = np.lexsort((ids[col], dist, row))
+            row, col, dist = row[order], col[order], dist[order]
+            chosen = np.arange(len(row)) - np.searchsorted(row, row) < keep
+            sizes[0][at] = np.bincount(row[chosen], minlength=len(x))
+            dists.append(dist[chosen])
+            found.append(ids[col[chosen]])
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes[0]))), pa.int32())
+        values = [np.concatenate(v) if v else np.zeros(0, k) for v, k in ((dists, "float64"), (found, "int64"))]
+        lists = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(v) for v in values], ["dist", "id"]))
+        return pa.table([*(queries[c].combine_chunks() for c in ("device_id", "rid", "id")), lists], ["device_id", "rid", "id", "nn"])
+
+    return work
+
+
+def _compare(queries: DataFrame, train: DataFrame, need: int, metric: str) -> DataFrame:
+    """Lists of the nearest rows of each query in the cell it was sent to."""
+    q = queries.select(*CELL, "rid", "id", "features", "bound")
+    t = train.select(*CELL, "id", "features", F.col("rid").alias("tid"))
+    return _in_pairs(q, t, CELL, "rid", "tid", QUERY_ROWS, BLOCK_ROWS, _nearest(need, metric), LISTS)
+
+
+# ---- pivots and cells --------------------------------------------------------------
+
+
+class Pivots:
+    """Pivots of some devices: their numbers, points, nearest and farthest row, and rows."""
+
+    def __init__(self, rows: list, fields: tuple[str, ...] = ()):
+        grouped: dict[int, list] = {}
+        for r in rows:
+            grouped.setdefault(r["device_id"], []).append(r)
+        self.numbers = {d: np.array([r["number"] for r in v], "int64") for d, v in grouped.items()}
+        self.points = {d: np.asarray([r["point"] for r in v], "float64") for d, v in grouped.items()}
+        self.fields = {f: {d: np.array([r[f] for r in v]) for d, v in grouped.items()} for f in fields}
+
+
+def _sample(train: DataFrame, sizes: DataFrame, small: bool, per_pivot: float, seed: str) -> DataFrame:
+    """Rows taken as pivots by hash, about one per ``per_pivot``; none of a device that is a single cell."""
+    chosen = train.where(F.pmod(F.xxhash64(F.lit(seed), "rid"), F.lit(1 << 40)) < int((1 << 40) / per_pivot))
+    return lookup_checked(chosen, sizes, small, ["device_id"]).where(F.col("rows") > per_pivot).select("device_id", F.col("rid").alias("number"), F.col("features").alias("point"))
+
+
+def _batches(rows: DataFrame, schema: str, work: Callable) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from work(batch)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _by_device(batch) -> Iterator[tuple[int, np.ndarray]]:
+    devices = _numbers(batch["device_id"])
+    for device in np.unique(devices):
+        yield int(device), np.nonzero(devices == device)[0]
+
+
+def _closest(points: np.ndarray, centres: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Number and distance of the nearest centre of each point."""
+    at, dist = np.zeros(len(points), "int64"), np.zeros(len(points))
+    for part in _steps(len(points)):
+        d = distance_matrix(points[part], centres, metric)
+        at[part] = d.argmin(axis=1)
+        dist[part] = np.take_along_axis(d, at[part, None], 1)[:, 0]
+    return at, dist
+
+
+def _assigned(rows: DataFrame, pivots, metric: str, into: str, usable: str | None = None) -> DataFrame:
+    """Adds the nearest broadcast pivot of the device (``into``) and its distance (``<into>_dist``)."""
+    names = rows.columns
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        chosen = pivots.value
+        number, dist = np.full(batch.num_rows, NO_PIVOT, "int64"), np.full(batch.num_rows, np.nan)
+        for device, at in _by_device(batch):
+            if device in chosen.numbers:
+                own = np.arange(len(chosen.numbers[device])) if usable is None else np.flatnonzero(chosen.fields[usable][device])
+                if len(own):
+                    nearest, dist[at] = _closest(_matrix(batch["features"].take(pa.array(at))), chosen.points[device][own], metric)
+                    number[at] = chosen.numbers[device][own][nearest]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number), pa.array(dist)], [*names, into, f"{into}_dist"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return _batches(rows, f"{kinds}, {into} long, {into}_dist double", work)
+
+
+def _reachable(points: np.ndarray, bound: np.ndarray, centres: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """Which cells (columns) may hold a row within its bound of each point; a cell without a centre may always."""
+    d = distance_matrix(points, centres, metric)
+    least = np.maximum(np.maximum(d - high[None, :], low[None, :] - d), 0.0)
+    slack = _slack(np.where(np.isfinite(bound), bound, 0.0)[:, None] + np.abs(points).sum(1)[:, None] + np.abs(centres).sum(1)[None, :])
+    return ~(least > bound[:, None] + slack)
+
+
+def _summary(celled: DataFrame, by: list[str], distance: str) -> DataFrame:
+    """Nearest and farthest row and rows of each cell (or top cell)."""
+    return celled.groupBy(*by).agg(F.min(distance).alias("low"), F.max(distance).alias("high"), F.count("*").alias("n"))
+
+
+def _with_points(summary: DataFrame, pivots: DataFrame, on: str) -> DataFrame:
+    return summary.join(pivots.withColumnRenamed("number", on), ["device_id", on])
+
+
+class FlatCells:
+    """One level: all pivots broadcast, routing without a shuffle."""
+
+    def __init__(self, train: DataFrame, sample: Callable, need: int, cell_rows: float, metric: str):
+        self.metric, self.need = metric, need
+        context = train.sparkSession.sparkContext
+        points = staged(sample(cell_rows, "cells"), "knn-pivots")
+        # Expected FLAT_CELLS rows at most; any set of pivots serves.
+        chosen = context.broadcast(Pivots(points.limit(4 * FLAT_CELLS).collect()))
+        celled = _assigned(train, chosen, metric, "cell").withColumn("top", F.lit(NO_PIVOT).cast("long"))
+        self.train = staged(celled, "knn-cells")
+        cells = _with_points(_summary(self.train.where(f"cell <> {NO_PIVOT}"), ["device_id", "cell"], "cell_dist"), points, "cell")
+        cells = cells.withColumn("number", F.col("cell")).withColumn("roomy", F.col("n") >= need)
+        self.cells = context.broadcast(Pivots(cells.collect(), ("low", "high", "roomy")))
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        return _assigned(queries, self.cells, self.metric, "cell", "roomy").withColumn("top", F.lit(NO_PIVOT).cast("long"))
+
+    def elsewhere(self, queries: DataFrame) -> DataFrame:
+        cells, metric = self.cells, self.metric
+
+        def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            known = cells.value
+            for device, rows in _by_device(batch):
+                if device not in known.numbers:
+                    continue
+                for part in _steps(len(rows)):
+                    own = batch.take(pa.array(rows[part]))
+                    fields = [known.fields[f][device] for f in ("low", "high")]
+                    hit = _reachable(_matrix(own["features"]), _numbers(own["bound"]), known.points[device], *fields, metric)
+                    hit &= known.numbers[device][None, :] != _numbers(own["cell"])[:, None]
+                    yield _sent(own, *np.nonzero(hit), known.numbers[device])
+
+        return _batches(queries.select(*ROUTED), ROUTED_SCHEMA, work)
+
+
+ROUTED = ["device_id", "top", "cell", "rid", "id", "features", "bound"]
+ROUTED_SCHEMA = "device_id int, top long, cell long, rid long, id long, features array<float>, bound double"
+
+
+def _sent(rows: pa.RecordBatch | pa.Table, row: np.ndarray, col: np.ndarray, cells: np.ndarray, tops: np.ndarray | None = None):
+    """``rows`` repeated for the cells they are sent to."""
+    out = rows.take(pa.array(row))
+    columns = {c: out[c] for c in ROUTED}
+    columns["cell"] = pa.array(cells[col])
+    if tops is not None:
+        columns["top"] = pa.array(tops[col])
+    made = pa.Table.from_pydict(columns).combine_chunks()
+    return made if isinstance(rows, pa.Table) else (made.to_batches() or [pa.RecordBatch.from_pylist([], made.schema)])[0]
+
+
+class TreeCells:
+    """Two levels: top pivots broadcast, the cells below one joined with its rows in blocks."""
+
+    def __init__(self, train: DataFrame, sample: Callable, need: int, cell_rows: float, n_cells: float, metric: str):
+        self.metric, self.need = metric, need
+        context = train.sparkSession.sparkContext
+        tops = staged(sample(cell_rows * math.sqrt(n_cells), "tops"), "knn-tops")
+        # About the square root of the number of cells.
+        chosen = context.broadcast(Pivots(tops.limit(4 * int(math.sqrt(n_cells)) + FLAT_CELLS).collect()))
+        topped = staged(_assigned(train, chosen, metric, "top"), "knn-topped")
+        inner = _assigned(sample(cell_rows, "cells").withColumnRenamed("point", "features"), chosen, metric, "top")
+        below = inner.select("device_id", "top", "number", F.col("features").alias("point"))
+        # A top pivot is a cell of its own as well, so none is without cells.
+        every = tops.withColumn("top", F.col("number")).unionByName(below).dropDuplicates(CELL[:2] + ["number"])
+        points = staged(every, "knn-pivots")
+        self.train = staged(self._settle(topped, points), "knn-cells")
+        below = self.train.where(f"cell <> {NO_PIVOT}")
+        cells = _summary(below, CELL, "cell_dist").join(points.withColumnRenamed("number", "cell"), CELL)
+        self.cells = staged(cells.withColumn("roomy", F.col("n") >= need), "knn-cell-table")
+        inside = self.cells.groupBy("device_id", "top").agg(F.max("roomy").alias("roomy"))
+        over = _summary(self.train, ["device_id", "top"], "top_dist").join(inside, ["device_id", "top"], "left").fillna(False, ["roomy"])
+        over = _with_points(over.where(f"top <> {NO_PIVOT}"), tops, "top").withColumn("number", F.col("top"))
+        self.tops = context.broadcast(Pivots(over.collect(), ("low", "high", "roomy")))
+
+    def _settle(self, rows: DataFrame, cells: DataFrame) -> DataFrame:
+        """Adds the nearest cell below the row's top pivot."""
+        names, metric = rows.columns, self.metric
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+        def work(rows: pa.Table, cells: pa.Table) -> pa.Table:
+            number, dist = np.full(len(rows), NO_PIVOT, "int64"), np.full(len(rows), np.nan)
+            if len(cells) and len(rows):
+                at, dist = _closest(_matrix(rows["features"]), _matrix(cells["point"]), metric)
+                number = _numbers(cells["number"])[at]
+            return pa.table([*(rows[c] for c in names), pa.array(number), pa.array(dist)], [*names, "cell", "cell_dist"])
+
+        on = ["device_id", "top"]
+        return _in_pairs(rows, cells, on, "rid", "number", BLOCK_ROWS, None, work, f"{kinds}, cell long, cell_dist double")
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        topped = _assigned(queries, self.tops, self.metric, "top", "roomy")
+        cells = self.cells.where("roomy").select("device_id", "top", F.col("cell").alias("number"), "point")
+        return self._settle(topped, cells)
+
+    def elsewhere(self, queries: DataFrame) -> DataFrame:
+        tops, metric = self.tops, self.metric
+
+        def to_tops(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            known = tops.value
+            batch = batch.append_column("home", batch["cell"])
+            for device, rows in _by_device(batch):
+                for part in _steps(len(rows)):
+                    own = batch.take(pa.array(rows[part]))
+                    home = own["home"]
+                    if device not in known.numbers:
+                        # No top pivot: the cells of the device hang below none.
+                        yield pa.RecordBatch.from_arrays([*(own[c] for c in ROUTED), home], [*ROUTED, "home"])
+                        continue
+                    fields = [known.fields[f][device] for f in ("low", "high")]
+                    row, col = np.nonzero(_reachable(_matrix(own["features"]), _numbers(own["bound"]), known.points[device], *fields, metric))
+                    made = _sent(own, row, np.zeros(len(row), "int64"), np.array([NO_PIVOT]))
+                    made = made.set_column(made.schema.get_field_index("top"), "top", pa.array(known.numbers[device][col]))
+                    yield made.append_column("home", home.take(pa.array(row)))
+
+        def to_cells(rows: pa.Table, cells: pa.Table) -> pa.Table:
+            if not len(cells) or not len(rows):
+                return rows.select(ROUTED).slice(0, 0)
+            parts = []
+            numbers, low, high = (_numbers(cells[c]) for c in ("number", "low", "high"))
+            for part in _steps(len(rows)):
+                own = rows.slice(part.start, part.stop - part.start)
+                hit = _reachable(_matrix(own["features"]), _numbers(own["bound"]), _matrix(cells["point"]), low, high, metric)
+                hit &= numbers[None, :] != _numbers(own["home"])[:, None]
+                parts.append(_sent(own, *np.nonzero(hit), numbers))
+            return pa.concat_tables(parts)
+
+        at_top = _batches(queries.select(*ROUTED), f"{ROUTED_SCHEMA}, home long", to_tops)
+        cells = self.cells.select("device_id", "top", F.col("cell").alias("number"), "point", "low", "high")
+        return _in_pairs(staged(at_top, "knn-at-tops"), cells, ["device_id", "top"], "rid", "number", QUERY_ROWS, None, to_cells, ROUTED_SCHEMA)
+
+
+# ---- the join ------------------------------------------------------------------------
+
+
+def _without_pivots(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"top": F.lit(NO_PIVOT).cast("long"), "cell": F.lit(NO_PIVOT).cast("long")})
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    # -0.0 and 0.0 are one value here.
+    plain = F.transform("features", lambda x: x + F.lit(0.0).cast("float"))
+    return rows.select(F.col("device_id").cast("int").alias("device_id"), F.col("id").cast("long").alias("id"), plain.alias("features"))
+
+
+def _merged(lists: DataFrame, need: int) -> DataFrame:
+    """Lists of one query from several cells or blocks to its ``need`` nearest."""
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, need)
+    return lists.groupBy("device_id", "rid").agg(F.first("id").alias("id"), nearest.alias("nn"))
+
+
+def knn_join(
+    queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euclidean", exclude_self: bool = False, cell_rows: int = CELL_ROWS, flat_cells: int = FLAT_CELLS
+) -> DataFrame:
     """(device_id, id, neighbors): the k nearest train points of each query in its device.
 
     Both tables have device_id, id (long) and features (array<float>).
@@ -175,66 +391,37 @@ def knn_join(queries: DataFrame, train: DataFrame, k: int, *, metric: str = "euc
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     need = k + 1 if exclude_self else k
-    spark = train.sparkSession
-    columns = ["device_id", "id", "features"]
-    # -0.0 and 0.0 are one value here: grouping joins them, so their text form must agree too.
-    plain = F.transform("features", lambda x: x + F.lit(0.0).cast("float"))
-    train, queries = train.withColumn("features", plain), queries.withColumn("features", plain)
+    # A cell has room for what a query needs.
+    cell_rows = max(cell_rows, 4 * need)
     copies = F.row_number().over(Window.partitionBy("device_id", "features").orderBy("id"))
     # A rank limit on a window is applied before the shuffle too, so copies stay where they are.
-    train = staged(
-        train.select(*columns).withColumn("_copy", copies).where(F.col("_copy") <= need).drop("_copy"), "knn-train"
-    )
-    counts = {r[0]: r[1] for r in train.groupBy("device_id").count().limit(MAX_PIVOTS).collect()}
-    distinct = queries.select("device_id", "features").distinct().withColumn("qid", F.md5(F.to_json(F.struct("features"))))
-    if max(counts.values(), default=0) <= CELL_ROWS and len(counts) < MAX_PIVOTS:
+    single = _numbered(train).withColumn("_copy", copies).where(F.col("_copy") <= need).drop("_copy")
+    train = staged(single.withColumn("rid", F.monotonically_increasing_id()), "knn-train")
+    queries = staged(_numbered(queries).withColumn("rid", F.monotonically_increasing_id()), "knn-queries")
+    queries = queries.withColumn("bound", F.lit(math.inf))
+    sizes = train.groupBy("device_id").agg(F.count("*").alias("rows"))
+    cells_of = F.when(F.col("rows") > cell_rows, F.col("rows") / cell_rows)
+    n_cells = sizes.agg(F.sum(cells_of)).first()[0] or 0.0
+    if not n_cells:
         # Every device is a single cell: there is nothing to rule out.
-        celled, routed = train.withColumn("cell", F.lit(0)), staged(distinct.withColumn("cell", F.lit(0)), "knn-queries")
+        found = _compare(_without_pivots(queries), _without_pivots(train), need, metric)
+        if cell_rows > BLOCK_ROWS:
+            found = _merged(found, need)
     else:
-        pivots = spark.sparkContext.broadcast(_pivots(train, counts))
-        celled = staged(_assign_cells(train, pivots, metric), "knn-cells")
-        # At most one row per pivot.
-        summary = celled.where(~F.isnan("pivot_dist")).groupBy("device_id", "cell").agg(
-            F.min("pivot_dist").alias("low"), F.max("pivot_dist").alias("high"), F.count("*").alias("n")
-        )
-        cells = spark.sparkContext.broadcast(_cell_table(summary))
-        routed = staged(_route(distinct, pivots, cells, need, metric), "knn-routed")
-    # Block pairs of a cell: each side is repeated once per block of the other.
-    on = ["device_id", "cell"]
-    sizes = _block_counts(routed, "qb").join(_block_counts(celled, "tb"), on)
-    sizes, local = checked(sizes)
-    q_side = _in_blocks(routed, sizes, local, "qid", "qb", "tb")
-    t_side = _in_blocks(celled, sizes, local, "id", "tb", "qb")
-    pair = ["device_id", "cell", "qb", "tb"]
-    found = (
-        q_side.select(*pair, "qid", "features")
-        .groupBy(*pair)
-        .cogroup(t_side.select(*pair, "id", "features").groupBy(*pair))
-        .applyInPandas(_block_top_k(need, metric), "device_id int, qid string, dist double, id long")
-    )
-    # The rank limit is applied before the shuffle too; a list holds ``need`` candidates at most.
-    nearest = F.row_number().over(Window.partitionBy("device_id", "qid").orderBy("dist", "id"))
-    best = found.withColumn("_r", nearest).where(F.col("_r") <= need).groupBy("device_id", "qid").agg(
-        F.array_sort(F.collect_list(F.struct("dist", "id"))).alias("nn")
-    )
-    asked = queries.select("device_id", "id", F.md5(F.to_json(F.struct("features"))).alias("qid"))
-    # A device without train rows leaves its queries with no neighbours.
-    answered = skew_join(asked, best, ["device_id", "qid"], "left").withColumn("nn", F.coalesce("nn", F.array()))
+        local = bounded_local(sizes)
+
+        def sample(per_pivot: float, seed: str) -> DataFrame:
+            return _sample(train, sizes if local is None else local, local is not None, per_pivot, seed)
+
+        if n_cells <= flat_cells:
+            cells = FlatCells(train, sample, need, cell_rows, metric)
+        else:
+            cells = TreeCells(train, sample, need, cell_rows, n_cells, metric)
+        at_home = staged(cells.home(queries).select(*ROUTED), "knn-home")
+        first = staged(_merged(_compare(at_home, cells.train, need, metric), need), "knn-first")
+        reach = F.when(F.size("nn") >= need, F.element_at("nn", need)["dist"]).otherwise(F.lit(math.inf))
+        bounded = at_home.drop("bound").join(first.select("device_id", "rid", reach.alias("bound")), ["device_id", "rid"])
+        sent = staged(cells.elsewhere(bounded), "knn-sent")
+        found = _merged(first.unionByName(_compare(sent, cells.train, need, metric)), need)
     others = F.filter("nn", lambda x: x["id"] != F.col("id")) if exclude_self else F.col("nn")
-    return answered.select("device_id", "id", F.slice(others, 1, k).alias("neighbors"))
-
-
-def _cell_table(summary: DataFrame) -> dict[int, tuple]:
-    """Cell bounds per device; its size is bounded like the pivots'."""
-    table: dict[int, list] = {}
-    for r in summary.collect():
-        table.setdefault(r["device_id"], []).append((r["cell"], r["low"], r["high"], r["n"]))
-    return {
-        d: (
-            np.array([c[0] for c in sorted(v)]),
-            np.array([c[1] for c in sorted(v)]),
-            np.array([c[2] for c in sorted(v)]),
-            np.array([c[3] for c in sorted(v)]),
-        )
-        for d, v in table.items()
-    }
+    return found.select("device_id", "id", F.slice(others, 1, k).alias("neighbors"))

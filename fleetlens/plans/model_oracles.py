@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetlens.plans import bindings as b
-from fleetlens.plans.models import K, KNN_K, LOF_CANDIDATES, fixed_weights
+from fleetlens.plans.models import DEVICES, EXACT, EXACT_EPOCHS, K, KNN_K, LOF_CANDIDATES, fixed_weights
 from fleetlens.plans.oracles import ALERTS, cells, metrics, splits, st
 
 POINTS = (
@@ -19,41 +19,136 @@ def distance(metric: str) -> str:
     return "list_sum(list_transform(range(1, 65), lambda i: abs(q.x[i] - t.x[i])))"
 
 
-def nearest(name: str, queries: str, train: str, k: int, metric: str, others: bool) -> str:
+def nearest(name: str, queries: str, train: str, k: int, metric: str, others: bool, points: str = "points") -> str:
     """CTE name(device_id, id, pos, nid, dist)."""
     skip = "AND q.id <> t.id" if others else ""
     return f"""{name} AS (SELECT device_id, id, nid, dist, pos FROM (SELECT *, row_number() OVER (PARTITION BY device_id, id ORDER BY dist, nid) - 1 AS pos
-      FROM (SELECT q.device_id, q.id, t.id AS nid, {distance(metric)} AS dist FROM points q JOIN points t ON q.device_id = t.device_id {skip}
+      FROM (SELECT q.device_id, q.id, t.id AS nid, {distance(metric)} AS dist FROM {points} q JOIN {points} t ON q.device_id = t.device_id {skip}
             WHERE ({queries.replace('split', 'q.split')}) AND ({train.replace('split', 't.split')}))) WHERE pos < {k})"""
 
 
 def fit(name: str, edges: str, k: int) -> str:
     return f"""{name}_k AS (SELECT device_id, id, max(dist) AS kdist FROM {edges} WHERE pos < {k} GROUP BY 1, 2),
-    {name} AS (SELECT e.device_id, e.id, any_value(m.kdist) AS kdist, 1.0::DOUBLE / (avg(greatest(e.dist, n.kdist)) + 1e-10) AS lrd
+    {name} AS (SELECT e.device_id, e.id, any_value(m.kdist) AS kdist, 1.0::DOUBLE / (avg(greatest(e.dist, n.kdist)) + 1e-10) AS lrd, count(*) AS used
       FROM {edges} e JOIN {name}_k n ON n.device_id = e.device_id AND n.id = e.nid
       JOIN {name}_k m ON m.device_id = e.device_id AND m.id = e.id WHERE pos < {k} GROUP BY 1, 2)"""
 
 
 def factor(name: str, edges: str, model: str, k: int) -> str:
     return f"""{name} AS (SELECT e.device_id, e.id, avg(n.lrd) * (avg(greatest(e.dist, n.kdist)) + 1e-10) AS score
-      FROM {edges} e JOIN {model} n ON n.device_id = e.device_id AND n.id = e.nid WHERE pos < {k} GROUP BY 1, 2)"""
+      FROM {edges} e JOIN {model} n ON n.device_id = e.device_id AND n.id = e.nid WHERE pos < {k} AND pos < n.used GROUP BY 1, 2)"""
 
 
-def sweep() -> str:
+def sweep(points: str = "points", source: str = POINTS, queries: str = "split = 'val'") -> str:
+    """CTEs up to ``trials`` and ``chosen``, and factors s<number> of the rows ``queries`` for every candidate."""
     ctes, union = [], []
     for metric in ("euclidean", "manhattan"):
         widest = max(c["n_neighbors"] for c in LOF_CANDIDATES if c["metric"] == metric)
         ctes += [
-            nearest(f"in_{metric}", "split = 'train'", "split = 'train'", widest, metric, True),
-            nearest(f"out_{metric}", "split = 'val'", "split = 'train'", widest, metric, False),
+            nearest(f"in_{metric}", "split = 'train'", "split = 'train'", widest, metric, True, points),
+            nearest(f"out_{metric}", queries, "split = 'train'", widest, metric, False, points),
         ]
     for c in LOF_CANDIDATES:
         n, k, m = c["number"], c["n_neighbors"], c["metric"]
         ctes += [fit(f"m{n}", f"in_{m}", k), factor(f"s{n}", f"out_{m}", f"m{n}", k)]
         union.append(
-            f"SELECT device_id, {n} AS number, {k} AS n_neighbors, '{m}' AS metric, quantile_cont(score, 0.99) AS value FROM s{n} GROUP BY 1"
+            f"SELECT device_id, {n} AS number, {k} AS n_neighbors, '{m}' AS metric, round(quantile_cont(score, 0.99), 9) AS value "
+            f"FROM s{n} JOIN {points} USING (device_id, id) WHERE split = 'val' GROUP BY 1"
         )
-    return f"WITH {POINTS}, {', '.join(ctes)}, trials AS ({' UNION ALL '.join(union)})"
+    chosen = "chosen AS (SELECT device_id, number FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY value, number) AS rn FROM trials) WHERE rn = 1)"
+    return f"WITH {source}, {', '.join(ctes)}, trials AS ({' UNION ALL '.join(union)}), {chosen}"
+
+
+def refitted() -> str:
+    """Scores (device_id, id, score) of every device's best trial, as a CTE ``best``."""
+    each = " UNION ALL ".join(f"SELECT s.* FROM s{c['number']} s JOIN chosen USING (device_id) WHERE number = {c['number']}" for c in LOF_CANDIDATES)
+    return f"best AS ({each})"
+
+
+# Points scaled per device by the train split, as float32.
+SCALED = f"""{POINTS}, dims AS (SELECT device_id, id, split, unnest(range(0, 64))::INTEGER AS j, unnest(x) AS v FROM points),
+  scaler AS (SELECT device_id, j, avg(v) AS mean, CASE WHEN stddev_pop(v) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(v) END AS scale FROM dims WHERE split = 'train' GROUP BY 1, 2),
+  sdims AS (SELECT d.device_id, d.id, d.split, d.j, CAST((v - mean) / scale AS FLOAT)::DOUBLE AS v FROM dims d JOIN scaler USING (device_id, j)),
+  spoints AS (SELECT p.device_id, p.id, p.split, p.is_attack, label, list(s.v ORDER BY s.j) AS x FROM points p JOIN sdims s USING (device_id, id)
+    JOIN embeddings e ON e.vec_id = p.id GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def judged(scores: str) -> str:
+    """Predictions of the test rows by the p99 of the validation scores, from a CTE (device_id, id, score)."""
+    return f"""fs AS (SELECT p.*, CAST(score AS FLOAT) AS score FROM spoints p JOIN {scores} USING (device_id, id)),
+      lim AS (SELECT device_id, quantile_cont(score::DOUBLE, 0.99) AS t FROM fs WHERE split = 'val' GROUP BY 1),
+      counts AS (SELECT device_id, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test_benign') AS n_test_benign,
+        count(*) FILTER (split = 'test_attack') AS n_test_attack FROM spoints GROUP BY 1)
+      SELECT device_id, round(score::DOUBLE, 4) AS score, is_attack::TINYINT AS y_true, (score > CAST(t AS FLOAT))::TINYINT AS y_pred,
+        CASE WHEN label < 7 THEN 'benign' WHEN label = 8 THEN 'gafgyt' ELSE 'mirai' END AS attack_family,
+        CASE WHEN label < 7 THEN 'benign' ELSE 'type_' || label END AS attack_type, is_attack, round(t, 4) AS threshold,
+        n_train, n_test_benign, n_test_attack, count(*) OVER () AS n_scored
+      FROM fs JOIN lim USING (device_id) JOIN counts USING (device_id) WHERE split LIKE 'test_%'"""
+
+
+def forward(step: int, rows: str) -> list[str]:
+    """Long-form CTEs h<step>_<layer>(device_id, id, j, z, v) of the net with parameters w<step>_<layer>, b<step>_<layer>."""
+    last, out = len(fixed_weights()) - 1, [f"h{step}_0 AS MATERIALIZED (SELECT device_id, id, split, j, v AS z, v FROM {rows})"]
+    for n in range(last + 1):
+        value = "z" if n == last else "greatest(z, 0)"
+        out.append(
+            f"h{step}_{n + 1} AS MATERIALIZED (SELECT device_id, id, split, j, z, {value} AS v FROM (SELECT h.device_id, h.id, h.split, w.j, sum(h.v * w.v) + any_value(c.v) AS z "
+            f"FROM h{step}_{n} h JOIN w{step}_{n} w ON w.device_id = h.device_id AND w.i = h.j JOIN b{step}_{n} c ON c.device_id = h.device_id AND c.j = w.j GROUP BY 1, 2, 3, 4))"
+        )
+    return out
+
+
+def unrolled(rows: str) -> str:
+    """Full-batch gradient steps written out: parameters w<s>_<n>, b<s>_<n> and losses l<s> for s = 0 .. EXACT_EPOCHS."""
+    layers, ctes, rate = fixed_weights(), [], EXACT["learning_rate"]
+    devices = ", ".join(f"({d})" for d in DEVICES)
+    for n, p in enumerate(layers):
+        w = ", ".join(f"({i}, {j}, {x!r}::DOUBLE)" for i, line in enumerate(p["w"]) for j, x in enumerate(line))
+        c = ", ".join(f"({j}, {x!r}::DOUBLE)" for j, x in enumerate(p["b"]))
+        ctes.append(f"w0_{n} AS (SELECT device_id, i, j, v FROM (VALUES {devices}) d(device_id), (VALUES {w}) t(i, j, v))")
+        ctes.append(f"b0_{n} AS (SELECT device_id, j, v FROM (VALUES {devices}) d(device_id), (VALUES {c}) t(j, v))")
+    for s in range(EXACT_EPOCHS + 1):
+        ctes += forward(s, rows)
+        ctes.append(
+            f"l{s} AS (SELECT device_id, avg(e) FILTER (split = 'train') AS loss, avg(e) FILTER (split = 'val') AS val_loss FROM "
+            f"(SELECT y.device_id, y.id, y.split, avg(pow(y.v - x.v, 2)) AS e FROM h{s}_{len(layers)} y JOIN h{s}_0 x USING (device_id, id, j) GROUP BY 1, 2, 3) GROUP BY 1)"
+        )
+        if s == EXACT_EPOCHS:
+            break
+        ctes.append(f"n{s} AS (SELECT device_id, count(DISTINCT id) AS n FROM h{s}_0 WHERE split = 'train' GROUP BY 1)")
+        for n in reversed(range(len(layers))):
+            if n == len(layers) - 1:
+                back = f"SELECT y.device_id, y.id, y.j, 2 * (y.v - x.v) / (n * 64) AS g FROM h{s}_{n + 1} y JOIN h{s}_0 x USING (device_id, id, j) JOIN n{s} USING (device_id) WHERE y.split = 'train'"
+            else:
+                back = (
+                    f"SELECT h.device_id, h.id, h.j, CASE WHEN h.z > 0 THEN g ELSE 0 END AS g FROM h{s}_{n + 1} h JOIN (SELECT g.device_id, g.id, w.i AS j, sum(g.g * w.v) AS g "
+                    f"FROM g{s}_{n + 1} g JOIN w{s}_{n + 1} w ON w.device_id = g.device_id AND w.j = g.j GROUP BY 1, 2, 3) b USING (device_id, id, j)"
+                )
+            ctes.append(f"g{s}_{n} AS MATERIALIZED ({back})")
+        for n in range(len(layers)):
+            ctes.append(
+                f"w{s + 1}_{n} AS (SELECT w.device_id, w.i, w.j, w.v - {rate} * d.v AS v FROM w{s}_{n} w JOIN (SELECT g.device_id, h.j AS i, g.j, sum(h.v * g.g) AS v "
+                f"FROM g{s}_{n} g JOIN h{s}_{n} h USING (device_id, id) GROUP BY 1, 2, 3) d USING (device_id, i, j))"
+            )
+            ctes.append(f"b{s + 1}_{n} AS (SELECT c.device_id, c.j, c.v - {rate} * d.v AS v FROM b{s}_{n} c JOIN (SELECT device_id, j, sum(g) AS v FROM g{s}_{n} GROUP BY 1, 2) d USING (device_id, j))")
+    return ", ".join(ctes)
+
+
+def trained_parameters() -> str:
+    """(device_id, pos, value) in the order of the flat parameter vector."""
+    at, parts = 0, []
+    for n, p in enumerate(fixed_weights()):
+        width = len(p["b"])
+        parts.append(f"SELECT device_id, {at} + i * {width} + j AS pos, v FROM w{EXACT_EPOCHS}_{n}")
+        at += len(p["w"]) * width
+        parts.append(f"SELECT device_id, {at} + j AS pos, v FROM b{EXACT_EPOCHS}_{n}")
+        at += width
+    return " UNION ALL ".join(parts)
+
+
+def exact_scores() -> str:
+    last = len(fixed_weights())
+    return f"es AS (SELECT y.device_id, y.id, avg(pow(y.v - x.v, 2)) AS score FROM h{EXACT_EPOCHS}_{last} y JOIN h{EXACT_EPOCHS}_0 x USING (device_id, id, j) GROUP BY 1, 2)"
 
 
 def net() -> str:
@@ -89,7 +184,15 @@ ORACLES = {
     "lof_fit": f"WITH {POINTS}, {nearest('nn', TRAIN, TRAIN, K, 'euclidean', True)}, {fit('model', 'nn', K)} SELECT device_id, id, {st('kdist')}, {st('lrd')} FROM model",
     "lof_score": f"WITH {POINTS}, {nearest('nn', TRAIN, TRAIN, K, 'euclidean', True)}, {fit('model', 'nn', K)}, {nearest('qq', 'true', TRAIN, K, 'euclidean', False)}, {factor('f', 'qq', 'model', K)} SELECT device_id, id, {st('score')} FROM f",
     "lof_sweep": f"{sweep()} SELECT device_id, number, n_neighbors, metric, {st('value')} FROM trials",
-    "lof_best_trial": f"{sweep()} SELECT device_id, number, {st('value')}, n_neighbors, metric FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY value, number) AS rn FROM trials) WHERE rn = 1",
+    "lof_best_trial": f"{sweep()} SELECT device_id, number, {st('value')}, n_neighbors, metric FROM trials JOIN chosen USING (device_id, number)",
+    "lof_refit_scores": f"""{sweep(queries="split IN ('train', 'val')")}, {refitted()} SELECT device_id, id, {st('score')}, split FROM best JOIN points USING (device_id, id)""",
+    "lof_detect": f"{sweep('spoints', SCALED, 'true')}, {refitted()}, {judged('best')}",
+    "ae_train_step": f"WITH {SCALED}, {unrolled('sdims')} SELECT device_id, pos::INTEGER AS pos, CASE WHEN round(v, 7) = 0 THEN 0.0::DOUBLE ELSE round(v, 7) END AS value FROM ({trained_parameters()})",
+    "ae_history": f"WITH {SCALED}, {unrolled('sdims')}, "
+    + "h AS ("
+    + " UNION ALL ".join(f"SELECT a.device_id, {s + 1} AS epoch, a.loss, z.val_loss FROM l{s} a JOIN l{s + 1} z USING (device_id)" for s in range(EXACT_EPOCHS))
+    + f") SELECT device_id, 'model' AS config_id, epoch, round(loss, 7) AS loss, round(val_loss, 7) AS val_loss, {EXACT['learning_rate']}::DOUBLE AS learning_rate FROM h",
+    "ae_detect": f"WITH {SCALED}, {unrolled('sdims')}, {exact_scores()}, {judged('es')}",
     "pca_total_variance": "SELECT round(64.0 * count(*) / (count(*) - 1), 4) AS total_variance FROM embeddings",
     "ae_reconstruct": f"WITH {net()}, o AS (SELECT vec_id, unnest(range(0, 64))::INTEGER AS pos, round(CAST(unnest(h) AS FLOAT)::DOUBLE, 4) AS v FROM l3) SELECT vec_id, pos, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS value FROM o",
     "ae_encode": f"WITH {net()} SELECT vec_id, unnest(range(0, 3))::INTEGER AS pos, round(CAST(unnest(h) AS FLOAT)::DOUBLE, 4) AS value FROM l1",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions import dense
-from fleetlens.operators import autoencoder as ae, evaluation, lof, neighbors, sampling, scaling, thresholds as th
+from fleetlens.operators import autoencoder as ae, detection, evaluation, lof, neighbors, sampling, scaling, thresholds as th
 from fleetlens.plans import bindings as b
 from fleetlens.plans.tables import stable, unsigned_zero
 from fleetlens.session import scratch_path, spread, staged
@@ -13,7 +13,7 @@ from fleetlens.streaming.scoring import stream_score as start_stream
 
 K, KNN_K = 10, 15
 DEVICES = [1, 2, 3]
-# A small screening grid in the form of named configurations.
+# A small screening grid in the form of named configurations; README has the figures of full-size nets.
 SCREENING = {
     "base_mse": {"hidden_dims": [24], "latent_dim": 8, "loss": "mse"},
     "base_mae": {"hidden_dims": [24], "latent_dim": 8, "loss": "mae"},
@@ -29,14 +29,14 @@ AE_SPACE = {
     "l2_reg": {"low": 0.0, "high": 0.0001},
     "batch_norm": {"choices": [False, True]},
 }
-LOF_CANDIDATES = [
-    {"number": 0, "n_neighbors": 5, "metric": "euclidean"},
-    {"number": 1, "n_neighbors": 12, "metric": "manhattan"},
-    {"number": 2, "n_neighbors": 20, "metric": "euclidean"},
-    {"number": 3, "n_neighbors": 8, "metric": "manhattan"},
-]
+# The search space of the density detector, ten seeded candidates.
+LOF_SPACE = {"n_neighbors": {"low": 10, "high": 200}, "metric": {"choices": ["euclidean", "manhattan"]}}
+LOF_CANDIDATES = ae.suggest(LOF_SPACE, 10)
 # The small net with given weights (64 - 6 - 3 - 6 - 64).
 FIXED_SPEC = dense.complete({"hidden_dims": [6], "latent_dim": 3}, 64)
+# Exact full-batch training that SQL can repeat.
+EXACT = {"hidden_dims": [6], "latent_dim": 3, "optimizer": "sgd", "learning_rate": 0.05}
+EXACT_EPOCHS = 3
 
 
 def fixed_weights() -> list[dict]:
@@ -106,6 +106,75 @@ def lof_best_trial(spark, sf_dir):
     return stable(best)
 
 
+def lof_refit_scores(spark, sf_dir):
+    """Train and validation scores by the refitted best trials, after storing and loading the models."""
+    points = _points(spark, sf_dir)
+    train, path = _part(points, "split = 'train'"), scratch_path(spark, "lof-refit")
+    _, best = lof.lof_sweep(train, _part(points, "split = 'val'"), LOF_CANDIDATES)
+    lof.save_model(lof.lof_refit(train, staged(best, "best-trials")), path)
+    benign = points.where("split in ('train', 'val')")
+    scores = lof.lof_rescore(benign.select("device_id", "id", "features"), lof.load_model(spark, path))
+    return stable(scores.join(benign.select("device_id", "id", "split"), ["device_id", "id"]))
+
+
+def _scaled_points(spark, sf_dir) -> DataFrame:
+    """Labelled points, scaled per device by the train split."""
+    names = [f"f{i}" for i in range(64)]
+    labels = b.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    points = _points(spark, sf_dir).join(labels, "id")
+    wide = points.select("*", *[F.col("features")[i].alias(n) for i, n in enumerate(names)]).drop("features")
+    scaled, _ = scaling.scale_splits(wide, names)
+    family = F.when(F.col("label") < 7, "benign").when(F.col("label") == 8, "gafgyt").otherwise("mirai")
+    kind = F.when(F.col("label") < 7, "benign").otherwise(F.concat(F.lit("type_"), F.col("label").cast("string")))
+    return staged(
+        scaled.select("device_id", "id", "split", "is_attack", family.alias("attack_family"), kind.alias("attack_type"), F.array(*names).alias("features")),
+        "scaled-points",
+    )
+
+
+def _judged(spark, path: str) -> DataFrame:
+    """Stored predictions next to what the record says of their device."""
+    predictions, records = detection.read_run(spark, path)
+    scores = F.round(F.col("score").cast("double"), 4).alias("score")
+    rows = predictions.select("device_id", scores, "y_true", "y_pred", "attack_family", "attack_type", "is_attack")
+    return rows.join(records.select("device_id", F.round("threshold", 4).alias("threshold"), "n_train", "n_test_benign", "n_test_attack", "n_scored"), "device_id")
+
+
+def lof_detect(spark, sf_dir):
+    """A density detection run over scaled splits, read back from what it stored."""
+    path = detection.detect_lof(_scaled_points(spark, sf_dir), scratch_path(spark, "lof-run"), LOF_CANDIDATES)
+    return _judged(spark, path)
+
+
+def _exact_start(devices: list[int]) -> dict:
+    import numpy as np
+
+    flat = np.concatenate([np.concatenate([np.ravel(p["w"]), p["b"]]) for p in fixed_weights()])
+    return {(d, "model"): flat for d in devices}
+
+
+def ae_detect(spark, sf_dir):
+    """A detection run with autoencoders trained per device, read back from what it stored."""
+    path = detection.detect_autoencoder(
+        _scaled_points(spark, sf_dir), scratch_path(spark, "ae-run"), EXACT,
+        exact=True, epochs=EXACT_EPOCHS, start=_exact_start(DEVICES), restore_best=False, patience=None,
+    )
+    return _judged(spark, path)
+
+
+def _exact_training(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    table = ae.training_table(_scaled_points(spark, sf_dir))
+    plan = [(d, "model", EXACT) for d in DEVICES]
+    return ae.train(table, plan, exact=True, epochs=EXACT_EPOCHS, start=_exact_start(DEVICES), restore_best=False, patience=None)
+
+
+def ae_train_step(spark, sf_dir):
+    """Parameters after full-batch steps: the gradient is a sum over the rows of all tasks."""
+    models, _ = _exact_training(spark, sf_dir)
+    values = models.select("device_id", F.posexplode("params").alias("pos", "value"))
+    return values.select("device_id", "pos", unsigned_zero(F.round("value", 7)).alias("value"))
+
+
 def _wide_vectors(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     names = [f"f{i}" for i in range(64)]
     rows = b.vectors(spark, sf_dir).select("vec_id", "is_attack", *[F.col("features")[i].alias(n) for i, n in enumerate(names)])
@@ -175,8 +244,9 @@ def ae_train_global(spark, sf_dir):
 
 
 def ae_history(spark, sf_dir):
-    _, _, history = _trained(spark, sf_dir, DEVICES, {"regularized_mse": SCREENING["regularized_mse"]})
-    return history
+    """Losses of exact training by device and epoch."""
+    _, history = _exact_training(spark, sf_dir)
+    return history.select("device_id", "config_id", "epoch", F.round("loss", 7).alias("loss"), F.round("val_loss", 7).alias("val_loss"), "learning_rate")
 
 
 def ae_screening(spark, sf_dir):
@@ -232,7 +302,7 @@ def alert_metrics(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_join, knn_join_manhattan, lof_fit, lof_score, lof_sweep, lof_best_trial, pca_2d, pca_variance, pca_total_variance,
+        knn_join, knn_join_manhattan, lof_fit, lof_score, lof_sweep, lof_best_trial, lof_refit_scores, lof_detect, ae_detect, ae_train_step, pca_2d, pca_variance, pca_total_variance,
         ae_reconstruct, ae_encode, ae_train_device, ae_train_global, ae_history, ae_screening, ae_sweep, score_predictions,
         stream_score, alert_metrics,
     )

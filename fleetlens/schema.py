@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+# Names of the metadata columns and the types of the prediction table.
 META_COLUMNS = ("is_attack", "attack_family", "attack_type", "device_id")
 
 # Decay windows of the feature names, in their customary order.
@@ -17,6 +18,7 @@ PREDICTION_SCHEMA = T.StructType(
         T.StructField("y_pred", T.ByteType()),
         T.StructField("attack_family", T.StringType()),
         T.StructField("attack_type", T.StringType()),
+        T.StructField("is_attack", T.BooleanType()),
     ]
 )
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from fleetlens.schema import PREDICTION_SCHEMA
+
 LABEL_SCHEMA = "struct<device_id:int,is_attack:boolean,attack_family:string,attack_type:string>"
 
 
@@ -181,9 +183,10 @@ def scan_histories(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_scores(scored: DataFrame, path: str, column: str = "score") -> None:
-    """Score sink: one float column."""
-    scored.select(F.col(column).cast("float").alias(column)).write.mode("overwrite").parquet(path)
+def write_scores(scored: DataFrame, path: str, column: str = "score", partition_by: list[str] | None = None) -> None:
+    """Score sink: files with one float column, below folders named by ``partition_by``."""
+    kept = scored.select(F.col(column).cast("float").alias(column), *(partition_by or []))
+    kept.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
 def write_scores_with_metadata(scored: DataFrame, metadata: list[str], path: str, column: str = "score") -> None:
@@ -192,9 +195,19 @@ def write_scores_with_metadata(scored: DataFrame, metadata: list[str], path: str
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Prediction sink with its declared types."""
-    from fleetlens.schema import PREDICTION_SCHEMA
-
-    predictions.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION_SCHEMA]).write.mode(
-        "overwrite"
-    ).parquet(path)
+    """Prediction sink with its declared types, benign and attack rows in folders of their own."""
+    declared = [F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION_SCHEMA]
+    predictions.select(*declared).write.mode("overwrite").partitionBy("is_attack").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """A stored prediction table; other columns or types than the declared ones are an error."""
+    table = spark.read.parquet(path)
+    if "is_attack" in table.columns:
+        # Folder names are text.
+        table = table.withColumn("is_attack", F.col("is_attack").cast("boolean"))
+    found = {f.name: f.dataType.simpleString() for f in table.schema}
+    wrong = [f.name for f in PREDICTION_SCHEMA if found.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise TypeError(f"not a prediction table, wrong or missing columns {wrong}")
+    return table.select(*[f.name for f in PREDICTION_SCHEMA])

@@ -21,14 +21,16 @@ def _brute(q, t, k, metric, skip):
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
-def test_knn_join_is_exact_with_many_cells_blocks_and_copies(spark, monkeypatch, metric):
-    monkeypatch.setattr(neighbors, "CELL_ROWS", 40)
+@pytest.mark.parametrize("flat_cells", [4096, 3])
+def test_knn_join_is_exact_with_many_cells_blocks_and_copies(spark, monkeypatch, metric, flat_cells):
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "QUERY_ROWS", 30)
     rng = np.random.default_rng(0)
     clustered = np.concatenate([rng.normal(c, 0.3, (60, 3)) for c in (0, 5, 10)] + [np.full((70, 3), 2.5)])
     arrays = {1: clustered.astype("float32"), 2: rng.normal(0, 1, (9, 3)).astype("float32")}
+    arrays |= {d: rng.normal(0, 1, (20 * d, 3)).astype("float32") for d in range(3, 12)}
     points = _points(spark, arrays)
-    got = neighbors.knn_join(points, points, 5, metric=metric, exclude_self=True).collect()
+    got = neighbors.knn_join(points, points, 5, metric=metric, exclude_self=True, cell_rows=24, flat_cells=flat_cells).collect()
     assert len(got) == sum(len(v) for v in arrays.values())
     for d, values in arrays.items():
         expected = _brute(values.astype("float64"), values.astype("float64"), 5, metric, True)
@@ -36,6 +38,21 @@ def test_knn_join_is_exact_with_many_cells_blocks_and_copies(spark, monkeypatch,
             assert [(n["id"], pytest.approx(n["dist"])) for n in r["neighbors"]] == expected[r["id"]]
 
 
+def test_visits_do_not_grow_with_clustered_data(spark, monkeypatch):
+    sent = {}
+    for n in (2000, 8000):
+        rng = np.random.default_rng(n)
+        centres = rng.normal(0, 50, (n // 100, 8))
+        points = _points(spark, {1: (centres[np.arange(n) % len(centres)] + rng.normal(0, 0.1, (n, 8))).astype("float32")})
+        rows = {}
+        keep = neighbors.staged
+        monkeypatch.setattr(neighbors, "staged", lambda df, label, keep=keep, rows=rows: rows.setdefault(label, keep(df, label)))
+        assert neighbors.knn_join(points, points, 5, exclude_self=True, cell_rows=200).count() == n
+        monkeypatch.setattr(neighbors, "staged", keep)
+        sent[n] = rows["knn-sent"].count() / n
+    assert sent[8000] <= max(1.5 * sent[2000], 1.0)
+
+
 def test_knn_keeps_queries_of_a_device_without_train_rows(spark):
     q, t = _points(spark, {1: [[0.0]], 2: [[1.0]]}), _points(spark, {1: [[3.0]]})
     got = {r["device_id"]: r["neighbors"] for r in neighbors.knn_join(q, t, 2).collect()}
