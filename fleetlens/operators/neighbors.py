@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from fleetlens.operators.joins import bounded_local, lookup_checked
 from fleetlens.session import staged
@@ -35,6 +35,9 @@ FLAT_CELLS = 4096
 METRICS = ("euclidean", "manhattan")
 NO_PIVOT = -1
 LISTS = "device_id int, rid long, id long, nn array<struct<dist:double,id:long>>"
+EMPTY_LISTS = pa.schema(
+    [("device_id", pa.int32()), ("rid", pa.int64()), ("id", pa.int64()), ("nn", pa.list_(pa.struct([("dist", pa.float64()), ("id", pa.int64())])))]
+)
 CELL = ["device_id", "top", "cell"]
 
 
@@ -91,9 +94,15 @@ def _block_sizes(left: DataFrame, right: DataFrame, keys: list[str], left_rows:
 
 
 def _in_pairs(
-    left: DataFrame, right: DataFrame, keys: list[str], left_key: str, right_key: str, left_rows: int, right_rows: int | None, work: Callable, schema: str
-) -> DataFrame:
-    """work(left block, right block) over all pairs of blocks of a key; a left block without right rows gets an empty one."""
+    left: DataFrame, right: DataFrame, keys: list[str], left_key: str, right_key: str, left_rows: int, right_rows: int | None,
+    work: Callable, schema: str, *, whole: bool = False,
+) -> DataFrame:
+    """work(left block, right block) over all pairs of blocks of a key; a left block without right rows gets an empty one.
+
+    ``whole`` says that both tables are known to fit into one block.
+    """
+    if whole:
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
     sizes = _block_sizes(left, right, keys, left_rows, right_rows)
     local = bounded_local(sizes)
     sizes, small = (sizes, False) if local is None else (local, True)
@@ -113,6 +122,8 @@ def _nearest(need: int, metric: str) -> Callable:
     """The ``need`` nearest train rows of each query of a block, not farther than its bound."""
 
     def work(queries: pa.Table, train: pa.Table) -> pa.Table:
+        if not len(queries):
+            return pa.Table.from_pylist([], EMPTY_LISTS)
         q, t = _matrix(queries["features"]), _matrix(train["features"])
         ids, keep = _numbers(train["id"]), min(need, len(t))
         bound = _numbers(queries["bound"])
@@ -139,11 +150,11 @@ def _nearest(need: int, metric: str) -> Callable:
     return work
 
 
-def _compare(queries: DataFrame, train: DataFrame, need: int, metric: str) -> DataFrame:
+def _compare(queries: DataFrame, train: DataFrame, need: int, metric: str, whole: bool = False) -> DataFrame:
     """Lists of the nearest rows of each query in the cell it was sent to."""
     q = queries.select(*CELL, "rid", "id", "features", "bound")
     t = train.select(*CELL, "id", "features", F.col("rid").alias("tid"))
-    return _in_pairs(q, t, CELL, "rid", "tid", QUERY_ROWS, BLOCK_ROWS, _nearest(need, metric), LISTS)
+    return _in_pairs(q, t, CELL, "rid", "tid", QUERY_ROWS, BLOCK_ROWS, _nearest(need, metric), LISTS, whole=whole)
 
 
 # ---- pivots and cells --------------------------------------------------------------
@@ -373,6 +384,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("device_id").cast("int").alias("device_id"), F.col("id").cast("long").alias("id"), plain.alias("features"))
 
 
+def _staged_counted(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The written table and its rows, counted by the job that writes it."""
+    seen = Observation()
+    return staged(rows.observe(seen, F.count(F.lit(1)).alias("n")), label), seen.get["n"]
+
+
 def _merged(lists: DataFrame, need: int) -> DataFrame:
     """Lists of one query from several cells or blocks to its ``need`` nearest."""
     nearest = F.slice(F.array_sort(F.flatten(F.collect_list("nn"))), 1, need)
@@ -396,16 +413,18 @@ def knn_join(
     copies = F.row_number().over(Window.partitionBy("device_id", "features").orderBy("id"))
     # A rank limit on a window is applied before the shuffle too, so copies stay where they are.
     single = _numbered(train).withColumn("_copy", copies).where(F.col("_copy") <= need).drop("_copy")
-    train = staged(single.withColumn("rid", F.monotonically_increasing_id()), "knn-train")
-    queries = staged(_numbered(queries).withColumn("rid", F.monotonically_increasing_id()), "knn-queries")
+    train, n_train = _staged_counted(single.withColumn("rid", F.monotonically_increasing_id()), "knn-train")
+    queries, n_queries = _staged_counted(_numbered(queries).withColumn("rid", F.monotonically_increasing_id()), "knn-queries")
     queries = queries.withColumn("bound", F.lit(math.inf))
-    sizes = train.groupBy("device_id").agg(F.count("*").alias("rows"))
-    cells_of = F.when(F.col("rows") > cell_rows, F.col("rows") / cell_rows)
-    n_cells = sizes.agg(F.sum(cells_of)).first()[0] or 0.0
+    sizes, n_cells = train.groupBy("device_id").agg(F.count("*").alias("rows")), 0.0
+    if n_train > cell_rows:
+        cells_of = F.when(F.col("rows") > cell_rows, F.col("rows") / cell_rows)
+        n_cells = sizes.agg(F.sum(cells_of)).first()[0] or 0.0
     if not n_cells:
         # Every device is a single cell: there is nothing to rule out.
-        found = _compare(_without_pivots(queries), _without_pivots(train), need, metric)
-        if cell_rows > BLOCK_ROWS:
+        whole = n_queries <= QUERY_ROWS and n_train <= BLOCK_ROWS
+        found = _compare(_without_pivots(queries), _without_pivots(train), need, metric, whole)
+        if cell_rows > BLOCK_ROWS and not whole:
             found = _merged(found, need)
     else:
         local = bounded_local(sizes)
