@@ -45,6 +45,31 @@ def value_bucket(value: Column | str) -> Column:
     )
 
 
+# Keys per power of two of ``value_key``.
+KEYS_PER_OCTAVE = 1 << 51
+
+
+def value_key(value: Column | str) -> Column:
+    """Monotone 64-bit number of a double that tells at most two neighbouring values alike.
+
+    Exponent and leading bits of the mantissa, taken by arithmetic on powers of two, which is exact.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    octave = F.floor(F.log2(F.abs(value)))
+    part = F.floor((F.abs(value) / F.pow(F.lit(2.0), octave.cast("double")) - 1.0) * float(KEYS_PER_OCTAVE))
+    size = (octave + 1076) * F.lit(KEYS_PER_OCTAVE) + part
+    endless = F.lit(2200 * KEYS_PER_OCTAVE)
+    return (
+        F.when(F.isnan(value), endless + 1)
+        .when(value == float("inf"), endless)
+        .when(value == float("-inf"), -endless)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
+
+
 def ratio(top: Column, bottom: Column, default: float | None = 0.0) -> Column:
     """top / bottom in double, ``default`` where the divisor is zero."""
     quotient = F.try_divide(top.cast("double"), bottom.cast("double"))

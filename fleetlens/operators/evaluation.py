@@ -7,7 +7,7 @@ map-side, so a hot device or family costs no more than any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens.functions.expressions import confusion_cells, mcc, metric_columns, nine_metrics, ratio
 from fleetlens.operators.joins import lookup_join, required, with_scalars
@@ -228,11 +228,20 @@ def score_histogram(predictions: DataFrame, limits: DataFrame, *, bins: int = 79
 
 
 def _curve(predictions: DataFrame, by: list[str], lead: bool = False) -> DataFrame:
-    """Cumulative positives and negatives by descending score, with totals."""
+    """Cumulative positives and negatives by descending score, with totals; reads the source once."""
     y = F.col("y_true").cast("long")
-    curve = cumulative(predictions, by, "score", {"pos": y, "neg": 1 - y}, descending=True, lead=lead)
-    totals = predictions.groupBy(*by).agg(F.sum(y).alias("all_pos"), F.sum(1 - y).alias("all_neg"))
-    return lookup_join(curve, totals, by) if by else with_scalars(curve, totals)
+    return cumulative(predictions, by, "score", {"pos": y, "neg": 1 - y}, descending=True, lead=lead, totals=True)
+
+
+def _with_end(curve: DataFrame, by: list[str], point: Column, end: Column) -> DataFrame:
+    """The points of a curve; the first cell of each group brings the group's end point along."""
+    is_first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    points = curve.select(*by, F.inline(F.when(is_first, F.array(end, point)).otherwise(F.array(point))))
+    if by:
+        return points
+    # Without groups an empty table has its end point all the same.
+    alone = curve.sparkSession.range(1).select(F.inline(F.array(end)))
+    return points if not curve.isEmpty() else alone
 
 
 def roc_curve(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -248,15 +257,13 @@ def roc_curve(predictions: DataFrame, by: list[str]) -> DataFrame:
         | (F.col("next_pos") != F.col("pos"))
         | (F.col("next_neg") != F.col("neg"))
     )
-    points = curve.where(corner).select(
-        *by,
+    point = F.struct(
         F.col("score").cast("double").alias("threshold"),
         F.round(ratio(F.col("cum_neg"), F.col("all_neg")), 9).alias("fpr"),
         F.round(ratio(F.col("cum_pos"), F.col("all_pos")), 9).alias("tpr"),
     )
-    start = predictions.select(*by).distinct() if by else predictions.sparkSession.range(1).select()
-    origin = start.select(*by, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    return points.unionByName(origin)
+    origin = F.struct(F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return _with_end(curve.where(corner), by, point, origin)
 
 
 def roc_auc(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -272,15 +279,13 @@ def roc_auc(predictions: DataFrame, by: list[str]) -> DataFrame:
 
 def pr_curve(predictions: DataFrame, by: list[str]) -> DataFrame:
     """(by, threshold, precision, recall) per distinct score, closed by (1, 0)."""
-    points = _curve(predictions, by).select(
-        *by,
+    point = F.struct(
         F.col("score").cast("double").alias("threshold"),
         F.round(ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")), 9).alias("precision"),
         F.round(ratio(F.col("cum_pos"), F.col("all_pos")), 9).alias("recall"),
     )
-    start = predictions.select(*by).distinct() if by else predictions.sparkSession.range(1).select()
-    end = start.select(*by, F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
-    return points.unionByName(end)
+    end = F.struct(F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return _with_end(_curve(predictions, by), by, point, end)
 
 
 def average_precision(predictions: DataFrame, by: list[str]) -> DataFrame:

@@ -42,6 +42,14 @@ def checked(small: DataFrame) -> tuple[DataFrame, bool]:
     return (small, False) if local is None else (local, True)
 
 
+def measured(small: DataFrame, column: str) -> tuple[DataFrame, bool, int]:
+    """``checked`` with the largest value of a count column; 0 for an empty table."""
+    rows = small.limit(LOOKUP_ROWS + 1).toArrow()
+    if rows.num_rows <= LOOKUP_ROWS and rows.nbytes <= LOOKUP_BYTES:
+        return small.sparkSession.createDataFrame(rows, small.schema), True, max(rows.column(column).to_pylist(), default=0)
+    return small, False, small.agg(F.max(column)).first()[0]
+
+
 def lookup_checked(big: DataFrame, small: DataFrame, local: bool, on: list[str], how: str = "inner") -> DataFrame:
     """``lookup_join`` for a side that was checked before."""
     return big.join(F.broadcast(small), on, how) if local else skew_join(big, small, on, how)

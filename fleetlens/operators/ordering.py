@@ -13,8 +13,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fleetlens.functions.expressions import hash_bucket, value_bucket
-from fleetlens.operators.joins import checked, lookup_checked, lookup_join, with_scalars
+from fleetlens.functions.expressions import hash_bucket, value_bucket, value_key
+from fleetlens.operators.joins import lookup_checked, lookup_join, measured, with_scalars
+
+# Rows of a hit bucket that are ordered as they are; a fuller one is cut finer first.
+BUCKET_ROWS = 1 << 16
+# Bits of the value key that a finer bucket leaves open: a bucket has at most 2**16 of the first kind, one of those
+# 2**15 of the second, and one of these at most 2**13 distinct values.
+FINER = (27, 12)
 
 
 def _running(coarse: DataFrame, group: list[str], measures: list[str]) -> DataFrame:
@@ -98,7 +104,11 @@ def ranked_values(
     if wanted is None:
         sizes = coarse.groupBy(*group).agg(F.sum("n").alias("total"))
         wanted = sizes.select(*group, F.explode(ranks(F.col("total"))).alias("rank"))
-    hits, local = checked(_buckets_of_ranks(_running(coarse, group, ["n"]), wanted, group))
+    hits, local, fullest = measured(_buckets_of_ranks(_running(coarse, group, ["n"]), wanted, group), "n")
+    for bits in FINER:
+        if fullest <= BUCKET_ROWS:
+            break
+        keyed, hits, local, fullest = _finer(keyed, hits, local, group, bits)
     # The rows of the hit buckets, ties collapsed before they are ordered.
     rows = lookup_checked(keyed, hits.select(*group, "bucket"), local, [*group, "bucket"])
     cells = rows.groupBy(*group, "bucket", "v").agg(F.count("*").alias("n"))
@@ -107,18 +117,31 @@ def ranked_values(
         "ranks",
         lambda r: (r > F.col("n_before") + F.col("upto") - F.col("n")) & (r <= F.col("n_before") + F.col("upto")),
     )
-    return lookup_checked(spans, hits, local, [*group, "bucket"]).select(
+    return lookup_checked(spans, hits.drop("n"), local, [*group, "bucket"]).select(
         *group, F.explode(matched).alias("rank"), "v", "total"
     )
 
 
+def _finer(keyed: DataFrame, hits: DataFrame, local: bool, group: list[str], bits: int) -> tuple[DataFrame, DataFrame, bool, int]:
+    """Rows of the hit buckets in finer buckets, and which of those hold the ranks."""
+    kept = lookup_checked(keyed, hits.select(*group, "bucket"), local, [*group, "bucket"])
+    cut = kept.select(*group, F.col("bucket").alias("outer"), F.shiftright(value_key("v"), bits).alias("bucket"), "v")
+    inside = [*group, "outer"]
+    counts = cut.groupBy(*inside, "bucket").agg(F.count("*").alias("n"))
+    before = hits.select(*group, F.col("bucket").alias("outer"), F.col("n_before").alias("base"), F.col("total").alias("whole"), "ranks")
+    placed = lookup_checked(_running(counts, inside, ["n"]).drop("total"), before, local, inside)
+    running = placed.select(*inside, "bucket", "n", (F.col("n_before") + F.col("base")).alias("n_before"), F.col("whole").alias("total"))
+    wanted = before.select(*inside, F.explode("ranks").alias("rank"))
+    return cut.drop("outer"), *measured(_buckets_of_ranks(running, wanted, inside).drop("outer"), "n")
+
+
 def _buckets_of_ranks(running: DataFrame, wanted: DataFrame, group: list[str]) -> DataFrame:
-    """(group, bucket, n_before, total, ranks): the buckets that hold a wanted rank.
+    """(group, bucket, n_before, total, n, ranks): the buckets that hold a wanted rank.
 
     Buckets and ranks are merged along their position; going down, the last
     bucket seen is the one a rank falls in.
     """
-    here = F.struct("bucket", "n_before", "total")
+    here = F.struct("bucket", "n_before", "total", "n")
     buckets = running.select(*group, (F.col("n_before") + F.col("n")).alias("pos"), F.lit(0).alias("is_rank"), here.alias("at"))
     asked = wanted.select(*group, F.col("rank").alias("pos"), F.lit(1).alias("is_rank"), F.lit(None).alias("at"))
     down = Window.partitionBy(*group).orderBy(F.desc("pos"), "is_rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -126,7 +149,7 @@ def _buckets_of_ranks(running: DataFrame, wanted: DataFrame, group: list[str]) -
         buckets.unionByName(asked)
         .withColumn("at", F.last("at", ignorenulls=True).over(down))
         .where("is_rank = 1 and at is not null")
-        .groupBy(*group, "at.bucket", "at.n_before", "at.total")
+        .groupBy(*group, "at.bucket", "at.n_before", "at.total", "at.n")
         .agg(F.collect_list("pos").alias("ranks"))
     )
 
@@ -180,13 +203,14 @@ def cumulative(
     *,
     descending: bool = False,
     lead: bool = False,
+    totals: bool = False,
 ) -> DataFrame:
     """Running sums over the distinct values of each group.
 
     Ties are collapsed first. A cell gets ``cum_<m>`` = the sum of the measure
     over all values up to and including its own (from the top when
     ``descending``). With ``lead`` it also gets ``next_<m>``, the measure of the
-    following cell, null at the end.
+    following cell, null at the end, with ``totals`` ``all_<m>``, the sum over the group. The source is read once.
     """
     names = list(measures)
     cells = (
@@ -207,9 +231,14 @@ def cumulative(
         "bucket",
         *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"base_{m}") for m in names],
         *([F.lead(f"head_{m}").over(buckets).alias(f"follow_{m}") for m in names] if lead else []),
+        *([F.sum(m).over(Window.partitionBy(*group)).alias(f"all_{m}") for m in names] if totals else []),
     )
     values = Window.partitionBy(*group, "bucket").orderBy(along(value))
-    return cells.join(offsets, [*group, "bucket"]).select(
+    # Null-safe, so that both branches read the same shuffle of the same scan (no filter is inferred on one side only).
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*group, "bucket"]]
+    extra = [c for c in offsets.columns if c not in (*group, "bucket")]
+    joined = cells.alias("c").join(offsets.alias("o"), on).select("c.*", *[F.col(f"o.{c}").alias(c) for c in extra])
+    return joined.select(
         *group,
         value,
         *names,
@@ -219,4 +248,5 @@ def cumulative(
             if lead
             else []
         ),
+        *([f"all_{m}" for m in names] if totals else []),
     )

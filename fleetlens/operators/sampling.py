@@ -118,14 +118,17 @@ def _draws(predictions: DataFrame, key: str, by: list[str], needs: DataFrame, re
     bounds = needs.select(*by, bound.alias("_bound"))
     attacks = predictions.where("y_true = 1").select(*by, key, "y_pred")
     ordered = lookup_join(attacks, bounds, by) if by else with_scalars(attacks, bounds)
-    ordered = ordered.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    ordered = ordered.select(*by, "repeat", hash_order(F.col("repeat") + seed, key).alias("order"), "y_pred", "_bound")
-    near = staged(ordered.where(F.concat(F.lit("0"), "order") < F.col("_bound")).drop("_bound"), "draws")
+    every = F.transform(
+        F.sequence(F.lit(0), F.lit(repeats - 1)), lambda r: F.struct(r.alias("repeat"), hash_order(r + seed, key).alias("order"))
+    )
+    # Most repeats leave a row out: they are dropped inside the array, before it becomes rows.
+    short = F.filter(every, lambda d: F.concat(F.lit("0"), d["order"]) < F.col("_bound"))
+    near = staged(ordered.select(*by, "y_pred", F.inline(short)), "draws")
     cuts, group = needs.select(*by, "wanted"), [*by, "repeat"]
     drawn = staged(prefix_cuts(near, group, "order", cuts, {"tp": F.col("y_pred")}), "drawn")
     wanted = needs.agg(F.sum(F.size(F.filter("wanted", lambda w: w["need"] > 0)))).first()[0] or 0
     if drawn.count() < wanted * repeats:
-        drawn = staged(prefix_cuts(ordered.drop("_bound"), group, "order", cuts, {"tp": F.col("y_pred")}), "drawn")
+        drawn = staged(prefix_cuts(ordered.select(*by, "y_pred", F.inline(every)), group, "order", cuts, {"tp": F.col("y_pred")}), "drawn")
     return drawn
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.functions.expressions import hash_order, value_bucket
+from fleetlens.functions.expressions import hash_order, value_bucket, value_key
 from fleetlens.operators import ordering
 from fleetlens.operators.evaluation import _counts_above
 
@@ -24,6 +24,58 @@ def test_value_bucket_is_monotone(spark):
     assert buckets == sorted(buckets)
 
 
+def test_value_key_is_monotone_and_fine(spark):
+    rng = np.random.default_rng(3)
+    powers = [float(2.0**k) for k in (-1074, -1022, -300, -1, 0, 1, 52, 1023)]
+    near = [np.nextafter(p, way) for p in powers for way in (0.0, np.inf) if p > 1e-320 or way]
+    values = sorted({*powers, *map(float, near), *rng.normal(0, 1, 300).tolist(), *(1 + rng.random(300) / 1000).tolist(), 0.0, -1.0, float("inf"), float("-inf")})
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", value_key("v").alias("k")).orderBy("v").collect()
+    keys = [r["k"] for r in rows]
+    assert keys == sorted(keys) and all(b - a >= 0 for a, b in zip(keys, keys[1:], strict=False))
+    assert max(keys.count(k) for k in set(keys)) <= 3
+
+
+def test_a_full_bucket_is_cut_finer_before_it_is_ordered(spark, monkeypatch):
+    """Many distinct doubles within one bucket: no window gets more than a bounded part of them."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 500)
+    values = np.concatenate([1 + np.random.default_rng(2).random(200_000) / 1000, -3 - np.random.default_rng(3).random(50_000) / 1000])
+    df = spark.createDataFrame(list(zip(["a"] * 150_000 + ["b"] * 100_000, values.tolist(), strict=True)), "g string, v double").repartition(8)
+    seen = []
+    keep = ordering._finer
+    monkeypatch.setattr(ordering, "_finer", lambda *a: seen.append(keep(*a)) or seen[-1])
+    probs = {"q1": 0.25, "mid": 0.5, "p999": 0.999}
+    for r in ordering.quantiles(df, ["g"], "v", probs).collect():
+        own = values[:150_000] if r["g"] == "a" else values[150_000:]
+        assert [r[p] for p in probs] == [pytest.approx(np.quantile(own, p), abs=1e-13) for p in probs.values()]
+    assert seen and seen[-1][3] <= 500
+
+
+def test_curves_read_their_source_once(spark, tmp_path):
+    from fleetlens.operators import evaluation
+
+    rows = [(f"s{i % 3}", float(i % 97), int(i * 7 % 5 == 0)) for i in range(2000)]
+    spark.createDataFrame(rows, "strategy string, score double, y_true int").write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    for curve in (evaluation.roc_curve, evaluation.roc_auc, evaluation.pr_curve, evaluation.average_precision):
+        df = curve(table, ["strategy"])
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("FileScan parquet") == 1, curve.__name__
+
+
+def test_draws_are_dropped_inside_the_array(spark, monkeypatch):
+    from fleetlens.operators import sampling
+
+    rows = [(f"k{i}", int(i >= 6000), i % 2) for i in range(60_000)]
+    table = spark.createDataFrame(rows, "key string, y_true int, y_pred int").repartition(4)
+    kept = {}
+    keep = sampling.staged
+    monkeypatch.setattr(sampling, "staged", lambda df, label, *a: kept.setdefault(label, keep(df, label, *a)))
+    counts = sampling.prevalence_counts(table, "key", [0.1, 0.05], repeats=12).collect()
+    drawn = 12 * max(r["n_attack"] for r in counts)
+    assert len(counts) == 24 and kept["draws"].count() < 2 * drawn
+
+
 def test_quantiles_match_numpy(scores):
     df, expected = scores
     probs = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "p999": 0.999, "hi": 1.0}
