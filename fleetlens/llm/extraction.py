@@ -82,7 +82,14 @@ _COMMA = re.compile(r"[,،、，;；]")
 LEVELS = 5
 SHORT = 25
 FEW_LINKS = 0.25
-READINGS = 8  # of one page
+RUN = 3  # paragraphs of one holder that read like an article
+# Headings of reader comments.
+_COMMENTS = re.compile(
+    r"\W*(?:\d+\s+)?(?:(?:all|reader|readers'?|user|view|recent|latest)\s+)?"
+    r"(?:comments?|responses?|replies|reactions|discussion|leave a (?:reply|comment)|join the (?:discussion|conversation)|add a comment|"
+    r"kommentare?|commentaires?|comentarios?)(?:\s*\(?\d*\)?)?\W*",
+    re.IGNORECASE,
+)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -99,8 +106,9 @@ def _left_out(name: str, attrs: dict[str, str], in_article: bool) -> bool:
     return "display:none" in attrs.get("style", "").replace(" ", "").lower()
 
 
-def _named(name: str, attrs: dict[str, str], in_article: bool) -> frozenset[str]:
-    """The words by which an element is left out as long as nothing speaks against it."""
+def _named(name: str, attrs: dict[str, str], in_article: bool) -> tuple[frozenset[str], bool]:
+    """The words by which an element is left out as long as nothing speaks against it, and whether a whole name is of OTHERS."""
+    whole = False
     found = {name} if name == "form" or name == "header" and not in_article else set()
     if attrs.get("role", "").lower() == "form":
         found.add("form")
@@ -110,9 +118,10 @@ def _named(name: str, attrs: dict[str, str], in_article: bool) -> frozenset[str]
                 words = set(_WORD.findall(_HUMP.sub("-", token).lower()))
                 if not words & PLAIN:
                     found |= words & NAMES
+                    whole |= len(words) == 1 and bool(words & OTHERS)
                     if not in_article:
                         found |= words & PAGE_HEADS
-    return frozenset(found)
+    return frozenset(found), whole
 
 
 class _Page:
@@ -122,6 +131,7 @@ class _Page:
         self.name, self.parent, self.out, self.article = ["html"], [-1], [False], [False]
         self.never = [False]  # out for another reason than a name
         self.named: dict[int, frozenset[str]] = {}  # left out by these words
+        self.foreign: set[int] = set()  # of them, those whose whole name says that the text is another's
         self.lost: dict[int, list] = {}  # characters left out by a name, those inside links, and the last one, by element
         self._spared = spared
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters inside links
@@ -140,17 +150,28 @@ class _Page:
     def _parse(self, html: str) -> None:
         stack, holders, links, at, end = [0], [0], 0, 0, len(html)
         paragraphs = 0  # open p elements
+        depths: dict[str, list[int]] = {}  # places in the stack of open elements by name
+        floors = [0]  # places of open blocks
 
         def pop() -> None:
             nonlocal links, paragraphs
             i = stack.pop()
             name = self.name[i]
+            depths[name].pop()
             if name in BLOCK:
                 self._flush()
                 holders.pop()
+                floors.pop()
             links -= name == "a"
             paragraphs -= name == "p"
 
+        def pop_to(depth: int) -> None:
+            while len(stack) > depth:
+                pop()
+
+        def deepest(names: set[str]) -> int:
+            return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
         def close_paragraph() -> None:
             while paragraphs:
                 pop()
@@ -185,13 +206,10 @@ class _Page:
                 elif name in ("html", "body"):
                     self._flush()
                 else:
-                    for depth in range(len(stack) - 1, 0, -1):
-                        if self.name[stack[depth]] == name:
-                            while len(stack) > depth:
-                                pop()
-                            break
-                        if name not in BLOCK and self.name[stack[depth]] in BLOCK:
-                            break  # an inline end does not close blocks
+                    depth = deepest({name})
+                    # An inline end does not close blocks.
+                    if depth and (name in BLOCK or depth > floors[-1]):
+                        pop_to(depth)
                 continue
             if name == "br":
                 self._pieces.append(" ")
@@ -213,13 +231,9 @@ class _Page:
                     close_paragraph()
                 self._flush()
             if name in CLOSES:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.name[stack[depth]] in CLOSES[name]:
-                        while len(stack) > depth:
-                            pop()
-                        break
-                    if self.name[stack[depth]] in STOPS:
-                        break
+                depth = deepest(CLOSES[name])
+                if depth and depth >= deepest(STOPS):
+                    pop_to(depth)
             up = stack[-1]
             raw = m[3] if m[3] is not None else m[6] or ""
             self.name.append(name)
@@ -228,13 +242,17 @@ class _Page:
             attrs = _attributes(raw)
             i = len(self.name) - 1
             self.never.append(self.never[up] or _left_out(name, attrs, self.article[up]))
-            words = frozenset() if self.never[i] or i in self._spared else _named(name, attrs, self.article[up])
+            words, foreign = (frozenset(), False) if self.never[i] or i in self._spared else _named(name, attrs, self.article[up])
             if words:
                 self.named[i] = words
+            if foreign:
+                self.foreign.add(i)
             self.out.append(self.out[up] or self.never[i] or bool(words))
-            stack.append(i)
+            depths.setdefault(name, []).append(len(stack))
             if name in BLOCK:
                 holders.append(i)
+                floors.append(len(stack))
+            stack.append(i)
             links += name == "a"
             paragraphs += name == "p"
         self._flush()
@@ -245,14 +263,13 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     spared: frozenset[int] = frozenset()
-    for left in range(READINGS - 1, -1, -1):
+    while True:
         page = _Page(html, spared)
         text = _article(page)
-        more = _taken_back(page, text) if left and page.lost else set()
+        more = _taken_back(page, text) if page.lost else set()
         if not more:
-            break
+            return text
         spared |= more
-    return text
 
 
 def _taken_back(page: _Page, text: str) -> set[int]:
@@ -286,10 +303,24 @@ def _taken_back(page: _Page, text: str) -> set[int]:
                 back.add(i)
     if back:
         return back
+    # Runs of paragraphs of one holder: how many, and the largest below each element.
+    count, run, longest = [0] * n, [0] * n, [0] * n
+    for i in range(n - 1, 0, -1):
+        if name[i] == "p" and prose[i] >= SHORT:
+            count[parent[i]] += 1
+            run[parent[i]] += prose[i]
+    for i in range(n - 1, 0, -1):
+        longest[i] = max(longest[i], run[i] if count[i] >= RUN else 0)
+        longest[parent[i]] = max(longest[parent[i]], longest[i])
+
+    def others(i: int) -> bool:
+        """Whether the text below is to be taken for someone else's."""
+        return i in page.foreign or bool(page.named[i] & OTHERS) and 2 * longest[i] <= prose[i]
+
     # Most of the page's prose, in one element or in all of a name.
     whole, outer, words_of = kept[0] + prose[0], {}, {}
     for i, words in page.named.items():
-        if not page.out[parent[i]] and prose[i] and not (words & OTHERS and text):
+        if not page.out[parent[i]] and prose[i] and not (text and others(i)):
             outer[i] = prose[i]
             for w in words:
                 words_of.setdefault(w, []).append(i)
@@ -297,12 +328,25 @@ def _taken_back(page: _Page, text: str) -> set[int]:
     sizes = [sum(outer[i] for i in g) for g in groups]
     for group, size in zip(groups, sizes, strict=True):
         if 2 * size > whole and size > 3 * len(text):
-            return set(group)
+            return _with_inner(page, group, prose)
     if not text and groups:
-        return set(groups[max(range(len(groups)), key=sizes.__getitem__)])
+        return _with_inner(page, groups[max(range(len(groups)), key=sizes.__getitem__)], prose)
     return set()
 
 
+def _with_inner(page: _Page, group: list[int], prose: list[int]) -> set[int]:
+    """``group`` and the named elements inside that hold most of the prose of their outer one, however deep."""
+    back, most = set(group), {i: prose[i] for i in group}
+    inside: dict[int, int] = {i: i for i in group}
+    for i in range(1, len(page.name)):
+        outer = inside.get(i) or inside.get(page.parent[i])
+        if outer is not None:
+            inside[i] = outer
+            if i in page.named and i not in page.foreign and 2 * prose[i] > most[outer]:
+                back.add(i)
+    return back
+
+
 def _article(page: _Page) -> str:
     n, parent, name, blocks = len(page.name), page.parent, page.name, page.blocks
     length, linked = [0] * n, [0] * n
@@ -347,13 +391,16 @@ def _article(page: _Page) -> str:
             heads[owner] += len(text) if name[owner] in HEADINGS else 0
         for i in range(n - 1, 0, -1):
             heads[parent[i]] += heads[i]
+        ended = {owner for owner, text, _ in blocks if text[-1] in ".!?…。！？"}
         follows = False  # whether the next sibling with text, headings aside, is kept
-        for i in range(n - 1, 0, -1):
-            if parent[i] != parent[top] or page.out[i] or not length[i]:
-                continue
+        beside = [i for i in range(1, n) if parent[i] == parent[top] and not page.out[i] and length[i]]
+        comments = _under_comments(page, beside, heads, length)
+        for i in reversed(beside):
             few = density[i] < FEW_LINKS
             if i == top:
                 pass
+            elif i in comments:
+                continue
             elif heads[i] == length[i]:  # a heading goes with what it heads
                 keep[i] = few and (follows or name[i] == "h1")
                 continue
@@ -363,15 +410,35 @@ def _article(page: _Page) -> str:
                 keep[i] = few
             elif name[i] == "p" or name[i] in ("div", "section", "dd", "td", "center", "details"):
                 long = length[i] > 80 and few
-                keep[i] = long or density[i] == 0 and length[i] >= SHORT and name[i] == "p" and _ends_sentence(blocks, i)
+                keep[i] = long or density[i] == 0 and length[i] >= SHORT and name[i] == "p" and i in ended
             follows = keep[i]
     for i in range(1, n):
         keep[i] = keep[i] or keep[parent[i]]
     return "\n\n".join(text for owner, text, _ in blocks if keep[owner])
 
 
-def _ends_sentence(blocks: list[tuple[int, str, int]], owner: int) -> bool:
-    return any(o == owner and text[-1] in ".!?…。！？" for o, text, _ in blocks)
+def _under_comments(page: _Page, beside: list[int], heads: list[int], length: list[int]) -> set[int]:
+    """Elements of ``beside`` under a heading that names reader comments: those that begin with one, or follow one."""
+    first: dict[int, tuple[int, str]] = {}
+    for owner, text, _ in page.blocks:
+        i = owner
+        while i > 0 and i not in first:
+            first[i] = (owner, text)
+            i = page.parent[i]
+    found, below = set(), None
+    for i in beside:
+        owner, text = first[i]
+        is_head = page.name[owner] in HEADINGS
+        named = is_head and len(text) <= 60 and _COMMENTS.fullmatch(text) is not None
+        if heads[i] == length[i]:
+            # A heading ends what a heading of its rank or below began.
+            if named:
+                below = page.name[owner]
+            elif below is not None and page.name[owner] <= below:
+                below = None
+        if named or below is not None:
+            found.add(i)
+    return found
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -115,3 +116,64 @@ def test_long_comments_and_side_texts_stay_out():
         assert main_text(page) == f"{PROSE}\n\n{PROSE}"
     page = f"<div><p>{PROSE}</p></div><div class='comments'>" + f"<p>{PROSE}</p>" * 20 + "</div>"
     assert main_text(page) == PROSE
+
+
+BODY = "<h1>Head</h1>" + f"<p>{PROSE}</p>" * 6
+TEXT = "\n\n".join(["Head"] + [PROSE] * 6)
+
+
+@pytest.mark.parametrize(
+    "names", ["content ad-free", "cookie-recipe", "post trending-topic", "related-article-body", "story-comments-off", "entry sponsored-by-readers", "no-ads-please consent-free"]
+)
+@pytest.mark.parametrize("page", ["<div class='{0}'>{1}</div><p>One short line, of some words, follows here.</p>", "<article><section class='{0}'>{1}</section><p>One short line, of some words, follows here.</p></article>"])
+def test_a_part_of_a_name_never_beats_prose(names, page):
+    assert main_text(page.format(names, BODY)).startswith(TEXT)
+
+
+@pytest.mark.parametrize("name", ["comment-list", "reader-comments", "related-posts"])
+def test_many_small_texts_of_others_stay_out(name):
+    others = "".join(f"<li><div><b>User {i}</b><p>{PROSE}</p></div></li>" for i in range(30))
+    assert main_text(f"<div><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p></div><ol class='{name}'>{others}</ol>") == f"Head\n\n{PROSE}\n\n{PROSE}"
+
+
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 40])
+def test_any_number_of_names_around_the_text(depth):
+    page = "<div class='widget'>" * depth + BODY + "</div>" * depth
+    assert main_text(page) == TEXT
+    assert main_text(f"<p>Short, line.</p>{page}").endswith(TEXT)
+
+
+@pytest.mark.parametrize("head", ["Comments", "3 comments", "Leave a reply", "Reader comments (12)", "Kommentare", "Responses:"])
+@pytest.mark.parametrize("form", ["<section><h2>{0}</h2><ol>{1}</ol></section>", "<h2>{0}</h2><ol>{1}</ol>", "<h2>{0}</h2>{1}", "<div><h3>{0}</h3><div>{1}</div></div>"])
+def test_comments_without_a_name_go_by_their_heading(head, form):
+    others = "".join(f"<li><p>{PROSE}</p></li>" for _ in range(3)) if "<ol>" in form else f"<div><p>{PROSE}</p></div>" * 3
+    page = f"<body><article>{BODY}</article>{form.format(head, others)}</body>"
+    assert main_text(page) == TEXT
+
+
+def test_headings_of_the_article_itself_stay():
+    page = f"<article><h1>Head</h1><p>{PROSE}</p><h2>Comments</h2><p>{PROSE}</p></article>"
+    assert main_text(page) == f"Head\n\n{PROSE}\n\nComments\n\n{PROSE}"
+    page = f"<div><div>{BODY}</div><h2>Comments</h2><div><p>{PROSE}</p></div><h2>More</h2><div><p>{PROSE}</p></div></div>"
+    assert main_text(page) == f"{TEXT}\n\nMore\n\n{PROSE}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<span>" * n + f"<p>{PROSE}</p>" + "</b>" * n,
+        lambda n: "<b><div>" + "<span>" * n + "</b>" * n + f"<p>{PROSE}</p>",
+        lambda n: "<div>" * n + "</section>" * n + f"<p>{PROSE}</p>",
+        lambda n: "<ul>" + "<span>" * n + "<li></li>" * n + f"<li>{PROSE}</li>",
+        lambda n: f"<div><div>{BODY}</div>" + "<p>One, short line here.</p>" * n + "</div>",
+        lambda n: "<div class='widget'>" * n + f"<p>{PROSE}</p>" * 3,
+    ],
+)
+def test_time_is_linear_in_the_page(page):
+    def seconds(n):
+        start = time.process_time()
+        assert PROSE in main_text(page(n))
+        return time.process_time() - start
+
+    seconds(200)
+    assert seconds(16000) < 4 * seconds(8000) + 0.5 and seconds(16000) < 8
