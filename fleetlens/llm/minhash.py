@@ -19,7 +19,8 @@ that the rest only have to be where that did not join the two.
 
 Defined results: a null or blank text has an empty set and is linked with
 nothing; a row without key is measured but linked with nothing; rows that
-repeat a key are judged by their own texts; an empty table gives no rows.
+repeat a key are judged by their own texts; an empty table gives no rows. The
+stage keeps one row of each group, whatever keys and texts repeat.
 """
 
 from __future__ import annotations
@@ -75,7 +76,10 @@ def _sketch(sig: np.ndarray, bands: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, n_shingles, node, sig, bands) of every row; node is the fingerprint of the set, null if it is empty."""
+    """(id, print, n_shingles, node, sig, bands) of every row.
+
+    ``node`` is the fingerprint of the set, null if it is empty, ``print`` the hash of the text.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,31 +102,31 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     pa.array(np.concatenate(full) if full else np.zeros(0, np.int64), pa.int64()),
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), lists],
-                    names=["id", "n_shingles", "node", "sig", "bands"],
+                    [part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), lists],
+                    names=["id", "print", "n_shingles", "node", "sig", "bands"],
                 )
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "id long, n_shingles long, node binary, sig binary, bands array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
+    return rows.mapInArrow(sign, "id long, print long, n_shingles long, node binary, sig binary, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, share: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= share * union.
 
-    ``classes`` has (node, id, n_shingles), ``rows`` (id, text). Rows are dealt out by ``a``, a much
+    ``classes`` has (node, id, print, n_shingles), ``rows`` (id, print, text). Rows are dealt out by ``a``, a much
     used ``a`` in as many parts as its partners need, and stream past the set of ``a``.
     """
     weight = F.col("n_shingles")
     # Written once: the parts of every ``a`` and the members both come from it.
-    sized = staged(pairs.join(classes.select(F.col("node").alias("b"), "id", "n_shingles"), "b"), "sized")
+    sized = staged(pairs.join(classes.select(F.col("node").alias("b"), "id", "print", "n_shingles"), "b"), "sized")
     parts = sized.groupBy("a").agg(F.ceil(F.sum(weight) / TASK_SHINGLES).cast("int").alias("parts"))
     members = sized.join(parts, "a").select(
-        "id", "a", "b", F.lit(1).alias("role"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
+        "id", "print", "a", "b", F.lit(1).alias("role"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part")
     )
-    heads = parts.join(classes.select(F.col("node").alias("a"), "id"), "a").select(
-        "id", "a", F.col("a").alias("b"), F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    heads = parts.join(classes.select(F.col("node").alias("a"), "id", "print"), "a").select(
+        "id", "print", "a", F.col("a").alias("b"), F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
     )
-    texts = heads.unionByName(members).join(rows, "id").select("a", "part", "role", "b", "text")
+    texts = heads.unionByName(members).join(rows, ["id", "print"]).select("a", "part", "role", "b", "text")
     dealt = texts.repartition("a", "part").sortWithinPartitions("a", "part", "role", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +218,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Links hold between sets with 100 * intersection >= share * union; ``component_id`` is the smallest key
     reachable by links, ``kept`` marks the row that carries it.
     """
+    return _judged(docs, key, text, size, share).select("id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame, key: str, text: str, size: int, share: int) -> DataFrame:
+    """``near_duplicates`` with ``print`` and ``root``, which names the component; null for a row linked with nothing in any case."""
     signed = staged(signatures(docs, key, text, size), "signatures")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("print"), F.col(text).alias("text"))
     usable = signed.where(F.col("node").isNotNull() & F.col("id").isNotNull())
-    classes = staged(usable.groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles")), "classes")
+    # Rows that repeat the least key with another text of the same set: any one will do, once it is written.
+    least = [F.min("id").alias("id"), F.min_by("print", "id").alias("print"), F.first("n_shingles").alias("n_shingles")]
+    classes = staged(usable.groupBy("node").agg(*least), "classes")
     lead = usable.join(classes.select("node", F.col("id").alias("lead")), "node").where(F.col("id") == F.col("lead"))
     lead = lead.dropDuplicates(["node"])
     members = lead.select("node", F.explode("bands").alias("key"))
@@ -254,14 +265,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     rooted = classes.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    found = rooted.join(first, "root").select("node", "component_id")
-    out = signed.select("id", "n_shingles", "node").join(found, "node", "left")
+    found = rooted.join(first, "root").select("node", "root", "component_id")
+    out = signed.select("id", "print", "n_shingles", "node").join(found, "node", "left")
     comp = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
-    return out.select("id", "n_shingles", comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept"))
+    return out.select(
+        "id", "print", "n_shingles", F.when(F.col("id").isNotNull(), F.col("root")).alias("root"), comp.alias("component_id"), F.col("id").eqNullSafe(comp).alias("kept")
+    )
 
 
 def dedup_stage(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, share: int = 80) -> DataFrame:
-    """The input rows, columns unchanged, without near-duplicates of a row with a smaller key; one row per key and component."""
-    found = near_duplicates(docs, key, text, size, share)
-    dropped = found.where(~F.col("kept")).select(F.col("id").alias(key)).distinct()
-    return docs.join(dropped, key, "left_anti").select(*docs.columns)
+    """The input rows, columns unchanged, with one row of each component: one of its smallest key.
+
+    Rows are told apart by key and text, so a row stays or goes by its own text even where keys repeat; of rows that
+    repeat both, one stays. Rows without key or words are no copies of anything.
+    """
+    judged = staged(_judged(docs, key, text, size, share).where(F.col("root").isNotNull()), "judged")
+    # More than one text of the smallest key in a component: the one of least hash stays.
+    lead = judged.where("kept")
+    several = lead.groupBy("root").agg(F.min("print").alias("least"), F.max("print").alias("most")).where("least <> most")
+    spare = lead.join(several, "root").where(F.col("print") != F.col("least"))
+    gone = staged(judged.where("not kept").select("id", "print").unionByName(spare.select("id", "print")).distinct(), "gone")
+    repeated = staged(lead.groupBy("id", "print").agg(F.count("*").alias("n")).where("n > 1").select("id", "print"), "repeated")
+    rows = docs.withColumns({"_id": F.col(key).cast("long"), "_print": F.xxhash64(text)})
+    pair = lambda t: t.select(F.col("id").alias("_id"), F.col("print").alias("_print"))
+    kept = rows.join(pair(gone), ["_id", "_print"], "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(pair(repeated), ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"])
+        kept = kept.join(pair(repeated), ["_id", "_print"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

@@ -21,6 +21,7 @@ key and text, equal rows are interchangeable; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import re
 from itertools import accumulate
 from math import gcd
 
@@ -139,6 +140,12 @@ def mixed(docs: DataFrame, weights: dict[str | None, int], block: int = BLOCK, k
     return joined.repartitionByRange("_at").sortWithinPartitions("_at").select("_row.*")
 
 
+def _part_number(name: str) -> tuple[int, str]:
+    """Parts by the number in their name, which is wider than five digits from part 100 000 on."""
+    found = re.search(r"\d+", name)
+    return int(found[0]) if found else 0, name
+
+
 def placed(docs: DataFrame, into: str = "mix_position") -> DataFrame:
     """The rows of a stored table with their place in its order, from 0 and without gaps.
 
@@ -153,7 +160,8 @@ def placed(docs: DataFrame, into: str = "mix_position") -> DataFrame:
         index = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     rows = docs.select(*carried, part.alias("_part"), index.cast("long").alias("_index"))
     # One row per part file.
-    sizes = sorted((r["_part"], r["n"]) for r in rows.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    sizes = sorted(((r["_part"], r["n"]) for r in counts), key=lambda s: _part_number(s[0]))
     starts = accumulate((n for _, n in sizes), initial=0)
     offsets = docs.sparkSession.createDataFrame([(p, at) for (p, _), at in zip(sizes, starts)], "_part string, _start long")
     return rows.join(F.broadcast(offsets), "_part").select(*carried, (F.col("_start") + F.col("_index")).alias(into))

@@ -6,7 +6,7 @@ from test_mixing import brute as brute_mix
 from test_quality import by_sql
 from test_substring import brute as brute_substring
 
-from fleetlens.llm import mixing, queries
+from fleetlens.llm import minhash, mixing, queries
 
 SF = "/root/testdata/sf0.001"
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model_path())
@@ -44,7 +44,25 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, empty):
         out = stage(spark, docs, SF)
         assert name == "sentencepiece" or out.columns == docs.columns, name
         docs = spark.createDataFrame(out.collect(), out.schema)
-    assert docs.count() == (0 if empty else 3)
+    # Of the two equal rows one stays, and the row without key.
+    assert docs.count() == (0 if empty else 2)
+
+
+def test_rows_that_share_a_key_stay_or_go_by_their_own_texts(spark):
+    words = [f"word{i}" for i in range(400)]
+    first, near, clean = " ".join(words[:200]), " ".join(words[:199]) + " other", " ".join(words[200:])
+    last = " ".join(f"last{i}" for i in range(50))
+    rows = [(1, first, "a"), (2, near, "b"), (2, clean, "c"), (3, last, "d"), (3, last, "d"), (4, last + " x", "e"), (5, clean, "f"), (None, first, "g"), (6, "", "h"), (6, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = minhash.dedup_stage(docs)
+    assert got.columns == docs.columns
+    want = [(1, first, "a"), (2, clean, "c"), (3, last, "d"), (None, first, "g"), (6, "", "h"), (6, "", "h")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_parts_are_ordered_by_number():
+    names = [f"part-{n:05d}-x.snappy.parquet" for n in (99999, 100000, 5, 1000000)]
+    assert [n.split("-")[1] for n in sorted(names, key=mixing._part_number)] == ["00005", "99999", "100000", "1000000"]
 
 
 def test_the_result_has_the_places_of_the_mix(spark, monkeypatch, tmp_path):
