@@ -5,9 +5,17 @@ release floor(j T / a) to its deadline ceil((j + 1) T / a). In every slot the
 released block with the earliest deadline runs, ties going to the first source
 in name order. After every slot each source has had less than one block more
 or less than its share. The schedule repeats after T slots, so one frame of T
-slots is made once, as a fold over the slots inside one expression whose size
-is the weights' sum and not the data; block j of a source then runs in slot
-frame(j mod a) + T (j div a). No row is moved to learn its place.
+slots is made once; block j of a source then runs in slot
+frame(j mod a) + T (j div a).
+
+The frame is a table. A small one is a fold over its slots inside one
+expression. A large one is made by halving: deadlines give the blocks a fixed
+order of precedence, the slots that the half of higher precedence takes follow
+from running sums of releases alone, the other half gets the remaining slots,
+and both halves go on like this, all at once, for log2 T rounds. The plan does
+not grow with the number of sources. Rows find their slot by a join on the
+block's place in the frame; rows of earlier slots are running sums over blocks
+in bounded windows.
 
 A source that runs out leaves its slots empty; ``position`` counts only rows,
 so the other sources close up, and ``on_target`` marks the rows before the
@@ -20,7 +28,6 @@ key and text, equal rows are interchangeable; an empty table gives no rows.
 
 from __future__ import annotations
 
-import json
 import re
 from itertools import accumulate
 from math import gcd
@@ -28,9 +35,13 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from fleetlens.llm.numbering import numbered
+from fleetlens.session import staged
 
 BLOCK = 64
-MAX_FRAME = 4096  # bound of the weights' sum, and with it of a schedule frame
+MAX_FRAME = 1 << 24  # slots of a frame: how finely weights may differ, not how many sources there are
+FOLD_CELLS = 50_000  # slots times sources up to which one expression makes the frame
+FRAME_ROWS = 200_000  # of a frame that is broadcast
+RUN = 4096  # slots of a window, and windows of a run
 
 
 def whole_weights(weights: dict[str | None, int]) -> dict[str | None, int]:
@@ -69,11 +80,14 @@ def _frame(shares: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(total - 1)), start, step, lambda s: s["slots"])
 
 
-def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5, resolution: int = 200) -> dict[str | None, int]:
-    """Target weights of all sources in proportion to a power of their row counts, one part in ``resolution`` at least."""
-    counts = docs.groupBy(source).agg(F.count("*").alias("n")).limit(MAX_FRAME + 1).collect()
-    if len(counts) > MAX_FRAME:
-        raise ValueError(f"more than {MAX_FRAME} sources")
+def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5, resolution: int | None = None) -> dict[str | None, int]:
+    """Target weights of all sources in proportion to a power of their row counts, one part in ``resolution`` at least.
+
+    By default there are 200 parts, and twenty for each source where these are more.
+    """
+    # One row per source.
+    counts = docs.groupBy(source).agg(F.count("*").alias("n")).collect()
+    resolution = resolution or max(200, 20 * len(counts))
     whole = sum(r["n"] ** power for r in counts)
     return {r[source]: max(1, round(resolution * r["n"] ** power / whole)) for r in counts} or {None: 1}  # any weights do for no rows
 
@@ -81,50 +95,106 @@ def tempered_weights(docs: DataFrame, source: str = "source", power: float = 0.5
 def schedule(spark: SparkSession, weights: dict[str | None, int]) -> DataFrame:
     """(slot, source_no, nth): one frame; nth counts the blocks of the source in it."""
     shares = list(whole_weights(weights).values())
+    if sum(shares) * len(shares) > FOLD_CELLS:
+        return _halved(spark, shares)
     slots = spark.range(1).select(F.posexplode(_frame(shares)).alias("slot", "source_no"))
     nth = F.row_number().over(Window.partitionBy("source_no").orderBy("slot")) - 1
     return slots.withColumn("nth", nth)
 
 
+def _halved(spark: SparkSession, shares: list[int]) -> DataFrame:
+    """A frame by halving its blocks by precedence; every round is a written table.
+
+    A group of blocks has as many slots, numbered from 0; ``rel`` is the first of them that a block may take. The
+    half of higher precedence is served first: the slots it keeps busy are those where, counting its releases and
+    taking one off per slot, something waits.
+    """
+    total = sum(shares)
+    rounds = max(1, (total - 1).bit_length())
+    given = spark.createDataFrame(list(enumerate(shares)), "source_no int, share long")
+    each = given.select("source_no", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("share") - 1)).alias("nth"))
+    deadline = F.expr(f"((nth + 1) * {total} + share - 1) div share")
+    timed = each.select("source_no", "nth", F.expr(f"(nth * {total}) div share").alias("rel"), deadline.alias("deadline"))
+    order = F.row_number().over(Window.orderBy("deadline", "source_no")) - 1
+    blocks = staged(timed.select("source_no", "nth", "rel", order.cast("long").alias("p"), F.lit(0).cast("long").alias("g")), "mix-blocks")
+    slots = spark.range(total).select(F.lit(0).cast("long").alias("g"), F.col("id").alias("x"), F.col("id").alias("slot"))
+    along = Window.partitionBy("g").orderBy("x")
+    past = along.rowsBetween(Window.unboundedPreceding, -1)
+    for level in range(rounds - 1, -1, -1):
+        first = F.shiftright("p", level).bitwiseAND(F.lit(1).cast("long")) == 0
+        arrivals = blocks.where(first).groupBy("g", F.col("rel").alias("x")).agg(F.count("*").alias("c"))
+        waiting = slots.join(arrivals, ["g", "x"], "left").fillna(0, ["c"]).withColumn("s", F.sum("c").over(along) - F.col("x") - 1)
+        # Left over from the slots before: their net sum over its least value so far, which is 0 at the start.
+        left = F.coalesce(F.lag("s").over(along) - F.least(F.min("s").over(past), F.lit(0)), F.lit(0))
+        taken = waiting.withColumn("busy", (left + F.col("c") > 0).cast("long"))
+        counted = staged(taken.withColumn("ahead", F.coalesce(F.sum("busy").over(past), F.lit(0))).select("g", "x", "slot", "busy", "ahead"), "mix-taken")
+        slots = counted.select(
+            (F.col("g") * 2 + 1 - F.col("busy")).alias("g"), F.when(F.col("busy") == 1, F.col("ahead")).otherwise(F.col("x") - F.col("ahead")).alias("x"), "slot"
+        )
+        place = counted.select("g", F.col("x").alias("rel"), "ahead")
+        moved = blocks.join(place, ["g", "rel"]).select(
+            "source_no", "nth", F.when(first, F.col("ahead")).otherwise(F.col("rel") - F.col("ahead")).alias("rel"), "p",
+            (F.col("g") * 2 + F.when(first, 0).otherwise(1)).alias("g"),
+        )
+        blocks = staged(moved, "mix-blocks")
+    return slots.join(blocks, "g").select("slot", "source_no", "nth")
+
+
+def _rows_before(blocks: DataFrame) -> DataFrame:
+    """Adds ``before``, the rows of all blocks in earlier slots: sums over runs of windows, windows and slots."""
+    cut = blocks.withColumn("_w", F.floor(F.col("slot") / RUN).cast("long")).withColumn("_run", F.floor(F.col("_w") / RUN).cast("long"))
+    windows = cut.groupBy("_run", "_w").agg(F.sum("rows").alias("rows"))
+    runs = windows.groupBy("_run").agg(F.sum("rows").alias("rows"))
+
+    def sum_before(order: str, *part: str | Column) -> Column:
+        return F.coalesce(F.sum("rows").over(Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    # One row per RUN * RUN slots.
+    base = runs.select("_run", sum_before("_run", F.lit(0)).alias("_base"))
+    inner = windows.select("_run", "_w", sum_before("_w", "_run").alias("_inner"))
+    offsets = inner.join(base, "_run").select("_w", (F.col("_inner") + F.col("_base")).alias("_offset"))
+    local = cut.withColumn("_local", sum_before("slot", "_w"))
+    return local.join(offsets, "_w").select(*blocks.columns, (F.col("_local") + F.col("_offset")).alias("before"))
+
+
 def mix(docs: DataFrame, weights: dict[str | None, int], block: int = BLOCK, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(key, source, row_in_source, block, release, deadline, slot, position, on_target): one row per input row."""
-    shares = whole_weights(weights)
-    names, total = list(shares), sum(shares.values())
-    no = {s: i for i, s in enumerate(names)}
-    number = F.coalesce(*[F.when(F.col(source).eqNullSafe(F.lit(s)), F.lit(i)) for s, i in no.items()])
-    sized = docs.groupBy(source).agg(F.count("*").alias("n")).withColumn("no", number)
-    strange = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce(F.col(source), F.lit("null"))))
-    # At most one row per weight.
-    rows_of = {r["no"]: r["n"] for r in sized.select(F.when(F.col("no").isNull(), strange).otherwise(F.col("no")).cast("int").alias("no"), "n").collect()}
-    frame = schedule(docs.sparkSession, weights).collect()  # MAX_FRAME rows at most
-    places: list[list[int]] = [[] for _ in names]
-    for r in sorted(frame, key=lambda r: r["slot"]):
-        if r["source_no"] >= 0:
-            places[r["source_no"]].append(r["slot"])
-    share = F.from_json(F.lit(json.dumps([shares[s] for s in names])), "array<int>")
-    at = F.from_json(F.lit(json.dumps(places)), "array<array<int>>")
-    ran = [list(accumulate((int(t in own) for t in range(total - 1)), initial=0)) for own in map(set, places)]
-    before = F.from_json(F.lit(json.dumps(ran)), "array<array<int>>")
+    spark, shares = docs.sparkSession, whole_weights(weights)
+    total = sum(shares.values())
+    known = spark.createDataFrame([(s, i, a) for i, (s, a) in enumerate(shares.items())], "_source string, _no int, _share long")
+    sized = docs.groupBy(F.col(source).cast("string").alias("_name")).agg(F.count("*").alias("_n"))
+    sized = sized.join(known, F.col("_name").eqNullSafe(F.col("_source")), "left")
+    strange = F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("_name", F.lit("null"))))
+    # At most one row per weight, like the weights themselves.
+    sizes = sized.select(F.when(F.col("_no").isNull(), strange).otherwise(F.col("_no")).cast("int").alias("_no"), "_n").collect()
+    held = {r["_no"]: r["_n"] for r in sizes}
+    table = [(s, i, a, held.get(i, 0)) for i, (s, a) in enumerate(shares.items())]
+    sources = spark.createDataFrame(table, "_source string, _no int, _share long, _n long")
+    frame = staged(schedule(spark, weights), "mix-frame")
+    frame = F.broadcast(frame) if total <= FRAME_ROWS else frame
+
+    def in_frame(blocks: DataFrame) -> DataFrame:
+        """Adds the slot of blocks (_no, _share, block)."""
+        at = frame.select(F.col("source_no").alias("_no"), F.col("nth").cast("long").alias("_nth"), F.col("slot").cast("long").alias("_slot"))
+        found = blocks.withColumn("_nth", F.pmod("block", "_share")).join(at, ["_no", "_nth"])
+        return found.withColumn("slot", F.expr(f"(block div _share) * {total} + _slot")).drop("_nth", "_slot")
 
     rows = docs.select(F.col(key).alias(key), F.col(source).alias(source), F.xxhash64(text).alias("_text"))
-    counted = numbered(rows, "row_in_source", [key], within=[source], total=sum(rows_of.values()))
-    s, j = F.col("_no"), F.col("block")
-    placed = counted.withColumn("_no", number).withColumn("block", F.floor(F.col("row_in_source") / block)).withColumns({
-        "release": F.floor(j * total / share[s]), "deadline": F.ceil((j + 1) * total / share[s]),
-        "slot": (F.floor(j / share[s]) * total + at[s][F.pmod(j, share[s]).cast("int")]).cast("long"),
-    })
-    # Rows of all sources in earlier slots: blocks run before the slot, each full but the last of a source.
-    earlier, enough = F.lit(0).cast("long"), F.lit(True)
-    for i, name in enumerate(names):
-        had = F.floor(F.col("slot") / total) * shares[name] + before[i][F.pmod("slot", F.lit(total)).cast("int")]
-        size = F.lit(rows_of.get(i, 0)).cast("long")
-        earlier = earlier + F.least(had * block, size)
-        # The slot itself may run its source's last, shorter block; what ran before must have been full.
-        enough = enough & (had * block <= size)
-    position = earlier + F.pmod("row_in_source", F.lit(block))
+    counted = numbered(rows, "row_in_source", [key], within=[source], total=sum(held.values()))
+    owned = counted.join(F.broadcast(sources), F.col(source).cast("string").eqNullSafe(F.col("_source"))).drop("_source")
+    owned = staged(owned.withColumn("block", F.expr(f"row_in_source div {block}")), "mix-rows")
+    # Each block is known by its first row.
+    heads = owned.where(F.col("row_in_source") % block == 0).select("_no", "_share", "block", F.least(F.lit(block), F.col("_n") - F.col("block") * block).alias("rows"))
+    blocks = _rows_before(in_frame(heads))
+    # A source has run out once the first block that it cannot fill has run.
+    ends = in_frame(sources.select("_no", "_share", F.expr(f"_n div {block}").alias("block")))
+    end = ends.agg(F.min("slot")).first()[0]
+    placed = owned.drop("_share", "_n").join(blocks, ["_no", "block"])
     return placed.select(
-        key, source, "_text", "row_in_source", "block", "release", "deadline", "slot", position.alias("position"), enough.alias("on_target")
-    )
+        key, source, "_text", "row_in_source", "block",
+        F.expr(f"(block * {total}) div _share").alias("release"), F.expr(f"((block + 1) * {total} + _share - 1) div _share").alias("deadline"),
+        "slot", (F.col("before") + F.col("row_in_source") % block).alias("position"), (F.col("slot") <= end).alias("on_target"),
+    )
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int], block: int = BLOCK, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

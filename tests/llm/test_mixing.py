@@ -1,6 +1,8 @@
+import random
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetlens.llm import mixing, queries
 
@@ -31,6 +33,41 @@ def test_frames_follow_the_rule_and_stay_within_one_block(spark, shares):
     assert done == shares
 
 
+@pytest.mark.parametrize("shares", [[3, 2], [7, 5, 3, 2, 2, 1], [50, 3, 3, 1, 1, 1, 1]])
+def test_halving_gives_the_same_frame(spark, monkeypatch, shares):
+    monkeypatch.setattr(mixing, "FOLD_CELLS", 0)
+    weights = {f"s{i:03d}": a for i, a in enumerate(shares)}
+    shares = list(mixing.whole_weights(weights).values())
+    got = mixing.schedule(spark, weights).orderBy("slot").collect()
+    assert [r.source_no for r in got] == brute_frame(shares)
+    for i, a in enumerate(shares):
+        assert [r.nth for r in got if r.source_no == i] == list(range(a))
+
+
+def test_five_thousand_sources_of_very_unequal_size(spark):
+    rng = random.Random(5)
+    sizes = {f"s{i:04d}": int(3 * 1.0009 ** (i * 1.3)) + rng.randrange(3) for i in range(5000)}
+    table = spark.createDataFrame(list(sizes.items()), "source string, n int")
+    docs = table.select("source", F.explode(F.sequence(F.lit(1), "n")).alias("i")).select(F.xxhash64("source", "i").alias("doc_id"), "source", F.lit("t").alias("text"))
+    docs = docs.repartition(8)
+    weights = mixing.tempered_weights(docs)
+    shares = mixing.whole_weights(weights)
+    total, root = sum(shares.values()), sum(n**0.5 for n in sizes.values())
+    assert all(abs(shares[s] / total - n**0.5 / root) <= 0.06 / 5000 for s, n in sizes.items())
+    frame = [r.source_no for r in mixing.schedule(spark, weights).orderBy("slot").collect()]
+    done, names = [0] * len(shares), list(shares)
+    assert len(frame) == total and sorted(frame) == [i for i, a in enumerate(shares.values()) for _ in range(a)]
+    nth = [0] * len(shares)
+    for t, i in enumerate(frame):
+        a = shares[names[i]]
+        assert nth[i] * total // a <= t < -(-(nth[i] + 1) * total // a)
+        nth[i] += 1
+    out = mixing.mix(docs, weights, block=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("\n") < 400
+    stats = out.agg(F.count("*").alias("n"), F.count_distinct("position").alias("d"), F.max("position").alias("m")).first()
+    assert stats.n == stats.d == stats.m + 1 == sum(sizes.values())
+
+
 def brute(rows, weights, block):
     """(key, source, position) of rows in schedule order, given the places of rows in their sources."""
     shares = mixing.whole_weights(weights)
@@ -68,7 +105,7 @@ def test_unknown_sources_and_bad_weights_are_refused(spark):
     docs = spark.createDataFrame([(1, "z", "t")], "doc_id long, source string, text string")
     with pytest.raises(Exception, match="no weight for source z"):
         mixing.mix(docs, {"a": 1})
-    for bad in ({}, {"a": 0}, {"a": 4095, "b": 2}):
+    for bad in ({}, {"a": 0}, {"a": 1 << 24, "b": 1}):
         with pytest.raises(ValueError):
             mixing.whole_weights(bad)
 
