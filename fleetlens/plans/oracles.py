@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetlens.plans import bindings as b
-from fleetlens.plans.tables import DUP_FEATURES, EXTREME_DEVICES, MCC_GRID, PR_PREVALENCES
+from fleetlens.plans.tables import AE_GRID, DUP_FEATURES, EXTREME_DEVICES, FLEET_GRID, MCC_GRID, PR_PREVALENCES
 from fleetlens.operators.evaluation import linspace
 from fleetlens.operators.sampling import GAMMA_TRIES, UNIFORM_DIGITS
 
@@ -368,6 +368,15 @@ BOOTSTRAP = f"""WITH {SPLIT_SCORES['LOF']},
         FROM q GROUP BY ALL)
     SELECT device_id, criterion, {st('m', 'mean_threshold')}, {st('s', 'std_threshold')}, {st('lo', 'ci_2_5')}, {st('hi', 'ci_97_5')}, {st('s / m', 'cv_threshold')} FROM a"""
 
+# Rows by stage, device and split follow from counts; a scaled train split has mean 0 and deviation 1.
+PREPARE = f"""WITH {TRAFFIC}, c AS (SELECT device_id, count(*) FILTER (NOT is_attack) AS b, count(*) FILTER (is_attack) AS a FROM traffic GROUP BY 1),
+    parts AS (SELECT device_id, split, n FROM (SELECT device_id, unnest(['train', 'val', 'test_benign', 'test_attack']) AS split, unnest([floor(b * 0.6::DOUBLE)::BIGINT,
+      floor(b * (0.6::DOUBLE + 0.2::DOUBLE))::BIGINT - floor(b * 0.6::DOUBLE)::BIGINT, b - floor(b * (0.6::DOUBLE + 0.2::DOUBLE))::BIGINT, a]) AS n FROM c) WHERE n > 0),
+    every AS (SELECT 'base' AS stage, device_id, 'all' AS split, count(*) AS n, round(sum(quantity::DOUBLE), 2) AS sum_quantity FROM traffic GROUP BY 2
+      UNION ALL SELECT 'splits', device_id, split, n, NULL FROM parts UNION ALL SELECT 'scaled_device', device_id, split, n, NULL FROM parts
+      UNION ALL SELECT 'scaled_fleet', 0, split, sum(n)::BIGINT, NULL FROM parts GROUP BY split)
+    SELECT *, CASE WHEN split = 'train' AND stage LIKE 'scaled%' THEN 0.0::DOUBLE END AS train_mean, CASE WHEN split = 'train' AND stage LIKE 'scaled%' THEN 1.0::DOUBLE END AS train_std FROM every"""
+
 RECORDS = (
     ROWS
     + """, per_device AS (SELECT device_id, count(*) FILTER (NOT is_attack) AS n_train, count(*) AS n_scored,
@@ -392,6 +401,8 @@ ORACLES = {
     "scan_csv": f"WITH {ROWS}, t AS (SELECT *, l_quantity AS quantity, l_extendedprice AS extendedprice, l_discount AS discount, l_tax AS tax, CASE WHEN is_attack THEN concat_ws('.', device_id, attack_family, attack_type, 'csv') ELSE concat_ws('.', device_id, 'benign', 'csv') END AS file_name FROM rows_) SELECT file_name, count(*) AS n, {FEATURE_SUMS} FROM t GROUP BY 1",
     "label_from_filename": f"WITH {TRAFFIC} SELECT DISTINCT file_name, device_id, is_attack, attack_family, attack_type FROM traffic",
     "ingest_by_device": f"WITH {TRAFFIC} SELECT device_id, is_attack, attack_family, attack_type, count(*) AS n, {FEATURE_SUMS} FROM traffic GROUP BY 1, 2, 3, 4",
+    "ingest_wide": f"WITH {ROWS} SELECT device_id, is_attack, attack_family, attack_type, count(*) AS n, {', '.join(f'round(sum(l_{f}::DOUBLE), 2) AS sum_{f}' for f in b.FEATURES)} FROM rows_ GROUP BY 1, 2, 3, 4",
+    "prepare_run": PREPARE,
     "file_manifest": f"WITH {TRAFFIC} SELECT DISTINCT file_name FROM traffic",
     "file_catalog": f"WITH {CATALOG} SELECT file_name, device, device_name, is_attack, diagnostic, attack_type, n_samples, n_features FROM catalog",
     "scan_projected": "SELECT CAST(l_quantity AS FLOAT) AS l_quantity, CAST(l_discount AS FLOAT) AS l_discount FROM lineitem",
@@ -418,6 +429,7 @@ ORACLES = {
     "prevalence_resample": f"WITH {predictions()}, {draws('pred', 30, 'floor', b.PREVALENCES)} SELECT prevalence, repeat, n_attack, tp, fp, tn, fn FROM drawn",
     "prevalence_sample": f"WITH {predictions()}, o AS (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5(row_key || '|42')) AS rn, count(*) FILTER (y_true = 0) OVER () AS nb FROM pred) SELECT row_key, y_true, y_pred, score FROM o WHERE y_true = 0 OR rn <= round_even(0.05::DOUBLE / (1 - 0.05::DOUBLE) * nb, 0)",
     "bootstrap_threshold": BOOTSTRAP,
+    "bootstrap_cv": "SELECT device_id, " + ", ".join(f"max(cv_threshold) FILTER (criterion = '{c}') AS {c.replace('.', '_')}" for c in ("P99", "P99.5", "P99.9")) + f" FROM ({BOOTSTRAP}) GROUP BY 1",
     # profiles
     "structural_summary": f"WITH {CATALOG}, s AS (SELECT count(*) AS n_files, CAST(sum(n_samples) AS BIGINT) AS n_samples, 4::BIGINT AS n_features, count(DISTINCT device) AS n_devices, count(DISTINCT diagnostic) FILTER (is_attack) AS n_families, count(DISTINCT attack_type) FILTER (is_attack) AS n_types FROM catalog) UNPIVOT s ON COLUMNS(*) INTO NAME metric VALUE value",
     "class_distribution": f"WITH {TRAFFIC} SELECT CASE WHEN is_attack THEN 'attack' ELSE 'benign' END AS class, count(*) AS n_samples, {st('count(*) * 100.0::DOUBLE / (SELECT count(*) FROM traffic)', 'percent')} FROM traffic GROUP BY 1",
@@ -459,8 +471,10 @@ ORACLES = {
     "extreme_type_metrics": f"WITH {predictions()} SELECT *, attack_family || ' - ' || attack_type AS attack_label FROM ({detection('device_id, attack_family, attack_type')}) WHERE device_id IN {tuple(EXTREME_DEVICES)}",
     "extreme_recall_pivot": f"WITH {predictions()} SELECT attack_family || ' - ' || attack_type AS attack_label, {PIVOT_DEVICES}, round(avg(recall), 9) AS mean_recall FROM ({detection('device_id, attack_family, attack_type')}) WHERE device_id IN {tuple(EXTREME_DEVICES)} GROUP BY 1",
     "mcc_threshold": f"WITH {predictions()}, {optimal(**MCC_GRID)} SELECT device_id, {st('threshold')}, {st('mcc')} FROM opt",
-    "mcc_threshold_global": f"WITH {predictions('AE global', 'p0')}, pred AS (SELECT * REPLACE (0 AS device_id) FROM p0), {optimal(100, 0.0, 0.5)} SELECT {st('threshold')}, {st('mcc')} FROM opt",
+    "mcc_threshold_global": f"WITH {predictions('AE global', 'p0')}, pred AS (SELECT * REPLACE (0 AS device_id) FROM p0), {optimal(**FLEET_GRID)} SELECT {st('threshold')}, {st('mcc')} FROM opt",
     "threshold_comparison": f"WITH {predictions()}, {optimal(**MCC_GRID)}, cur(device_id, ct) AS ({CURRENT}), j AS (SELECT p.*, ct, o.threshold AS ot, (score::DOUBLE > ct)::INT AS yc, (score::DOUBLE > o.threshold)::INT AS yo FROM pred p JOIN cur USING (device_id) JOIN opt o USING (device_id)), c AS (SELECT device_id, any_value(ct) AS ct, any_value(ot) AS ot, {cells('y_true', 'yc').replace(' AS ', ' AS current_')}, {cells('y_true', 'yo').replace(' AS ', ' AS optimal_')} FROM j GROUP BY 1) SELECT device_id, round(ct, 9) AS current_threshold, round(ot, 9) AS optimal_threshold, {', '.join(metrics(['recall', 'fpr', 'precision', 'mcc'], w + '_') for w in SCORE_PARTS)} FROM c",
+    "threshold_comparison_fleet": f"WITH {predictions('AE global')}, p0 AS (SELECT * REPLACE (0 AS device_id) FROM pred), {optimal(**FLEET_GRID, source='p0', name='o0')}, opt AS (SELECT DISTINCT pred.device_id, o0.threshold FROM pred, o0), cur(device_id, ct) AS ({CURRENT}), j AS (SELECT p.*, ct, o.threshold AS ot, (score::DOUBLE > ct)::INT AS yc, (score::DOUBLE > o.threshold)::INT AS yo FROM pred p JOIN cur USING (device_id) JOIN opt o USING (device_id)), c AS (SELECT device_id, any_value(ct) AS ct, any_value(ot) AS ot, {cells('y_true', 'yc').replace(' AS ', ' AS current_')}, {cells('y_true', 'yo').replace(' AS ', ' AS optimal_')} FROM j GROUP BY 1) SELECT device_id, round(ct, 9) AS current_threshold, round(ot, 9) AS optimal_threshold, {', '.join(metrics(['recall', 'fpr', 'precision', 'mcc'], w + '_') for w in SCORE_PARTS)} FROM c",
+    "mcc_threshold_ae": f"WITH {predictions('AE per device')}, {optimal(**AE_GRID)} SELECT device_id, {st('threshold')}, {st('mcc')} FROM opt",
     "score_histogram": histogram(False),
     "score_histogram_zoom": histogram(True),
     "roc_curve": f"WITH {strategies()}, {curve('strat', 'strategy')} SELECT strategy, score::DOUBLE AS threshold, round({ratio('cn', 'an')}, 9) AS fpr, round({ratio('cp', 'ap')}, 9) AS tpr FROM cum WHERE rn = 1 OR np IS NULL OR np <> pos OR nn <> neg UNION ALL SELECT DISTINCT strategy, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM strat",

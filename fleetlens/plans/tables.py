@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from fleetlens.operators import comparison, evaluation, profiling, records, sampling, scaling, thresholds as th
+from fleetlens.operators import comparison, evaluation, preparation, profiling, records, sampling, scaling, thresholds as th
+from fleetlens.operators.joins import with_scalars
 from fleetlens.plans import bindings as b
 from fleetlens.session import scratch_path, staged
 from fleetlens.sources import traffic as src
 
 DUP_FEATURES = ["quantity", "discount", "tax"]
 EXTREME_DEVICES = [2, 3, 7]
+# Candidate grids of the supervised thresholds, prevalences of the precision-recall curves.
 MCC_GRID = {"n_candidates": 1000, "min_quantile": 0.0, "max_quantile": 0.3}
+AE_GRID = {"n_candidates": 2000, "min_quantile": 0.0, "max_quantile": 0.5}
+FLEET_GRID = {"n_candidates": 100, "min_quantile": 0.0, "max_quantile": 0.5}
 PR_PREVALENCES = [0.10, 0.001]
 
 
@@ -59,6 +63,38 @@ def ingest_by_device(spark, sf_dir):
     return stored.groupBy("device_id", "is_attack", "attack_family", "attack_type").agg(F.count("*").alias("n"), *sums)
 
 
+def ingest_wide(spark, sf_dir):
+    """The ingest variant that keeps doubles, replacing the folder as a whole."""
+    path = scratch_path(spark, "ingest-wide")
+    src.write_traffic(src.label_rows(src.scan_csv(spark, _raw_csv(spark, sf_dir), b.FEATURES), as_float=False), path)
+    stored = spark.read.parquet(path)
+    sums = [F.round(F.sum(f), 2).alias(f"sum_{f}") for f in b.FEATURES]
+    return stored.groupBy("device_id", "is_attack", "attack_family", "attack_type").agg(F.count("*").alias("n"), *sums)
+
+
+def prepare_run(spark, sf_dir):
+    """The whole prepare job: rows of every stage, and the moments of the scaled train splits."""
+    stages = preparation.prepare(spark, _raw_csv(spark, sf_dir), b.FEATURES, scratch_path(spark, "prepare"))
+    read = lambda name: spark.read.parquet(stages.paths[name]).withColumn("device_id", F.col("device_id").cast("int"))
+    none = F.lit(None).cast("double")
+    total = F.round(F.sum(F.col("quantity").cast("double")), 2).alias("sum_quantity")
+
+    def scaled(name: str, device) -> DataFrame:
+        train = F.col("split") == "train"
+        means = sum((F.abs(F.avg(F.col(f).cast("double"))) for f in b.FEATURES[1:]), F.abs(F.avg(F.col(b.FEATURES[0]).cast("double"))))
+        spreads = sum((F.stddev_pop(F.col(f).cast("double")) for f in b.FEATURES[1:]), F.stddev_pop(F.col(b.FEATURES[0]).cast("double")))
+        rows = read(name).groupBy(device.alias("device_id"), "split").agg(F.count("*").alias("n"), none.alias("sum_quantity"), means.alias("m"), spreads.alias("s"))
+        when = lambda c: F.when(train, unsigned_zero(F.round(F.col(c) / len(b.FEATURES), 4)))
+        return rows.select(F.lit(name).alias("stage"), "device_id", "split", "n", "sum_quantity", when("m").alias("train_mean"), when("s").alias("train_std"))
+
+    plain = [
+        read(name).groupBy("device_id", split.alias("split")).agg(F.count("*").alias("n"), total).select(F.lit(name).alias("stage"), "*", none.alias("train_mean"), none.alias("train_std"))
+        for name, split in (("base", F.lit("all")), ("splits", F.col("split")))
+    ]
+    plain[1] = plain[1].withColumn("sum_quantity", none)
+    return plain[0].unionByName(plain[1]).unionByName(scaled("scaled_device", F.col("device_id"))).unionByName(scaled("scaled_fleet", F.lit(0)))
+
+
 def _summary_csv(spark, sf_dir) -> str:
     path = scratch_path(spark, "summary")
     table = b.file_summary(spark, sf_dir).select(
@@ -103,31 +139,26 @@ def artifact_sizes(spark, sf_dir):
     return src.artifact_sizes(spark, sf_dir, "*.parquet")
 
 
-RUN_SCHEMA = (
-    "experiment string, n_devices long, "
-    "devices map<string, struct<n_rows:bigint, n_attack:bigint, families:map<string,bigint>>>"
-)
+RUN_SCHEMA = "experiment string, summary struct<n_rows:bigint, n_attack:bigint, families:map<string,bigint>>, device_id int"
 
 
 def run_summary_scan(spark, sf_dir):
-    """Nested summaries written as JSON and read back as one row per device."""
+    """Nested summaries written as one JSON document per device and read back."""
     per_family = b.predictions(spark, sf_dir).groupBy("device_id", "attack_family").agg(F.count("*").alias("n"))
-    per_device = per_family.groupBy("device_id").agg(
+    documents = per_family.groupBy("device_id").agg(
+        F.lit("fleet").alias("experiment"),
         F.struct(
             F.sum("n").alias("n_rows"),
             F.coalesce(F.sum(F.when(F.col("attack_family") != "benign", F.col("n"))), F.lit(0)).alias("n_attack"),
             F.map_from_entries(F.collect_list(F.struct("attack_family", "n"))).alias("families"),
-        ).alias("summary")
-    )
-    nested = per_device.groupBy(F.lit("fleet").alias("experiment")).agg(
-        F.count("*").alias("n_devices"),
-        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("device_"), F.col("device_id").cast("string")), "summary"))).alias("devices"),
+        ).alias("summary"),
     )
     path = scratch_path(spark, "runs")
-    src.write_run_summaries(nested, path)
+    src.write_run_summaries(documents, path)
     return src.read_run_summaries(spark, path, RUN_SCHEMA).select(
-        "experiment", "n_devices", "device", "summary.n_rows", "summary.n_attack", F.col("summary.families")["gafgyt"].alias("n_gafgyt")
-    )
+        "experiment", "n_devices", F.concat(F.lit("device_"), F.col("device_id").cast("string")).alias("device"),
+        "summary.n_rows", "summary.n_attack", F.col("summary.families")["gafgyt"].alias("n_gafgyt"),
+    )
 
 
 def union_devices(spark, sf_dir):
@@ -260,6 +291,13 @@ def bootstrap_threshold(spark, sf_dir):
     )
 
 
+def bootstrap_cv(spark, sf_dir):
+    """Variation of the bootstrapped thresholds, device by criterion."""
+    criteria = {"P99": 0.99, "P99_5": 0.995, "P99_9": 0.999}
+    table = sampling.bootstrap_stability(_val_scores(spark, sf_dir), ["device_id"], "score", criteria)
+    return stable(th.criteria_pivot(table, list(criteria), "cv_threshold"))
+
+
 # ---- profiles ------------------------------------------------------------
 
 
@@ -451,7 +489,20 @@ def mcc_threshold(spark, sf_dir):
 
 def mcc_threshold_global(spark, sf_dir):
     rows = _stored_predictions(spark, sf_dir, "AE global")
-    return stable(evaluation.mcc_threshold(rows, [], n_candidates=100, min_quantile=0.0, max_quantile=0.5))
+    return stable(evaluation.mcc_threshold(rows, [], **FLEET_GRID))
+
+
+def mcc_threshold_ae(spark, sf_dir):
+    """Per device over the autoencoders' grid."""
+    return stable(evaluation.mcc_threshold(b.predictions(spark, sf_dir, "AE per device"), ["device_id"], **AE_GRID))
+
+
+def threshold_comparison_fleet(spark, sf_dir):
+    """The fleet's optimum, fitted once, judged device by device."""
+    rows = b.predictions(spark, sf_dir, "AE global")
+    best = evaluation.mcc_threshold(rows, [], **FLEET_GRID)
+    optimal = with_scalars(rows.select("device_id").distinct(), best.select("threshold"))
+    return evaluation.threshold_comparison(rows, b.thresholds(spark), optimal)
 
 
 def threshold_comparison(spark, sf_dir):
@@ -599,18 +650,18 @@ def fleet_report(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_csv, label_from_filename, ingest_by_device, file_manifest, file_catalog, scan_projected,
+        scan_csv, label_from_filename, ingest_by_device, ingest_wide, prepare_run, file_manifest, file_catalog, scan_projected,
         scores_with_metadata, split_counts, artifact_sizes, run_summary_scan, union_devices, history_scan,
         filter_benign, apply_threshold, threshold_lookup, repredict, score_group, parse_label, feature_grammar,
         strategy_union, split_benign, device_splits, global_splits, sample_exact, sample_stratified,
-        prevalence_resample, prevalence_sample, bootstrap_threshold, structural_summary, class_distribution,
+        prevalence_resample, prevalence_sample, bootstrap_threshold, bootstrap_cv, structural_summary, class_distribution,
         device_class_pivot, family_share, attack_type_totals, device_family_pivot, missing_profile, dup_public,
         dup_device, dup_global, duplicate_summary, duplicate_summary_device, duplicate_summary_global,
         duplicate_pivot, feature_variance, constant_features, low_variance_profile, scale_profile, range_topk,
         iqr_topk, window_correlation, feature_correlation, score_summary, boxplot_stats, ks_train_val,
         ks_train_val_global, threshold_criteria, threshold_fpr, threshold_criteria_reconstruction,
         threshold_criteria_fleet, confusion_matrix, global_metrics, device_metrics, family_metrics, type_metrics,
-        extreme_type_metrics, extreme_recall_pivot, mcc_threshold, mcc_threshold_global, threshold_comparison,
+        extreme_type_metrics, extreme_recall_pivot, mcc_threshold, mcc_threshold_global, threshold_comparison, mcc_threshold_ae, threshold_comparison_fleet,
         score_histogram, score_histogram_zoom, roc_curve, roc_auc, pr_curve, average_precision,
         prevalence_sensitivity, recalibrated_prevalence, operational_metrics, strategy_global, strategy_device_mcc,
         strategy_attack_recall, size_regression, scalability_table, training_curves, best_epoch, best_trial,

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from fleetlens.operators.joins import lookup_join
 from fleetlens.schema import PREDICTION_SCHEMA
 
 LABEL_SCHEMA = "struct<device_id:int,is_attack:boolean,attack_family:string,attack_type:string>"
@@ -157,12 +158,15 @@ def read_devices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_run_summaries(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    """Nested summaries: one JSON document per device, in a folder of its own."""
+    rows.write.mode("overwrite").partitionBy("device_id").json(path)
 
 
 def read_run_summaries(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Nested JSON summaries, one row per entry of their ``devices`` map."""
-    return spark.read.schema(schema).json(path).select("*", F.explode("devices").alias("device", "summary")).drop("devices")
+    """The documents of a run, one row per device, with the number of devices of their experiment."""
+    documents = spark.read.schema(schema).json(path)
+    sizes = documents.groupBy("experiment").agg(F.count("*").alias("n_devices"))
+    return lookup_join(documents, sizes, ["experiment"])
 
 
 def scan_histories(spark: SparkSession, path: str) -> DataFrame:
