@@ -92,7 +92,7 @@ def prepare(
 
     def base(path: str) -> None:
         scanned = src.scan_csv(spark, raw, features, T.DoubleType())
-        src.write_traffic(src.label_rows(scanned), path, compression=compression)
+        src.write_traffic(src.label_rows(scanned), path, compression=compression, whole=True)
 
     def splits(path: str) -> None:
         rows = _stored(spark, stages.paths["base"], features)

@@ -66,7 +66,7 @@ def ingest_by_device(spark, sf_dir):
 def ingest_wide(spark, sf_dir):
     """The ingest variant that keeps doubles, replacing the folder as a whole."""
     path = scratch_path(spark, "ingest-wide")
-    src.write_traffic(src.label_rows(src.scan_csv(spark, _raw_csv(spark, sf_dir), b.FEATURES), as_float=False), path)
+    src.write_traffic(src.label_rows(src.scan_csv(spark, _raw_csv(spark, sf_dir), b.FEATURES), as_float=False), path, whole=True)
     stored = spark.read.parquet(path)
     sums = [F.round(F.sum(f), 2).alias(f"sum_{f}") for f in b.FEATURES]
     return stored.groupBy("device_id", "is_attack", "attack_family", "attack_type").agg(F.count("*").alias("n"), *sums)

@@ -60,15 +60,15 @@ def label_rows(scanned: DataFrame, *, as_float: bool = True) -> DataFrame:
     return scanned.select(*kept, file_labels(F.col("file_name")).alias("l")).select(*features, "l.*")
 
 
-def write_traffic(traffic: DataFrame, path: str, *, compression: str = "snappy") -> None:
-    """One partitioned table; only the devices at hand are replaced.
+def write_traffic(traffic: DataFrame, path: str, *, compression: str = "snappy", whole: bool = False) -> None:
+    """One partitioned table; only the devices at hand are replaced, or with ``whole`` the table.
 
     Rebalancing keeps files few and still splits a device too large for one task.
     """
     (
         traffic.hint("rebalance", "device_id")
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .option("compression", compression)
         .partitionBy("device_id")
         .parquet(path)
