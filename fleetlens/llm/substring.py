@@ -6,7 +6,8 @@ window over it also starts in a document with a smaller key.
 1. Every document is winnowed: each window names its smallest word run of
    ``length // 3`` words as its anchor, so equal windows name equal anchors.
 2. Per anchor, the smallest key that has it is its leader. Windows of anchors
-   that only one document has cannot repeat and end here.
+   that only one document has cannot repeat and end here. The leaders of frequent
+   anchors, fewer than a thousand, go to the rows instead of the rows to them.
 3. The leaders' words around shared anchors are the reference. It is cut into
    shards of bounded size; a shard becomes a suffix automaton in the task that
    holds it, and the suspect words of other documents stream past it for their
@@ -36,6 +37,7 @@ from fleetlens.session import staged
 LENGTH = 50
 SHARD_WORDS = 60_000  # reference words of one automaton
 STREAM_WORDS = 2_000_000  # suspect words streamed past one copy of an automaton
+HOT_SHARE = 1000  # an anchor is hot when it has more than one row in so many
 SPAN = 1 << 22  # windows of one text winnowed at once
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # any odd numbers
 
@@ -250,11 +252,24 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(stream, _FOUND)
 
 
+def _with_leaders(anchors: DataFrame, leaders: DataFrame) -> DataFrame:
+    """``anchors`` with the leader of their h instead of h; a frequent anchor is joined where its rows are.
+
+    Anchors with more than one row in HOT_SHARE are fewer than HOT_SHARE, so their leaders are broadcast.
+    """
+    least = anchors.count() // HOT_SHARE
+    hot, cold = leaders.where(F.col("n") > least), leaders.where(F.col("n") <= least)
+    hot = F.broadcast(hot.select("h", "leader"))
+    rare = anchors.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold.select("h", "leader"), "h")
+    return anchors.join(hot, "h").unionByName(rare).drop("h")
+
+
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """(id, body, lo, hi): ranges of windows that also start in a row with a smaller id."""
     anchors = staged(_anchors(rows, length), "anchors")
-    leaders = anchors.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    shared = staged(anchors.join(leaders.select("h", "leader"), "h").drop("h"), "shared")
+    found = anchors.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n"))
+    leaders = staged(found.where("leader < last").select("h", "leader", "n"), "leaders")
+    shared = staged(_with_leaders(anchors, leaders), "shared")
     reference = F.col("leader") == F.col("id")
     words = F.col("hi") - F.col("lo") + length // 2
     total = shared.where(reference).agg(F.sum(words)).first()[0] or 0

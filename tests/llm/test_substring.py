@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 
 from fleetlens.llm import queries, substring
 
@@ -65,6 +66,15 @@ def test_named_query_equals_brute_force(spark):
     assert got == sorted(want) and any(r[2] for r in got)
 
 
+@pytest.mark.parametrize("share", [1, 10, 10**9])
+def test_frequent_anchors_do_not_change_the_result(spark, monkeypatch, share):
+    monkeypatch.setattr(substring, "HOT_SHARE", share)
+    passage = " ".join(f"p{j}" for j in range(25))
+    rows = [(i, f"a{i} b{i} {passage} c{i}" if i % 3 else f"d{i} {passage} e{i} {passage}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert cut(docs, 10) == brute(rows, 10)
+
+
 def test_shared_passages_small_shards_nulls_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(substring, "SHARD_WORDS", 200)
     monkeypatch.setattr(substring, "STREAM_WORDS", 300)
