@@ -171,6 +171,33 @@ def net() -> str:
     return ", ".join(sql)
 
 
+def principal(rounds: int = 16) -> str:
+    """Two leading eigenvectors of the covariance of standardised vectors, by repeated squaring and deflation.
+
+    CTEs z(id, j, v), vec<c>(j, v) with the largest loading positive, and val<c>(v).
+    """
+    ctes = [
+        "raw_ AS (SELECT vec_id AS id, unnest(range(0, 64))::INTEGER AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)",
+        "par AS (SELECT j, avg(v) AS mean, CASE WHEN stddev_pop(v) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(v) END AS scale FROM raw_ GROUP BY 1)",
+        "z AS MATERIALIZED (SELECT id, j, CAST((v - mean) / scale AS FLOAT)::DOUBLE AS v FROM raw_ JOIN par USING (j))",
+        "cov1 AS MATERIALIZED (SELECT a.j AS i, b.j, covar_samp(a.v, b.v) AS v FROM z a JOIN z b USING (id) GROUP BY 1, 2)",
+    ]
+    for c in (1, 2):
+        ctes.append(f"p{c}_0 AS MATERIALIZED (SELECT * FROM cov{c})")
+        for r in range(rounds):
+            ctes.append(
+                f"p{c}_{r + 1} AS MATERIALIZED (SELECT i, j, v / max(abs(v)) OVER () AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{c}_{r} a JOIN p{c}_{r} b ON a.j = b.i GROUP BY 1, 2))"
+            )
+        last = f"p{c}_{rounds}"
+        ctes += [
+            f"col{c} AS (SELECT i AS j, v FROM {last} WHERE j = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC, i LIMIT 1))",
+            f"vec{c} AS MATERIALIZED (SELECT j, v / sqrt(sum(v * v) OVER ()) * sign(max_by(v, abs(v)) OVER ()) AS v FROM col{c})",
+            f"val{c} AS (SELECT sum(a.v * m.v * b.v) AS v FROM cov{c} m JOIN vec{c} a ON a.j = m.i JOIN vec{c} b ON b.j = m.j)",
+            f"cov{c + 1} AS MATERIALIZED (SELECT m.i, m.j, m.v - l.v * a.v * b.v AS v FROM cov{c} m JOIN vec{c} a ON a.j = m.i JOIN vec{c} b ON b.j = m.j, val{c} l)",
+        ]
+    return ", ".join(ctes)
+
+
 def cast_score(expr: str) -> str:
     return f"round(CAST({expr} AS FLOAT)::DOUBLE, 4)"
 
@@ -193,6 +220,8 @@ ORACLES = {
     + " UNION ALL ".join(f"SELECT a.device_id, {s + 1} AS epoch, a.loss, z.val_loss FROM l{s} a JOIN l{s + 1} z USING (device_id)" for s in range(EXACT_EPOCHS))
     + f") SELECT device_id, 'model' AS config_id, epoch, round(loss, 7) AS loss, round(val_loss, 7) AS val_loss, {EXACT['learning_rate']}::DOUBLE AS learning_rate FROM h",
     "ae_detect": f"WITH {SCALED}, {unrolled('sdims')}, {exact_scores()}, {judged('es')}",
+    "pca_2d": f"WITH {principal()} SELECT vec_id, label >= 7 AS is_attack, round(sum(z.v * a.v), 6) AS pc1, round(sum(z.v * b.v), 6) AS pc2 FROM embeddings JOIN z ON z.id = vec_id JOIN vec1 a USING (j) JOIN vec2 b USING (j) GROUP BY 1, 2",
+    "pca_variance": f"WITH {principal()}, whole AS (SELECT sum(v) AS t FROM cov1 WHERE i = j), each_ AS (SELECT 'PC1' AS component, v FROM val1 UNION ALL SELECT 'PC2', v FROM val2) SELECT component, {st('v / t', 'ratio')}, {st('v / t * 100', 'percent')} FROM each_, whole",
     "pca_total_variance": "SELECT round(64.0 * count(*) / (count(*) - 1), 4) AS total_variance FROM embeddings",
     "ae_reconstruct": f"WITH {net()}, o AS (SELECT vec_id, unnest(range(0, 64))::INTEGER AS pos, round(CAST(unnest(h) AS FLOAT)::DOUBLE, 4) AS v FROM l3) SELECT vec_id, pos, CASE WHEN v = 0 THEN 0.0::DOUBLE ELSE v END AS value FROM o",
     "ae_encode": f"WITH {net()} SELECT vec_id, unnest(range(0, 3))::INTEGER AS pos, round(CAST(unnest(h) AS FLOAT)::DOUBLE, 4) AS value FROM l1",

@@ -13,22 +13,26 @@ from fleetlens.streaming.scoring import stream_score as start_stream
 
 K, KNN_K = 10, 15
 DEVICES = [1, 2, 3]
-# A small screening grid in the form of named configurations; README has the figures of full-size nets.
+# The named configurations of the screening grid and the search space of the autoencoders.
+_BASE = {"hidden_dims": [86, 57, 38], "latent_dim": 28}
+_COMPACT = {"hidden_dims": [64, 32], "latent_dim": 16}
+_REGULARIZED = {**_COMPACT, "activation": "leaky_relu", "dropout_rate": 0.1, "batch_norm": True, "l2_reg": 1e-4}
 SCREENING = {
-    "base_mse": {"hidden_dims": [24], "latent_dim": 8, "loss": "mse"},
-    "base_mae": {"hidden_dims": [24], "latent_dim": 8, "loss": "mae"},
-    "compact_mse": {"hidden_dims": [16], "latent_dim": 4, "loss": "mse"},
-    "regularized_mse": {"hidden_dims": [16], "latent_dim": 4, "activation": "leaky_relu", "dropout_rate": 0.1, "batch_norm": True, "l2_reg": 1e-4},
-    "regularized_mae": {"hidden_dims": [16], "latent_dim": 4, "activation": "leaky_relu", "dropout_rate": 0.1, "batch_norm": True, "l2_reg": 1e-4, "loss": "mae"},
-}
-TRAINING = {"epochs": 4, "batch_size": 64, "patience": 2}
+    "base_mse": {**_BASE, "loss": "mse"},
+    "base_mae": {**_BASE, "loss": "mae"},
+    "compact_mse": {**_COMPACT, "loss": "mse"},
+    "regularized_mse": {**_REGULARIZED, "loss": "mse"},
+    "regularized_mae": {**_REGULARIZED, "loss": "mae"},
+}
 AE_SPACE = {
-    "latent_dim": {"choices": [4, 8, 12]},
-    "learning_rate": {"low": 0.0005, "high": 0.01, "log": True},
+    "latent_dim": {"choices": [8, 12, 16, 24, 32]},
+    "learning_rate": {"low": 0.0001, "high": 0.005, "log": True},
     "dropout_rate": {"low": 0.0, "high": 0.2},
     "l2_reg": {"low": 0.0, "high": 0.0001},
     "batch_norm": {"choices": [False, True]},
 }
+# Fewer epochs than a full job has, over tables that are small; README has the figures of one with 100.
+TRAINING = {"epochs": 8, "batch_size": 64, "patience": 5}
 # The search space of the density detector, ten seeded candidates.
 LOF_SPACE = {"n_neighbors": {"low": 10, "high": 200}, "metric": {"choices": ["euclidean", "manhattan"]}}
 LOF_CANDIDATES = ae.suggest(LOF_SPACE, 10)
@@ -256,7 +260,7 @@ def ae_screening(spark, sf_dir):
 
 def ae_sweep(spark, sf_dir):
     trials, _, _ = ae.sweep(
-        _points(spark, sf_dir), {"hidden_dims": [16]}, ae.suggest(AE_SPACE, 4), DEVICES, **TRAINING
+        _points(spark, sf_dir), {"hidden_dims": [64, 32]}, ae.suggest(AE_SPACE, 10), DEVICES, **TRAINING
     )
     return trials
 
