@@ -432,7 +432,9 @@ def _apply(rows: DataFrame, models: DataFrame, output: str, schema: str, fn) ->
                             [*part.columns, pa.array([config] * len(at)), column], names=[*names, "config_id", output]
                         )
 
-        outputs.append(rows.mapInArrow(run, f"{fields}, config_id string, {output} {schema}"))
+        # Later waves pass over the rows of their devices only; the first also meets those that no model serves.
+        served = rows if FLEET in wave or not outputs else rows.where(F.col("device_id").isin(list(wave)))
+        outputs.append(served.mapInArrow(run, f"{fields}, config_id string, {output} {schema}"))
     if not outputs:
         raise ValueError("no models to apply")
     return reduce(DataFrame.unionByName, outputs)

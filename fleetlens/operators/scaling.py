@@ -46,8 +46,8 @@ def scaler_long(scaler: DataFrame, columns: list[str], by: str | None = "device_
 def apply_scaler(df: DataFrame, scaler: DataFrame, columns: list[str], by: str | None = "device_id") -> DataFrame:
     """(x - mean) / scale as float32 in place; other columns pass through."""
     if by:
-        joined = lookup_join(df, scaler, [by], "left")
-        joined = joined.withColumns({f"{n}_{c}": required(f"{n}_{c}", "scaler", by) for n in ("mean", "scale") for c in columns})
+        joined = lookup_join(df, scaler.withColumn("_known", F.lit(True)), [by], "left")
+        joined = joined.where(required("_known", "scaler", by))
         mean, scale = (lambda c: F.col(f"mean_{c}")), (lambda c: F.col(f"scale_{c}"))
     else:
         row, joined = scaler.first(), df

@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cores: str | int = "*", name: str = "fleetlens") -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     partitions = os.cpu_count() if cores == "*" else int(cores)
+    # Python workers find the package where this process found it.
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)

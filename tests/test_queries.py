@@ -16,7 +16,8 @@ QUICK = [
     "sample_stratified", "prevalence_resample", "structural_summary", "device_family_pivot", "duplicate_summary_global",
     "scale_profile", "feature_correlation", "score_summary", "ks_train_val", "threshold_criteria", "confusion_matrix",
     "device_metrics", "extreme_recall_pivot", "mcc_threshold", "score_histogram", "roc_curve", "operational_metrics",
-    "scalability_table", "best_trial", "scaler_fit", "lof_score", "ae_score_mse", "stream_score",
+    "scalability_table", "best_trial", "scaler_fit", "lof_score", "ae_score_mse", "stream_score", "prepare_run", "run_summary_scan",
+    "lof_refit_scores", "ae_train_step", "pca_2d", "threshold_comparison_fleet",
 ]
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 NAMES = sorted(ORACLES) if os.environ.get("FLEETLENS_ALL") else QUICK
