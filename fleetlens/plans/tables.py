@@ -655,8 +655,8 @@ QUERIES = {
         filter_benign, apply_threshold, threshold_lookup, repredict, score_group, parse_label, feature_grammar,
         strategy_union, split_benign, device_splits, global_splits, sample_exact, sample_stratified,
         prevalence_resample, prevalence_sample, bootstrap_threshold, bootstrap_cv, structural_summary, class_distribution,
-        device_class_pivot, family_share, attack_type_totals, device_family_pivot, missing_profile, dup_public,
-        dup_device, dup_global, duplicate_summary, duplicate_summary_device, duplicate_summary_global,
+        device_class_pivot, family_share, attack_type_totals, device_family_pivot, missing_profile,
+        duplicate_summary, duplicate_summary_device, duplicate_summary_global,
         duplicate_pivot, feature_variance, constant_features, low_variance_profile, scale_profile, range_topk,
         iqr_topk, window_correlation, feature_correlation, score_summary, boxplot_stats, ks_train_val,
         ks_train_val_global, threshold_criteria, threshold_fpr, threshold_criteria_reconstruction,
@@ -667,4 +667,4 @@ QUERIES = {
         strategy_attack_recall, size_regression, scalability_table, training_curves, best_epoch, best_trial,
         scaler_fit, scaler_apply, scale_splits, scale_splits_global, fleet_report,
     )
-}
+} | {"dup_public": dup_public, "dup_device": dup_device, "dup_global": dup_global}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from fleetlens.functions import dense
 from fleetlens.operators import autoencoder as ae, detection, lof, preparation
+from fleetlens.plans import tables
 from fleetlens.sources import traffic as src
 
 
@@ -131,3 +132,4 @@ def test_batches_do_not_depend_on_how_rows_arrive(spark):
 def test_every_query_is_a_function_of_session_and_folder():
     for name, query in entry_module.queries().items():
         assert inspect.isfunction(query) and len(inspect.signature(query).parameters) == 2, name
+    assert len(tables.QUERIES) == len({id(q) for q in tables.QUERIES.values()}) >= 92
