@@ -41,7 +41,7 @@ MODEL_SCHEMA = (
 HISTORY_SCHEMA = "device_id int, config_id string, epoch int, loss double, val_loss double, learning_rate double"
 # Parameter values the driver and a task may hold at once (a wave of models).
 WAVE_VALUES = 16_000_000
-CHUNK = 1024
+CHUNK = 16_384
 ROWS_PER_TASK = 4096
 # Fixed value: rows a shuffle buffer holds.
 BUFFER_ROWS = 50_000
