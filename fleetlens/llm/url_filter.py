@@ -10,7 +10,10 @@ A pattern is a domain, which covers its subdomains, or a domain and the first
 parts of a path, ended by a slash. A capture asks for every domain and path
 start of its url by equality, as deep as the deepest pattern of the log, and time is cut into buckets that join the key,
 so neither a busy host nor a pattern with a long history multiplies the other:
-per pattern there are at most as many rows as buckets and changes together.
+a bucket that is asked for meets the intervals that start in it and the one
+that reaches into it, so a list costs its entries and the questions, not its years.
+Hosts in brackets are one label; a final dot of a host is not part of it; names
+in punycode match patterns in punycode only.
 
 Defined results: captures without url or time match nothing; entries without
 list, pattern, time or with another action are ignored; repeated captures are
@@ -27,7 +30,8 @@ ADDED = ("n_block", "n_allow", "since", "verdict")
 
 
 def host_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1))
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^/?#\]]*\]|[^/?#:@]*)", 1)
+    return F.lower(F.regexp_replace(found, r"\.$", ""))
 
 
 def patterns_of(url: Column, slashes: int | None = None) -> Column:
@@ -37,7 +41,7 @@ def patterns_of(url: Column, slashes: int | None = None) -> Column:
     """
     host = host_of(url)
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
-    labels = F.split(host, r"\.")
+    labels = F.when(F.startswith(host, F.lit("[")), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pieces = F.split(path, "/")
     most = F.size(pieces) - 1
@@ -73,6 +77,29 @@ def validity(log: DataFrame, days: int = BUCKET_DAYS) -> DataFrame:
     return changes.join(following, moment).withColumn("valid_to", until).where("on").select(*key, F.col("ts").alias("valid_from"), "valid_to")
 
 
+def active(spans: DataFrame, wanted: DataFrame, days: int = BUCKET_DAYS) -> DataFrame:
+    """(list, pattern, bucket, valid_from, valid_to): the intervals that may hold in the wanted (pattern, bucket) pairs.
+
+    They start in that bucket, or are the one that reaches into it: intervals of one list and pattern are disjoint, so
+    it is the last to start in an earlier bucket. A long interval becomes a row of the buckets asked for, not of all
+    buckets it spans, and a window over one pattern holds one row per bucket with a start or a question.
+    """
+    key = ["list", "pattern"]
+    starts = spans.withColumn("bucket", _bucket("valid_from", days))
+    last = starts.groupBy(*key, "bucket").agg(F.max("valid_from").alias("valid_from"), F.max_by("valid_to", "valid_from").alias("valid_to"))
+    known = last.select(*key).distinct()
+    asked = wanted.join(known, "pattern").select(*key, "bucket", F.lit(True).alias("asked"))
+    line = last.withColumn("asked", F.lit(False)).unionByName(asked, allowMissingColumns=True)
+    merged = line.groupBy(*key, "bucket").agg(F.max("asked").alias("asked"), F.max("valid_from").alias("start"), F.max("valid_to").alias("stop"))
+    # The end of the last start alone: an open interval must not take the end of an older one.
+    latest = F.last(F.when(F.col("start").isNotNull(), F.struct("start", "stop")), ignorenulls=True)
+    earlier = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    reaching = merged.withColumn("held", latest.over(earlier)).where("asked AND held IS NOT NULL")
+    reaching = reaching.select(*key, "bucket", F.col("held.start").alias("valid_from"), F.col("held.stop").alias("valid_to"))
+    reaching = reaching.where(F.col("valid_to").isNull() | (_bucket("valid_to", days) >= F.col("bucket")))
+    return starts.select(*key, "bucket", "valid_from", "valid_to").join(wanted, ["pattern", "bucket"], "left_semi").unionByName(reaching)
+
+
 def judge(captures: DataFrame, log: DataFrame, url: str = "url", fetched: str = "fetched", days: int = BUCKET_DAYS) -> DataFrame:
     """The captures with n_block and n_allow (active patterns of the lists ``block`` and ``allow`` that cover them),
     since (start of the oldest of them) and verdict: allowed if any allows, else blocked if any blocks, else open.
@@ -80,15 +107,7 @@ def judge(captures: DataFrame, log: DataFrame, url: str = "url", fetched: str =
     asked = captures.where(F.col(url).isNotNull() & F.col(fetched).isNotNull()).select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).distinct()
     slashes = log.agg(F.max(F.length("pattern") - F.length(F.replace("pattern", F.lit("/")))).alias("n")).first()["n"] or 0  # one row
     asked = asked.withColumn("pattern", F.explode(patterns_of(F.col("_url"), slashes))).withColumn("bucket", _bucket("_at", days))
-    # One row bounds the buckets that open intervals are laid out over.
-    ends = asked.agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi")).first()
-    if ends["lo"] is None:
-        ends = {"lo": 0, "hi": -1}
-    spans = validity(log, days)
-    first = F.greatest(_bucket("valid_from", days), F.lit(ends["lo"]))
-    final = F.least(F.coalesce(_bucket("valid_to", days), F.lit(ends["hi"])), F.lit(ends["hi"]))
-    laid = spans.withColumn("first", first).withColumn("final", final).where("first <= final")
-    laid = laid.withColumn("bucket", F.explode(F.sequence("first", "final"))).drop("first", "final")
+    laid = active(validity(log, days), asked.select("pattern", "bucket").distinct(), days)
     holds = (F.col("valid_from") <= F.col("_at")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     met = asked.join(laid, ["pattern", "bucket"]).where(holds)
     found = met.groupBy("_url", "_at").agg(

@@ -16,6 +16,7 @@ def at(hours):
     [
         ("http://a.b.c/x/y/z?q=/no/#f", {"a.b.c", "b.c", "c", "a.b.c/", "a.b.c/x/", "a.b.c/x/y/"}),
         ("HTTPS://user:pw@A.B:8080", {"a.b", "b"}), ("ftp://h/", {"h", "h/"}), ("no url", set()), ("", set()), (None, None),
+        ("http://[2001:DB8::1.2.3.4]:80/x", {"[2001:db8::1.2.3.4]", "[2001:db8::1.2.3.4]/"}), ("http://u@a.b./", {"a.b", "b", "a.b/"}),
     ],
 )
 def test_patterns_of_a_url(spark, url, want):
@@ -73,3 +74,15 @@ def test_patterns_of_any_depth_match(spark):
     df = spark.createDataFrame(captures, "id int, url string, fetched timestamp")
     got = url_filter.judge(df, spark.createDataFrame(log, "list string, pattern string, action string, ts timestamp")).collect()
     assert sorted((r.id, r.n_block, r.n_allow, r.verdict) for r in got) == brute(captures, log) == [(1, 1, 0, "blocked"), (2, 0, 0, "open"), (3, 0, 0, "open")]
+
+
+def test_long_intervals_cost_only_the_buckets_asked_for(spark):
+    log = [("block", f"h{i}.org", "add", at(i)) for i in range(50)] + [("allow", "h3.org", "add", at(30)), ("allow", "h3.org", "remove", at(200_000))]
+    entries = spark.createDataFrame(log, "list string, pattern string, action string, ts timestamp")
+    captures = [(1, "http://h3.org/", at(0)), (2, "http://h3.org/", at(100_000)), (3, "http://h3.org/", at(300_000)), (4, "http://h4.org/", at(4))]
+    df = spark.createDataFrame(captures, "id int, url string, fetched timestamp")
+    got = url_filter.judge(df, entries).collect()
+    assert sorted((r.id, r.n_block, r.n_allow, r.verdict) for r in got) == brute(captures, log)
+    wanted = df.select(F.regexp_extract("url", "//([^/]*)", 1).alias("pattern"), url_filter._bucket("fetched", 1).alias("bucket"))
+    laid = url_filter.active(url_filter.validity(entries), wanted).collect()
+    assert len(laid) <= 2 * len(captures) and len({tuple(r) for r in laid}) == len(laid)
