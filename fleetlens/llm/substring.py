@@ -8,10 +8,13 @@ window over it also starts in a document with a smaller key.
 2. Per anchor, the smallest key that has it is its leader. Windows of anchors
    that only one document has cannot repeat and end here. The leaders of frequent
    anchors, fewer than a thousand, go to the rows instead of the rows to them.
-3. The leaders' words around shared anchors are the reference. It is cut into
-   shards of bounded size; a shard becomes a suffix automaton in the task that
-   holds it, and the suspect words of other documents stream past it for their
-   matching statistics. A shard with many suspects is built in several tasks.
+3. The leaders' words around shared anchors are the reference. A leader is cut
+   into pieces by the place of the anchor, and every window that names an anchor
+   goes with it, so a suspect needs one piece only. Pieces are dealt into shards;
+   of a piece that repeats itself only distinct windows are kept. A shard becomes
+   a suffix automaton in the task that holds it, and the suspect words of other
+   documents stream past it for their matching statistics. A shard with many
+   suspects is built in several tasks.
    The corpus is its own reference here and grows with it, so shards are dealt
    out with their suspects, not sent to every task.
 4. Suspect windows that their leader's shard does not have (edges of passages,
@@ -32,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fleetlens.llm.text import grams, mix, powers, text_buffer, word_hashes
+from fleetlens.operators.joins import lookup_join
 from fleetlens.session import staged
 
 LENGTH = 50
 SHARD_WORDS = 60_000  # reference words of one automaton
+PIECES = 4  # pieces of a long leader that fill a shard
 STREAM_WORDS = 2_000_000  # suspect words streamed past one copy of an automaton
 HOT_SHARE = 1000  # an anchor is hot when it has more than one row in so many
 SPAN = 1 << 22  # windows of one text winnowed at once
@@ -161,6 +166,19 @@ def _runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _distinct(words: np.ndarray, ranges: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """The ranges of windows without those that occur earlier in them."""
+    at = np.concatenate([np.arange(lo, hi + 1) for lo, hi in ranges])
+    one, two = (k[at] for k in _window_keys(words, length))
+    order = np.lexsort((at, two, one))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0)
+    kept = np.sort(at[order[new]])
+    cut = np.flatnonzero(np.diff(kept) > 1) + 1
+    first, last = np.concatenate(([0], cut)), np.concatenate((cut, [len(kept)])) - 1
+    return list(zip(kept[first].tolist(), kept[last].tolist(), strict=True))
+
+
 _SEGMENT = "shard int, part int, role int, owner long, body long, lo long, words binary"
 
 
@@ -180,7 +198,10 @@ def _segments(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
                     for s in own:
                         groups.setdefault((s["shard"], s["parts"], s["leader"] != owner, s["leader"]), []).append((s["lo"], s["hi"]))
                     for (shard, parts, suspect, leader), ranges in groups.items():
-                        for lo, hi in _runs(ranges):
+                        ranges = _runs(ranges)
+                        if not suspect and sum(hi - lo + 1 for lo, hi in ranges) > SHARD_WORDS // PIECES:
+                            ranges = _distinct(words[first[k] : first[k + 1]], ranges, length)
+                        for lo, hi in ranges:
                             raw = words[first[k] + lo : first[k] + hi + length].tobytes()
                             if suspect:
                                 out.append((shard, (owner * 31 + lo) % parts, 1, owner, body, lo, raw))
@@ -253,30 +274,32 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
 
 
 def _with_leaders(anchors: DataFrame, leaders: DataFrame) -> DataFrame:
-    """``anchors`` with the leader of their h instead of h; a frequent anchor is joined where its rows are.
+    """``anchors`` with leader and piece of their h instead of h; a frequent anchor is joined where its rows are.
 
     Anchors with more than one row in HOT_SHARE are fewer than HOT_SHARE, so their leaders are broadcast.
     """
     least = anchors.count() // HOT_SHARE
     hot, cold = leaders.where(F.col("n") > least), leaders.where(F.col("n") <= least)
-    hot = F.broadcast(hot.select("h", "leader"))
-    rare = anchors.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold.select("h", "leader"), "h")
+    hot = F.broadcast(hot.select("h", "leader", "piece"))
+    rare = anchors.join(F.broadcast(hot.select("h")), "h", "left_anti").join(cold.select("h", "leader", "piece"), "h")
     return anchors.join(hot, "h").unionByName(rare).drop("h")
 
 
 def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """(id, body, lo, hi): ranges of windows that also start in a row with a smaller id."""
     anchors = staged(_anchors(rows, length), "anchors")
-    found = anchors.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n"))
-    leaders = staged(found.where("leader < last").select("h", "leader", "n"), "leaders")
+    # Any place of the anchor in its leader names the piece; the written table fixes which.
+    place = F.floor(F.min_by("lo", "id") / (SHARD_WORDS // PIECES)).cast("int")
+    found = anchors.groupBy("h").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n"), place.alias("piece"))
+    leaders = staged(found.where("leader < last").select("h", "leader", "piece", "n"), "leaders")
     shared = staged(_with_leaders(anchors, leaders), "shared")
     reference = F.col("leader") == F.col("id")
     words = F.col("hi") - F.col("lo") + length // 2
     total = shared.where(reference).agg(F.sum(words)).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    placed = shared.withColumn("shard", F.pmod(F.xxhash64("leader"), F.lit(shards)).cast("int"))
+    placed = shared.withColumn("shard", F.pmod(F.xxhash64("leader", "piece"), F.lit(shards)).cast("int"))
     parts = placed.where(~reference).groupBy("shard").agg(F.ceil(F.sum(words) / STREAM_WORDS).cast("int").alias("parts"))
-    spans = placed.join(parts, "shard").groupBy("id", "body").agg(
+    spans = lookup_join(placed, parts, ["shard"]).groupBy("id", "body").agg(
         F.collect_list(F.struct("shard", "parts", "leader", "lo", "hi")).alias("spans")  # bounded by the row's own text
     )
     found = staged(_matched(_segments(rows, spans, length), length), "matched")

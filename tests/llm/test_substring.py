@@ -75,6 +75,33 @@ def test_frequent_anchors_do_not_change_the_result(spark, monkeypatch, share):
     assert cut(docs, 10) == brute(rows, 10)
 
 
+def test_distinct_windows_of_a_repetitive_text():
+    words = np.tile(np.arange(7, dtype=np.uint64), 40)
+    assert substring._distinct(words, [(0, 100), (150, 270)], 10) == [(0, 6)]
+    words[170] = 99
+    got = substring._distinct(words, [(0, 100), (150, 270)], 10)
+    assert got == [(0, 6), (161, 170)]
+
+
+@pytest.mark.parametrize("period", [10**9, 37])
+def test_a_long_leader_is_cut_into_pieces(spark, monkeypatch, period):
+    monkeypatch.setattr(substring, "SHARD_WORDS", 2000)
+    monkeypatch.setattr(substring, "STREAM_WORDS", 3000)
+    dealt, made = {}, substring._segments
+
+    def seen(*args):
+        table = made(*args).cache()
+        for r in table.where("role = 0").collect():
+            dealt[r.shard, r.part] = dealt.get((r.shard, r.part), 0) + len(r.words) // 8
+        return table
+
+    monkeypatch.setattr(substring, "_segments", seen)
+    long = [f"w{j % period}" for j in range(20_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(["x"] + long[5_000:9_000] + ["y"] + long[8_990:9_020])), (4, " ".join(long[100:149]))]
+    assert cut(spark.createDataFrame(rows, "doc_id long, text string"), 50) == brute(rows, 50)
+    assert max(dealt.values()) <= 3 * 2000 and (len(dealt) > 5 or period == 37)
+
+
 def test_shared_passages_small_shards_nulls_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(substring, "SHARD_WORDS", 200)
     monkeypatch.setattr(substring, "STREAM_WORDS", 300)
