@@ -11,7 +11,7 @@ agree pay for the sort that finds the covered words.
 Defined results: a null text counts as empty (no words, so ``few_words``
 fails); repeated rows give repeated rows; an empty table gives an empty
 ledger; columns of the input other than the key and the text are not carried
-unless named in ``keep``, so clashing names cannot occur.
+unless named in ``keep``, which names that the ledger gives itself are not let into.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fleetlens.session import staged
+
 # White space between words, symbols counted, window length in words.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -53,6 +55,9 @@ RULES = [
     _rule("ellipses", "10 * n_ellipsis_lines > 3 * n_lines"),
 ]
 BASE = ("few_words", "repeated_windows")
+MEASUREMENTS = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_digits", "n_capitals", "n_bullet_lines", "n_ellipsis_lines",
+)
 # Policy versions: names of the rules that reject.
 POLICIES = {
     "base": BASE,
@@ -98,7 +103,7 @@ def _repeated(windows: Column) -> Column:
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(key, keep..., measurements..., rule_bits): one row per input row."""
-    kept = [c for c in keep or [] if c != key]
+    kept = [c for c in keep or [] if c not in (key, *MEASUREMENTS, "rule_bits")]
     base = docs.select(key, *kept, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     split = base.select(
         key, *kept,
@@ -176,8 +181,14 @@ def ablations(rows: DataFrame) -> DataFrame:
     )
 
 
+def stored_ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The ledger of whole rows (``_row``), written below the shared folder as ``quality-ledger-*`` and read again.
+
+    Later policies and ablations are asked of the written table; only the columns they name are read.
+    """
+    return staged(ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body")), "_row", "_body"), "quality-ledger")
+
+
 def quality_stage(docs: DataFrame, policy: str = CURRENT, text: str = "text") -> DataFrame:
-    """The input rows, columns unchanged, that the policy keeps."""
-    rows = ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body")), "_row", "_body")
-    judged = apply_policy(rows, policy).where("kept")
-    return judged.select("_row.*")
+    """The input rows, columns unchanged, that the policy keeps; bits and measurements of all stay in the stored ledger."""
+    return apply_policy(stored_ledger(docs, text), policy).where("kept").select("_row.*")

@@ -91,6 +91,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy decides over all documents."""
+    return quality.ablations(quality.ledger(_read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = extraction.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -140,3 +145,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_packing": op12_packing,
     "op13_conversation_repair": op13_conversation_repair,
 }
+# Reports on stored results of the operators, beside their own queries.
+REPORTS = {"quality_ablations": quality_ablations}

@@ -6,7 +6,7 @@ from fleetlens.llm import quality
 
 _BITS = " + ".join(f"CASE WHEN {r.sql} THEN {1 << i} ELSE 0 END" for i, r in enumerate(quality.RULES))
 
-OP9 = rf"""
+_LEDGER = rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents
 ), words AS (
@@ -32,12 +32,25 @@ WITH base AS (
          len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}}) *$'))) AS n_ellipsis_lines
   FROM words LEFT JOIN covered USING (rid)
 ), b AS (SELECT *, CAST({_BITS} AS BIGINT) AS rule_bits FROM m)
+"""
+OP9 = _LEDGER + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        rule_bits = 0 AS kept, rule_bits
 FROM b
 """
 
+_PLACE = {r.name: i for i, r in enumerate(quality.RULES)}
+_CASES = ", ".join(
+    f"('{policy}', '{rule}', {sum(2 ** _PLACE[r] for r in names)}, {2 ** _PLACE[rule]})" for policy, names in quality.POLICIES.items() for rule in names
+)
+ABLATIONS = _LEDGER + f"""
+SELECT policy, rule, count(*) AS n_docs, CAST(count_if(rule_bits & one <> 0) AS BIGINT) AS n_failed,
+       CAST(count_if(rule_bits & whole = 0) AS BIGINT) AS n_kept, CAST(count_if(rule_bits & whole = one) AS BIGINT) AS n_only
+FROM b CROSS JOIN (VALUES {_CASES}) AS cases(policy, rule, whole, one)
+GROUP BY policy, rule
+"""
+
 _REACH = """
 reach AS (
   SELECT id, id AS other FROM ids
@@ -222,3 +235,5 @@ ORACLES: dict[str, str] = {
     "op11_lexical_search": OP11,
     "op13_conversation_repair": OP13,
 }
+# Reports on stored results of the operators, beside their own queries.
+REPORTS: dict[str, str] = {"quality_ablations": ABLATIONS}

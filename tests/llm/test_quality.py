@@ -3,7 +3,7 @@ import re
 import duckdb
 import pytest
 
-from fleetlens.llm import quality, sql
+from fleetlens.llm import quality, queries, sql
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bits"]
 
@@ -67,4 +67,36 @@ def test_policies_and_ablations_follow_from_the_bits(spark, policy):
 def test_ledger_plan_stays_in_the_jvm_without_a_shuffle(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plan = quality.quality_stage(docs)._jdf.queryExecution().executedPlan().toString()
+    plan += quality.apply_policy(quality.ledger(docs))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_the_stage_stores_its_ledger(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, -1, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_words long, rule_bits string")
+    tables, write = [], quality.staged
+    monkeypatch.setattr(quality, "staged", lambda rows, label: tables.append((label, write(rows, label))) or tables[-1][1])
+    kept = quality.quality_stage(docs)
+    (label, stored), = tables
+    assert label == "quality-ledger" and stored.count() == len(TEXTS) and set(quality.MEASUREMENTS) < set(stored.columns)
+    assert kept.columns == docs.columns and kept.count() == stored.where("rule_bits = 0").count()
+    assert sorted(map(tuple, quality.ablations(stored).collect())) == sorted(map(tuple, quality.ablations(quality.ledger(docs)).collect()))
+    plain = quality.ledger(docs, keep=["n_words", "rule_bits", "doc_id"])
+    assert plain.columns == ["doc_id", *quality.MEASUREMENTS, "rule_bits"] and plain.where("n_words = -1").count() == 0
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 90_001}" for i in range(300_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "word " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.ledger(docs).collect()}
+    assert (got[1].n_words, got[1].n_repeat_words) == (300_000, brute_repeats(words)) and got[2].n_repeat_words == 300_000
+
+
+def test_the_report_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for name, report in queries.REPORTS.items():
+        cursor = con.execute(sql.REPORTS[name])
+        got = report(spark, folder)
+        assert got.columns == [d[0] for d in cursor.description]
+        assert sorted(map(tuple, got.collect())) == sorted(cursor.fetchall())

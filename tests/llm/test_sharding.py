@@ -56,3 +56,44 @@ def test_nulls_copies_and_clashing_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
     check(docs.collect(), sharding.shard_rows(docs, 4).collect(), 4)
     assert sharding.shard_rows(docs.limit(0)).count() == 0
+
+
+MASK = (1 << 64) - 1
+
+
+def place_of(number, n, seed=0):
+    """The Feistel place of one number, in plain integers."""
+    half = 1
+    while 1 << (2 * half) < n:
+        half += 1
+    low = (1 << half) - 1
+    while True:
+        left, right = number >> half, number & low
+        for r in range(6):
+            x = (right + seed * 0x9E3779B97F4A7C15 + (r + 1) * 0xC2B2AE3D27D4EB4F) & MASK
+            for _ in range(2):
+                x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
+            left, right = right, left ^ (x ^ (x >> 32)) & low
+        number = left << half | right
+        if number < n:
+            return number
+
+
+@pytest.mark.parametrize("seed", [0, 2024])
+def test_shards_and_slots_follow_from_row_numbers_alone(spark, seed):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = sharding.shard_rows(docs, 8, seed).collect()
+    n = len(rows)
+    assert sorted(r.row_number for r in rows) == list(range(n))
+    for r in rows:
+        place = place_of(r.row_number, n, seed)
+        assert (r.place, r.shard, r.slot) == (place, place % 8, place // 8)
+    if seed == 2024:
+        named = {(r.doc_id, r.shard, r.slot) for r in queries.op2_sharding(spark, SF).collect()}
+        assert named == {(r.doc_id, r.shard, r.slot) for r in rows}
+
+
+def test_very_long_texts(spark):
+    rows = [(i, "é" * (1_000_000 * (i % 2) + i)) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(docs.collect(), sharding.shard_rows(docs, 4).collect(), 4)
