@@ -155,3 +155,19 @@ def test_search_space_rules():
         dense.complete({"reconstruction_error": "huber"}, 3)
     with pytest.raises(ValueError):
         dense.complete({"optimizer": "lbfgs"}, 3)
+
+
+def test_blocks_of_pairs_are_not_merged_into_one_task(spark):
+    """Blocks are dealt to tasks of their own, however few bytes they have; distances by tiles are exact."""
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(700, 5)).astype("float32")
+    rows = [(1 + i % 2, i, [float(x) for x in p]) for i, p in enumerate(points)]
+    table = spark.createDataFrame(rows, "device_id int, id long, features array<float>")
+    near = neighbors.knn_join(table, table, 4, metric="manhattan", exclude_self=True)
+    assert near.rdd.getNumPartitions() >= neighbors.BLOCKS_A_CORE * spark.sparkContext.defaultParallelism
+    found = {r["id"]: [n["id"] for n in r["neighbors"]] for r in near.collect()}
+    far = np.abs(points[:, None].astype("float64") - points[None].astype("float64")).sum(axis=2)
+    np.testing.assert_allclose(neighbors.distance_matrix(points.astype("float64"), points.astype("float64"), "manhattan"), far, rtol=1e-12)
+    far[np.arange(700) % 2 != (np.arange(700) % 2)[:, None]] = np.inf
+    np.fill_diagonal(far, np.inf)
+    assert found == {i: list(np.lexsort((np.arange(700), far[i]))[:4]) for i in range(700)}
