@@ -1,7 +1,10 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlens.functions.expressions import half_up
 from fleetlens.operators import sampling
 
 
@@ -73,3 +76,27 @@ def test_bootstrap_agrees_with_plain_resampling(spark):
         assert r["std_threshold"] == pytest.approx(plain.std(ddof=1), rel=0.08)
         assert r["ci_2_5"] == pytest.approx(np.percentile(plain, 2.5), rel=0.03)
         assert r["ci_97_5"] == pytest.approx(np.percentile(plain, 97.5), rel=0.03)
+
+
+def test_seeded_orders_are_compiled(spark):
+    """Repeats are hashed as rows; no lambda over an array is left in the plan."""
+    rows = spark.createDataFrame([("a", 0), ("b", 1)], "k string, y_pred int").withColumn("_bound", F.lit("1"))
+    orders = sampling._orders(rows, "k", ["y_pred"], 3, 42)
+    assert "lambda" not in orders._jdf.queryExecution().executedPlan().toString()
+    want = {(y, r, hashlib.md5(f"{k}|{42 + r}".encode()).hexdigest()) for k, y in (("a", 0), ("b", 1)) for r in range(3)}
+    assert {(x["y_pred"], x["repeat"], x["order"]) for x in orders.collect()} == want
+
+
+def test_prevalence_samples_are_compiled(spark):
+    """Samples are picked by a comparison of rows; no lambda over an array is left in the plan."""
+    rows = spark.range(60).select(F.col("id").cast("string").alias("k"), (F.col("id") % 3 > 0).cast("byte").alias("y_true"), F.lit(1).alias("y_pred"))
+    samples = sampling.prevalence_samples(rows, "k", [0.5, 0.2])
+    assert "lambda" not in samples._jdf.queryExecution().executedPlan().toString()
+    counts = {(r["prevalence"], r["y_true"]): r["count"] for r in samples.groupBy("prevalence", "y_true").count().collect()}
+    assert counts == {(0.5, 0): 20, (0.5, 1): 20, (0.2, 0): 20, (0.2, 1): 5}
+
+
+def test_half_up_equals_round(spark):
+    values = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 1e15 + 0.5, 4503599627370497.5, 123.45 * 100, 1.005 * 100, None]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(half_up(F.col("v")).alias("a"), F.round("v").cast("long").alias("b"))
+    assert all(r["a"] == r["b"] for r in got.collect())
