@@ -142,3 +142,13 @@ def test_counts_above_points(spark):
     points = spark.createDataFrame([(1, t) for t in (0.5, 1.0, 1.5, 2.0)], "d int, threshold double")
     got = {r["threshold"]: (r["tp"], r["fp"], r["tn"], r["fn"]) for r in _counts_above(rows, points, ["d"]).collect()}
     assert got == {0.5: (3, 1, 0, 0), 1.0: (2, 0, 1, 1), 1.5: (2, 0, 1, 1), 2.0: (0, 0, 1, 3)}
+
+
+def test_finer_buckets_leave_the_source(spark, tmp_path, monkeypatch):
+    """Rows of full buckets are written once; later steps do not read the source again."""
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", 4)
+    spark.range(3000).select((F.col("id") % 7 + 100 + F.col("id") / 1e6).alias("x")).write.parquet(str(tmp_path / "source"))
+    table = spark.read.parquet(str(tmp_path / "source"))
+    found = ordering.quantiles(table, [], "x", {"q": 0.5})
+    assert not [f for f in found.inputFiles() if "source" in f]
+    assert found.first()["q"] == table.agg(F.percentile("x", F.lit(0.5))).first()[0]
