@@ -31,6 +31,14 @@ def test_auc_and_curves_with_ties(spark):
     assert evaluation.pr_curve(df, ["device_id"]).where("threshold is null").first()["precision"] == 1.0
 
 
+def test_a_row_without_score_comes_behind_negative_scores(spark):
+    rows = [(1, None, 0), (1, -1.0, 1), (1, -2.0, 0), (1, 3.0, 1), (1, 0.0, 0)]
+    df = spark.createDataFrame(rows, "device_id int, score float, y_true int")
+    found = [(r["threshold"], round(r["fpr"], 3), r["tpr"]) for r in evaluation.roc_curve(df, ["device_id"]).orderBy(F.desc("threshold")).collect()]
+    # The step to null repeats that to -2, so -2 is no corner.
+    assert found == [(float("inf"), 0.0, 0.0), (3.0, 0.0, 0.5), (0.0, 0.333, 0.5), (-1.0, 0.333, 1.0), (None, 1.0, 1.0)]
+
+
 def test_auc_is_invariant_under_monotone_maps(spark):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 500)
