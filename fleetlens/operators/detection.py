@@ -66,9 +66,10 @@ def detect_lof(points: DataFrame, path: str, candidates: list[dict], *, quantile
     """
     spark = points.sparkSession
     part = lambda split: points.where(F.col("split") == split).select("device_id", "id", "features")
-    trials, best = lof.lof_sweep(part("train"), part("val"), candidates, quantile=quantile)
+    lists: dict[str, DataFrame] = {}
+    trials, best = lof.lof_sweep(part("train"), part("val"), candidates, quantile=quantile, lists=lists)
     trials.write.mode("overwrite").parquet(f"{path}/trials")
-    lof.save_model(lof.lof_refit(part("train"), staged(best, "best-trials")), f"{path}/model")
+    lof.save_model(lof.lof_refit(part("train"), staged(best, "best-trials"), lists), f"{path}/model")
     model = lof.load_model(spark, f"{path}/model")
     return _finish(points, lambda rows: lof.lof_rescore(rows.select("device_id", "id", "features"), model), path, criterion, fleet=False)
 

@@ -171,3 +171,45 @@ def test_blocks_of_pairs_are_not_merged_into_one_task(spark):
     far[np.arange(700) % 2 != (np.arange(700) % 2)[:, None]] = np.inf
     np.fill_diagonal(far, np.inf)
     assert found == {i: list(np.lexsort((np.arange(700), far[i]))[:4]) for i in range(700)}
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_fast_distances_lose_no_neighbour_at_any_scale(spark, metric):
+    """Far from the origin, tiny, huge and not finite: the slack of single precision covers its rounding."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    plain = rng.normal(size=(400, 9)).astype("float32")
+    odd = plain.copy()
+    odd[7], odd[9] = np.inf, np.nan
+    for points in (plain, plain + np.float32(5000), plain * np.float32(1e-30), plain * np.float32(1e30), odd):
+        lists = pa.array(points.tolist(), pa.list_(pa.float32()))
+        number = pa.array(np.arange(400))
+        train = pa.table([number, lists], ["id", "features"])
+        asked = pa.table([pa.array([1] * 400, pa.int32()), number, number, lists, pa.array(np.full(400, np.inf))], ["device_id", "rid", "id", "features", "bound"])
+        found = neighbors._nearest(6, metric)(asked, train).to_pylist()
+        wide = points.astype("float64")
+        for i in range(0, 400, 21) if points is not odd else range(20, 400, 21):
+            far = neighbors.pair_distances(np.repeat(wide[i][None], 400, 0), wide, metric)
+            assert [n["id"] for n in found[i]["nn"]] == list(np.lexsort((np.arange(400), far))[:6])
+    # Points of single precision are taken as they are, whatever their distance from the origin.
+    values, rated, slack = neighbors._rough(wide[20:], wide[20:], metric)(slice(0, 5))
+    assert values.dtype == np.float32 and values.shape == (5, 380) and (slack(values[:, 0]) < 1e-3).all() and rated(3.0) in (3.0, 9.0)
+
+
+def test_a_sweep_takes_one_join_per_metric_and_a_refit_none(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    train, val = (_points(spark, {d: rng.normal(size=(n, 3)) for d in (1, 2)}) for n in (60, 20))
+    val = val.withColumn("id", F.col("id") + 1000)
+    candidates = [{"number": i, "n_neighbors": k, "metric": m} for i, (k, m) in enumerate([(4, "euclidean"), (9, "manhattan"), (90, "euclidean")])]
+    made, join, lists = [], lof.knn_join, {}
+    monkeypatch.setattr(lof, "knn_join", lambda *a, **o: made.append(o["metric"]) or join(*a, **o))
+    trials, best = lof.lof_sweep(train, val, candidates, lists=lists)
+    refitted = lof.lof_refit(train, best, lists)
+    assert made == ["euclidean", "manhattan"]
+    assert sorted(map(str, refitted.drop("features").collect())) == sorted(map(str, lof.lof_refit(train, best).drop("features").collect()))
+    monkeypatch.undo()
+    for r in trials.collect():
+        own, asked = (t.where(F.col("device_id") == r["device_id"]) for t in (train, val))
+        scores = lof.lof_score(asked, lof.lof_fit(own, r["n_neighbors"], r["metric"]), r["n_neighbors"], r["metric"])
+        assert r["value"] == pytest.approx(np.quantile([s["score"] for s in scores.collect()], 0.99), abs=1e-8)
