@@ -36,8 +36,21 @@ def file_labels(name: Column) -> Column:
 
 
 def source_file_name() -> Column:
-    """Name of the CSV behind a row: the file itself, or the folder holding its parts."""
-    return F.regexp_extract(F.col("_metadata.file_path"), "([^/=]+\\.csv)(?:/[^/]*)?$", 1)
+    """Name of the CSV behind a row: the file itself, or the folder holding its parts.
+
+    Cut out by plain functions: a pattern would be tried at every character of the path, for every row.
+    """
+    return csv_name(F.col("_metadata.file_path"))
+
+
+def csv_name(path: Column) -> Column:
+    """The last "<name>.csv" that is a folder right above the file, or the file; empty if there is none."""
+
+    def name(level: int) -> Column:
+        part = F.substring_index(F.substring_index(F.substring_index(path, "/", level), "/", 1), "=", -1)
+        return F.when(part.endswith(".csv") & (F.length(part) > len(".csv")), part)
+
+    return F.coalesce(name(-2), name(-1), F.lit(""))
 
 
 def scan_csv(spark: SparkSession, paths: str | list[str], features: list[str], dtype: T.DataType | None = None) -> DataFrame:

@@ -111,3 +111,15 @@ def test_artifact_sizes_and_histories(spark, tmp_path):
         (folder / "history.csv").write_text("epoch,loss,val_loss\n1,0.5,0.6\n")
     got = src.scan_histories(spark, str(tmp_path / "h")).collect()
     assert sorted((r["device_id"], r["model_id"], r["epoch"]) for r in got) == [(1, "base", 1), (2, "base", 1)]
+
+
+def test_the_csv_of_a_row_is_found_without_a_pattern(spark):
+    paths = [
+        "file:/a/1.benign.csv", "file:/a/2.mirai.udp.csv/part-0.csv", "file:/a/file_name=3.gafgyt.tcp.csv/part-0.snappy", "file:/a.csv/b/4.benign.csv",
+        "file:/a/x=y=5.benign.csv/part-0", "file:/a/.csv/6.benign.csv", "file:/a/7.benign.txt", "file:/a/k=8.benign.csv", "file:/a/=.csv/p", "9.benign.csv",
+    ]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    pattern = F.regexp_extract("p", "([^/=]+\\.csv)(?:/[^/]*)?$", 1)
+    found = rows.select("p", src.csv_name(F.col("p")).alias("name"), pattern.alias("by_pattern")).collect()
+    assert {r["p"]: r["name"] for r in found} == {r["p"]: r["by_pattern"] for r in found}
+    assert "regexp_extract" not in str(src.source_file_name())
